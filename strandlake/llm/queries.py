@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, packing, urlfilter
+from strandlake.llm import chat, decontaminate, packing, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,45 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_OP4_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+OP4_SQL = f"""
+with d as (
+  select row_number() over () as r, doc_id, {_OP4_WORDS} as w from documents
+), i as (
+  select item_id, {_OP4_WORDS} as w from benchmark
+), iw as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') as win
+  from (select *, unnest(range(0, greatest(len(w) - 9, 1))) as s from i where len(w) > 0)
+), lens as (
+  select distinct n from iw
+), dw as (
+  select r, n, s, array_to_string(w[s + 1 : s + n], ' ') as win
+  from (select r, w, n, unnest(range(0, len(w) - n + 1)) as s from d cross join lens where len(w) >= n)
+), hit as (
+  select distinct dw.r, dw.s, dw.n, iw.item_id from dw join iw on dw.n = iw.n and dw.win = iw.win
+), pos as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from hit) group by r
+), its as (
+  select r, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from (select distinct r, item_id from hit) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (r) left join its using (r)
+"""
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -111,10 +150,12 @@ from c group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_decontamination": op4_decontamination,
     "op6_url_filter": op6_url_filter,
     "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op10_chat": OP10_SQL,
 }
