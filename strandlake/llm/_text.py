@@ -109,10 +109,11 @@ def scan(texts: pa.Array, separators: np.ndarray = SPACE) -> Words:
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
     first = np.searchsorted(start, off)
-    return Words(buf, start, end, _hashes(buf, start, end), first)
+    return Words(buf, start, end, hash_ranges(buf, start, end), first)
 
 
-def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending, non-overlapping byte ranges; A-Z count as a-z."""
     up, down = _pow_tables()
     out = np.empty(len(start), np.uint64)
     i = 0
