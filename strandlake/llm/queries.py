@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import _fit, chat, decontaminate, jaccard, packing, quality, toxicity, urlfilter
+from strandlake.llm import _fit, chat, decontaminate, jaccard, knn, packing, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,25 @@ from d left join pos using (r) left join its using (r)
 """
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return knn.top_k(whole, whole.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i])) as bigint) as score
+  from v q join v x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -176,12 +195,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_topk": op5_topk,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
     "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op5_topk": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op10_chat": OP10_SQL,
 }
