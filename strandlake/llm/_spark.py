@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +38,43 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+#: Edges of which a task drops those that close a cycle.
+FOREST = 250_000
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges without those between nodes that earlier edges of up to 2 FOREST nodes join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        if len(parent) > 2 * FOREST:
+            parent.clear()
+        keep = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            keep.append(x != y)
+            parent[max(x, y)] = min(x, y)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, forest: bool = False) -> DataFrame:
     """(node, component) of every node of an undirected graph; component is its smallest node.
 
     Alternates the large-star and small-star steps, which turn each component into a star
     around its smallest node in a logarithmic number of rounds.  Every step is a grouped
     minimum, combined before the shuffle, and an equi-join, so a hub is not gathered in a
     task; each round is written to the shared folder.  Self-loops only add their node.
+    With ``forest``, tasks of FOREST edges first drop those that close a cycle, in Python.
     """
     all_nodes = edges.select(F.col(u).alias("node")).union(edges.select(F.col(v).alias("node"))).distinct()
     current = stash(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
+    if forest and (n := current.count()):
+        current = stash(current.coalesce(-(-n // FOREST)).mapInArrow(_spanning, "a long, b long"))
     mark = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

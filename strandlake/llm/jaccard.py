@@ -37,7 +37,7 @@ BUCKET = 1_500_000
 #: Documents of a hot n-gram, or of a large component, in a block.
 BLOCK = 1024
 #: 64-bit words of a signature; frequencies count up to CAP; beginnings of prefixes compared.
-SIGNATURE, CAP, HEAD = 16, 32, 16
+SIGNATURE, CAP, HEAD = 8, 32, 8
 U64 = np.uint64
 
 
@@ -200,12 +200,13 @@ def _shared_grams(blocks: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]
     yield from _binary(rows, BLOCKS)
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("head", pa.int32()), ("unique", pa.int32()), ("grams", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("head", pa.int32()), ("lone", pa.int32()), ("cold", pa.int32()), ("grams", pa.binary())])
 
 
 def _profiles(blocks: list[bytes], limit: Threshold) -> Iterator[pa.RecordBatch]:
     """Documents of one bucket whose prefix holds a shared n-gram: their size, how many shared
-    n-grams the prefix holds, how many others there are, and the shared n-grams in order."""
+    n-grams the prefix holds, how many others there are, how many of the shared are below
+    CAP, and the shared n-grams in order."""
     parts = [_unpack(b) for b in blocks]
     doc = np.concatenate([p[0][p[2]] for p in parts])
     size = np.concatenate([p[1][p[2]] for p in parts]).astype(np.int64)
@@ -213,16 +214,17 @@ def _profiles(blocks: list[bytes], limit: Threshold) -> Iterator[pa.RecordBatch]
     freq = np.concatenate([p[4] for p in parts])
     del parts
     order = np.lexsort((tok, freq, doc))
-    doc, size, tok = doc[order], size[order], tok[order]
+    doc, size, tok, freq = doc[order], size[order], tok[order], freq[order]
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     counts = np.diff(starts, append=len(doc))
     n = size[starts]
     head = np.minimum(limit.prefix(n) - (n - counts), counts)
-    rows = [(int(doc[i]), int(m), int(h), int(m - c), tok[i : i + c].tobytes()) for i, c, m, h in zip(starts, counts, n, head, strict=True) if h > 0]
+    cold = np.add.reduceat((freq < CAP).astype(np.int64), starts)
+    rows = [(int(doc[i]), int(m), int(h), int(m - c), int(b), tok[i : i + c].tobytes()) for i, c, m, h, b in zip(starts, counts, n, head, cold, strict=True) if h > 0]
     yield from _binary(rows, PROFILE)
 
 
-ENTRY = "gram long, doc_id long, n int, place int, lone int, heads binary, mark binary"
+ENTRY = "gram long, doc_id long, n int, place int, lone int, hot boolean, heads binary, mark binary"
 
 
 def _signatures(grams: np.ndarray) -> bytes:
@@ -237,7 +239,7 @@ def _entries(profiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, n, head, lone, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc, n, head, lone, cold, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 grams = np.frombuffer(raw, U64)
                 mark, heads = _signatures(grams), grams[: min(head, HEAD)].tobytes()
                 for at in range(0, head, 4096):
@@ -245,11 +247,11 @@ def _entries(profiles: DataFrame) -> DataFrame:
                     m = len(part)
                     fixed = [pa.array([x] * m, t) for x, t in ((doc, pa.int64()), (n, pa.int32()))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), *fixed, pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array([lone] * m, pa.int32()), pa.array([heads] * m, pa.binary()), pa.array([mark] * m, pa.binary())],
-                        ["gram", "doc_id", "n", "place", "lone", "heads", "mark"],
+                        [pa.array(part), *fixed, pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array([lone] * m, pa.int32()), pa.array(np.arange(at, at + m) >= cold), pa.array([heads[: 8 * p] for p in range(at, at + m)], pa.binary()), pa.array([mark] * m, pa.binary())],
+                        ["gram", "doc_id", "n", "place", "lone", "hot", "heads", "mark"],
                     )
 
-    return profiles.select("doc_id", "n", "head", "unique", "grams").mapInArrow(_merged(run), ENTRY)
+    return profiles.select("doc_id", "n", "head", "lone", "cold", "grams").mapInArrow(_merged(run), ENTRY)
 
 
 def _merged(run: Callable) -> Callable:
@@ -294,7 +296,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _spread(rows: DataFrame, size: DataFrame, key: str, parts: int) -> DataFrame:
+def _spread(rows: DataFrame, size: DataFrame, key: str, parts: int | None) -> DataFrame:
     """Rows with (key, i, j): a group of more than BLOCK rows is dealt into blocks, and each
     row goes to all pairs of blocks that hold its own, with its block as ``own``."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -303,13 +305,18 @@ def _spread(rows: DataFrame, size: DataFrame, key: str, parts: int) -> DataFrame
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
     rows = rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *(c for c in rows.columns if c not in (key, "blocks", "other")))
-    return rows.repartition(parts, key, "i", "j")
+    return rows.repartition(parts, key, "i", "j") if parts else rows
 
 
 def _candidates(entries: DataFrame, limit: Threshold, parts: int) -> DataFrame:
-    """(a, b), a < b: pairs that share an n-gram of their prefixes and pass the filters."""
-    size = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = _spread(entries, size, "gram", parts).sortWithinPartitions("gram", "i", "j", "n", "doc_id")
+    """(a, b), a < b: pairs that share an n-gram of their prefixes and pass the filters.
+
+    An n-gram below CAP has fewer documents than a block; only others are counted."""
+    hot = entries.where("hot").drop("hot")
+    size = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    none = F.lit(0)
+    cold = entries.where("not hot").drop("hot").select("gram", none.alias("i"), none.alias("j"), *(c for c in hot.columns if c != "gram"), none.alias("own"))
+    rows = cold.unionByName(_spread(hot, size, "gram", None)).repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -351,10 +358,10 @@ def _candidates(entries: DataFrame, limit: Threshold, parts: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, profiles: DataFrame, limit: Threshold, parts: int) -> DataFrame:
     """(a, b, shared, size_a, size_b) of the candidate pairs that are similar enough."""
-    part = stash(connected_components(pairs, "a", "b"))
+    part = stash(connected_components(pairs, "a", "b", forest=True))
     size = part.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     docs = profiles.join(part.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "n", "grams")
-    docs = _spread(docs, size, "component", parts).select("component", "i", "j", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("n").cast("long").alias("b"), "grams")
+    docs = _spread(docs, size, "component", None).select("component", "i", "j", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("n").cast("long").alias("b"), "grams")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.col("blocks")).cast("int")
     links = pairs.join(part.withColumnRenamed("node", "a"), "a").join(size.select("component", blocks.alias("blocks")), "component")
@@ -399,7 +406,7 @@ class Joined:
         the class's links to other classes.  A document linked with nothing is its own."""
         ends = self.links.select(F.col("a").alias("class_id")).union(self.links.select("b"))
         degree = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-        parts = connected_components(self.links, "a", "b").select(F.col("node").alias("class_id"), "component").join(degree, "class_id")
+        parts = connected_components(self.links, "a", "b", forest=True).select(F.col("node").alias("class_id"), "component").join(degree, "class_id")
         return self.classes.join(parts, "class_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
         )
@@ -425,7 +432,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8,
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 20_000))
     blocks = _hash_blocks(docs, k, buckets)
     shared = _by_bucket(blocks, min(parts, buckets), lambda b: _shared_grams(b, buckets), "bucket int, block binary")
-    profiles = _by_bucket(shared, min(parts, buckets), lambda b: _profiles(b, limit), "doc_id long, n int, head int, unique int, grams binary")
+    profiles = _by_bucket(shared, min(parts, buckets), lambda b: _profiles(b, limit), "doc_id long, n int, head int, lone int, cold int, grams binary")
     profiles = stash(profiles.join(kinds.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     pairs = stash(_candidates(stash(_entries(profiles)), limit, parts))
     return Joined(classes, stash(_verified(pairs, profiles, limit, parts)))
