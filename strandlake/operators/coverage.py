@@ -23,22 +23,32 @@ def depth_events(blocks: DataFrame) -> DataFrame:
     return both.groupBy("chrom", "pos").agg(F.sum("d").alias("delta")).where("delta <> 0")
 
 
-def segments(blocks: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """(chrom, start, end, depth): maximal half-open runs of equal depth above zero.
+def _with_depth(events: DataFrame, bin_size: int) -> DataFrame:
+    """events with ``bin`` and ``depth``, the running sum up to and with each position.
 
-    Depths are running sums within bins of a contig; the depth and the position carried into
-    a bin come from the bins' totals, of which there are few, so that no contig is one task.
+    Sums run within bins of a contig; what is carried into a bin comes from the bins'
+    totals, of which there are few, so that no contig is one task.
     """
-    events = depth_events(blocks).withColumn("bin", F.floor(F.col("pos") / bin_size))
-    totals = events.groupBy("chrom", "bin").agg(F.sum("delta").alias("total"), F.min("pos").alias("first"))
-    order = Window.partitionBy("chrom").orderBy("bin")
-    before = F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select("chrom", "bin", F.coalesce(before, F.lit(0)).alias("carried"), F.lead("first").over(order).alias("next_bin"))
+    events = events.withColumn("bin", F.floor(F.col("pos") / bin_size))
+    before = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = events.groupBy("chrom", "bin").agg(F.sum("delta").alias("total"))
+    carried = totals.select("chrom", "bin", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("carried"))
     inside = Window.partitionBy("chrom", "bin").orderBy("pos")
-    run = events.join(carried, ["chrom", "bin"]).select(
-        "chrom", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(inside), F.col("next_bin")).alias("end"), (F.col("carried") + F.sum("delta").over(inside)).alias("depth")
-    )
-    return run.where("depth > 0")
+    return events.join(carried, ["chrom", "bin"]).select("chrom", "bin", "pos", "delta", (F.col("carried") + F.sum("delta").over(inside)).alias("depth"))
+
+
+def _with_next(rows: DataFrame) -> DataFrame:
+    """rows (chrom, bin, pos, ...) with ``next``, the contig's next position, across bins too."""
+    firsts = rows.groupBy("chrom", "bin").agg(F.min("pos").alias("first"))
+    beyond = firsts.select("chrom", "bin", F.lead("first").over(Window.partitionBy("chrom").orderBy("bin")).alias("beyond"))
+    inside = Window.partitionBy("chrom", "bin").orderBy("pos")
+    return rows.join(beyond, ["chrom", "bin"]).withColumn("next", F.coalesce(F.lead("pos").over(inside), F.col("beyond"))).drop("beyond")
+
+
+def segments(blocks: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """(chrom, start, end, depth): maximal half-open runs of equal depth above zero."""
+    run = _with_next(_with_depth(depth_events(blocks), bin_size))
+    return run.where("depth > 0").select("chrom", F.col("pos").alias("start"), F.col("next").alias("end"), "depth")
 
 
 def window_count(contigs: DataFrame, width: int) -> DataFrame:
@@ -144,13 +154,11 @@ def overlapping(left: DataFrame, right: DataFrame, width: int = 1024) -> DataFra
     return keyed.join(hit.select("_row").distinct(), "_row", "left_semi").drop("_row")
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
+def merge_intervals(intervals: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Unions of intervals (chrom, s, e) that touch or overlap: the covered runs."""
-    covered = segments(intervals.where("e > s").select("chrom", "s", "e"))
-    w = Window.partitionBy("chrom").orderBy("start")
-    marked = covered.withColumn("new", (F.coalesce(F.lag("end").over(w), F.lit(-1)) != F.col("start")).cast("int"))
-    marked = marked.withColumn("g", F.sum("new").over(w))
-    return marked.groupBy("chrom", "g").agg(F.min("start").alias("s"), F.max("end").alias("e")).drop("g")
+    depth = _with_depth(depth_events(intervals.where("e > s").select("chrom", "s", "e")), bin_size)
+    edges = depth.where("depth = 0 or depth = delta").select("chrom", "bin", "pos", "depth")
+    return _with_next(edges).where("depth > 0").select("chrom", F.col("pos").alias("s"), F.col("next").alias("e"))
 
 
 def split_by_contig(alignments: DataFrame, path: str) -> None:

@@ -154,7 +154,7 @@ def distinct_reads(reads: DataFrame, order: str = "shortlex") -> DataFrame:
 
 def rank_reads(reads: DataFrame) -> DataFrame:
     """Each read's place by seq; of equal ones, later reads stand before earlier."""
-    return with_global_rank(reads, [F.col("seq"), F.desc("ordinal")])
+    return with_global_rank(reads, [F.col("seq"), -F.col("ordinal")])
 
 
 def rank_range(reads: DataFrame, start: int, stop: int, outside: bool = False) -> DataFrame:
