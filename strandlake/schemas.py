@@ -1,14 +1,12 @@
-"""Schemas of the core tables."""
+"""Schemas of the core tables, as DDL."""
 
-from pyspark.sql import types as T
-
-READS = T.StructType.fromDDL("file STRING, ordinal BIGINT, name STRING, comment STRING, seq STRING, qual STRING")
-ALIGNMENTS = T.StructType.fromDDL(
+READS = "file STRING, ordinal BIGINT, name STRING, comment STRING, seq STRING, qual STRING"
+ALIGNMENTS = (
     "file STRING, ordinal BIGINT, qname STRING, flag INT, tid INT, chrom STRING, pos BIGINT, mapq INT, "
     "cigar ARRAY<STRUCT<op: INT, len: INT>>, l_qseq INT, seq STRING, qual STRING"
 )
-CONTIGS = T.StructType.fromDDL("file STRING, tid INT, chrom STRING, length BIGINT")
-SEGMENTS = T.StructType.fromDDL("chrom STRING, start BIGINT, end BIGINT, depth BIGINT")
+CONTIGS = "file STRING, tid INT, chrom STRING, length BIGINT"
+SEGMENTS = "chrom STRING, start BIGINT, end BIGINT, depth BIGINT"
 
 #: CIGAR operation codes.
 M, I, D, N, S, H, P, EQ, X = range(9)
