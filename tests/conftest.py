@@ -3,7 +3,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
