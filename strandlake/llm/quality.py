@@ -164,7 +164,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     """Fits on at most ``most`` labelled documents outside the held-out fold."""
     rows = _fit.training_rows(docs, labels, label, most)
     _, vectors, y = _fit.collect_vectors(rows, lambda texts: [v.tobytes() for v in statistics(texts)])
-    return fit_discriminant(np.array([np.frombuffer(v) for v in vectors]).reshape(len(vectors), -1), y)
+    return fit_discriminant(np.array([np.frombuffer(v) for v in vectors] or np.zeros((0, 1))), y)
 
 
 def quality_scores(docs: DataFrame, model: Discriminant | Constant, keep: list[str] | None = None, passing: float | None = None) -> DataFrame:

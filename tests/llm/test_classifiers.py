@@ -61,7 +61,7 @@ def test_discriminant_is_the_log_density_difference():
 def test_pairs_that_matter_only_together():
     rng = np.random.default_rng(2)
     a, b = rng.random(2000) < 0.5, rng.random(2000) < 0.5
-    rows = [np.array([i for i, on in ((3, p), (9, q)) if on]) for p, q in zip(a, b, strict=True)]
+    rows = [np.array([i for i, on in ((3, p), (9, q)) if on], int) for p, q in zip(a, b, strict=True)]
     machine = toxicity.fit_machine(rows, (a & b).astype(int))
     z = machine.bias + np.array([0, machine.w[machine.slot[3]], machine.w[machine.slot[9]], machine.w.sum() + machine.v[0] @ machine.v[1]])
     assert (z > 0).tolist() == [False, False, False, True]

@@ -48,20 +48,19 @@ def test_whole_table(spark, sf_dir, documents):
 @pytest.mark.parametrize("block", [4, 1024])
 def test_near_copies_in_blocks(spark, docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "CAP", 6)
     monkeypatch.setattr(jaccard, "BUCKET", 200)
     rng = random.Random(block)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
     texts = []
-    for _ in range(30):
+    for _ in range(45):
         w = list(base)
         for _ in range(rng.randrange(4)):
             w[rng.randrange(60)] = f"x{rng.randrange(30)}"
         texts.append(" ".join(w))
-    texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) + " common words that all of these documents share" for _ in range(30)]
+    texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) + " common words that all of these documents share" for _ in range(45)]
     texts += ["", None, " ", "one", "One", "one two", "a b c", "a b c", "a b d"]
     rows = dict(enumerate(texts))
-    joined = jaccard.jaccard_join(docs(*texts).repartition(3), 3, (8, 10))
+    joined = jaccard.jaccard_join(docs(*texts).repartition(2), 3, (8, 10))
     want, links = brute(rows, 3, 8, 10)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in joined.components().collect()} == want
     cls = {r.doc_id: r.class_id for r in joined.classes.collect()}
