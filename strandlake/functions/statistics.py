@@ -125,9 +125,11 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float, float]:
 def jackknife(df: DataFrame, group: str, value: str) -> DataFrame:
     """(estimate, variance) of the mean of value by leaving out one group at a time."""
     per = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    total = per.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"), F.count(F.lit(1)).alias("groups"))
-    left = per.crossJoin(F.broadcast(total)).select("ts", "tn", "groups", ((F.col("ts") - F.col("s")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0))).alias("m"))  # total is one row
-    return left.groupBy("ts", "tn", "groups").agg(F.var_pop("m").alias("v")).select((F.col("ts") / F.col("tn")).alias("estimate"), ((F.col("groups") - 1) * F.col("v")).alias("variance"))
+    ts, tn, groups = per.agg(F.sum("s"), F.sum("n"), F.count(F.lit(1))).first()  # one row
+    if not tn:
+        return per.select(F.lit(None).cast("double").alias("estimate"), F.lit(None).cast("double").alias("variance")).limit(1)
+    left = per.select(((F.lit(float(ts)) - F.col("s")) / F.nullif(F.lit(tn) - F.col("n"), F.lit(0))).alias("m"))
+    return left.agg(F.var_pop("m").alias("v")).select(F.lit(ts / tn).alias("estimate"), (F.lit(groups - 1) * F.col("v")).alias("variance"))
 
 
 def minimise_patterns(f: Callable[[list[float]], float], start: list[float], radius: float = 0.5, least: float = 1e-7, most: int = 50_000) -> list[float]:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import codecs as C
+from strandlake.functions import documents as DOC
 from strandlake.functions import exprs as E
+from strandlake.functions import sequences as SEQ
 from strandlake.functions import statistics as ST
 from strandlake.operators import coverage, qc
 from strandlake.operators import reads as R
-from strandlake.sources import derive
+from strandlake.plans.tables import shared_folder
+from strandlake.sources import bam, derive, fastx, sinks
+from strandlake.streaming import reads as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,11 +191,11 @@ def pair_zip(spark, d):
     return pairs(spark, d)
 
 
-_OUTER = "(select split_part(name, ' ', 1) as key, name as name1, seq as seq1, qual as qual1 from r where ordinal % 5 <> 1) x {0} (select split_part(name, ' ', 1) as key, name as name2, seq as seq2, qual as qual2 from m) y using (key)"
+_OUTER = "(select split_part(name, ' ', 1) as key, name as name1, seq as seq1, qual as qual1 from r where qual not like '#%') x {0} (select split_part(name, ' ', 1) as key, name as name2, seq as seq2, qual as qual2 from m) y using (key)"
 
 
 def _sides(spark, d):
-    return reads(spark, d).where("ordinal % 5 <> 1"), derive.mates(spark, d)
+    return reads(spark, d).where("qual not like '#%'"), derive.mates(spark, d)
 
 
 @query(f"select * from {_OUTER.format('full join')}")
@@ -207,7 +213,7 @@ def pair_se1(spark, d):
     return R.unpaired(*_sides(spark, d)).select("name", "seq", "qual")
 
 
-@query("select name, seq, qual from m where split_part(name, ' ', 1) not in (select split_part(name, ' ', 1) from r where ordinal % 5 <> 1)")
+@query("select name, seq, qual from m where split_part(name, ' ', 1) not in (select split_part(name, ' ', 1) from r where qual not like '#%')")
 def pair_se2(spark, d):
     a, b = _sides(spark, d)
     return R.unpaired(b, a).select("name", "seq", "qual")
@@ -519,5 +525,63 @@ def stat_jackknife(spark, d):
     return ST.jackknife(_orders(spark, d).withColumn("g", F.col("l_suppkey") % 20), "g", "l_quantity")
 
 
+@query()
+def stat_special_functions(spark, d):
+    import math
+
+    x = (F.col("id") + 1) / 4
+    gamma, erfc, beta = ST.special(math.lgamma), ST.special(math.erfc), ST.special(ST.beta_i)
+    return spark.range(20).select("id", gamma(x).alias("lgamma"), erfc(x).alias("erfc"), ST.special(ST.gamma_p)(x, F.lit(2.0)).alias("gamma_p"), beta(x, F.lit(2.0), F.lit(0.3)).alias("beta_i"))
+
+
+# ---- documents, alignments of sequences, files and streams -------------------------------
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.missing.x[0]') as missing from events")
+def expr_json(spark, d):
+    props = F.col("props")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", DOC.json_at(props, "k").alias("k"), DOC.json_at(props, "missing", "x", 0).alias("missing"))
+
+
+@query()
+def align_local(spark, d):
+    both = R.zip_pairs(derive.reads(spark, d), derive.mates(spark, d))
+    return both.select("ordinal", SEQ.local_alignment(F.col("seq1"), E.reverse_complement(F.col("seq2"))).alias("a")).select("ordinal", "a.*")
+
+
+@query(f"select n, count(*) as windows from ({_GC}) group by n")
+def hits_plot_data(spark, d):
+    return sinks.hits_plot_data(coverage.window_count_gc(alignments(spark, d), 1000))
+
+
+@query("select ordinal, name, seq, qual from r")
+def source_fastq_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    sinks.write_lines(sinks.fastq_lines(reads(spark, d)), path, "gzip")
+    back = fastx.read_fastx(spark, path)
+    # files follow the order, but number their own records: the name holds the place
+    return back.select(F.regexp_extract("name", "@R([0-9]+)", 1).cast("long").alias("ordinal"), "name", "seq", "qual")
+
+
+@query("select ordinal, qname, flag, chrom, pos, l_qseq, cast(len(cigar) as integer) as ops from a".replace("ordinal, qname", "ordinal"))
+def source_bam_round_trip(spark, d):
+    folder = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}"
+    local = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(local)
+    some = alignments(spark, d).withColumn("qname", F.col("ordinal").cast("string"))
+    sinks.bam_files(some.withColumn("mapq", F.lit(0)).withColumn("qual", F.lit(None).cast("string")), derive.contigs(spark), local).collect()
+    return bam.read_bam(spark, local).select(F.col("qname").cast("long").alias("ordinal"), "flag", "chrom", "pos", "l_qseq", F.size("cigar").alias("ops"))
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def stream_windowed_counts(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"windows_{uuid.uuid4().hex}"
+    counted = streams.windowed_counts(stream, width="1 day", by="event_type")
+    streams.run_once(counted, name, "complete", f"{shared_folder(spark)}/{name}")
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return collapse_best(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,9 @@ def with_global_rank(df: DataFrame, order: list[str | Column], name: str = "rank
     offset = F.element_at(F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair)), F.col("_part"))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
     return ranged.withColumn(name, number + offset.cast("long")).drop("_part", *(f"_k{i}" for i in range(len(keys))))
+
+
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, Observation]:
+    """df with metrics taken while it is computed: its rows, unless others are named."""
+    seen = Observation(name)
+    return df.observe(seen, *(metrics or (F.count(F.lit(1)).alias("rows"),))), seen
