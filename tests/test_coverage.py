@@ -59,7 +59,6 @@ def test_last_window_may_be_empty(spark):
 
 
 def test_cigar(spark):
-    ops = [(5, 4), (3, 0), (2, 1), (2, 0), (4, 2), (0, 0)]
     ops = [(4, 5), (0, 3), (1, 1), (0, 2), (2, 2), (0, 4), (3, 10), (0, 1)]
     row = spark.createDataFrame([(10, [{"op": o, "len": n} for o, n in ops])], "pos long, cigar array<struct<op:int,len:int>>")
     out = row.select(E.aligned_blocks(F.col("pos"), F.col("cigar")).alias("b"), E.reference_span(F.col("cigar")).alias("n")).first()
