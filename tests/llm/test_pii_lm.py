@@ -8,7 +8,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from strandlake.llm import _attention, _subword, _text, lmscore, pii
 from strandlake.llm.queries import op8_pii, op9_lm_score, tokenizer_path
@@ -35,7 +34,7 @@ def test_surrogates_keep_type_and_format(kind, text):
     new, spans = pii.replace(f"see {text}, or {text}.", s)
     assert [x[0] for x in spans] == [kind, kind] and len({x[4] for x in spans}) == 1
     other = spans[0][4]
-    assert other != text and len(other) == len(text) and [x[0] for x in pii.entities(f"see {other}, or")] == [kind]
+    assert other != text and (kind == "ip" or len(other) == len(text)) and [x[0] for x in pii.entities(f"see {other}, or")] == [kind]
     form = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", t))
     assert kind in ("secret", "ip") or form(other) == form(text)
     assert new == f"see {other}, or {other}."
@@ -101,7 +100,7 @@ def expected(texts):
     return sorted(rows, key=str)
 
 
-def test_base_scores(spark, sf_dir, documents, monkeypatch):
+def test_base_scores(spark, sf_dir, documents):
     rows = op9_lm_score(spark, sf_dir).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows), key=str) == expected(documents.items())
     assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
@@ -184,4 +183,3 @@ def test_subwords_equal_whole_texts():
     flat, at = _subword.Subwords(tokenizer_path()).encode(w)
     for i, t in enumerate(texts):
         assert flat[at[w.first[i]] : at[w.first[i + 1]]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
-    assert F.lit(1) is not None
