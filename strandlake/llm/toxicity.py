@@ -77,7 +77,7 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return keep[np.argsort(-np.abs(deviation[keep]), kind="stable")][:MAX_TERMS]
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, steps: int = 300, rate: float = 0.05, penalty: float = 2e-4) -> Machine:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, steps: int = 200, rate: float = 0.05, penalty: float = 2e-4) -> Machine:
     """Fits by Adam on the whole sample, logistic loss with a quadratic penalty."""
     terms = choose_terms(rows, y)
     slot = np.full(1 << BITS, -1, np.int32)
@@ -93,10 +93,12 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, steps:
     if len(terms) and 0 < y.sum() < len(y):
         for t in range(1, steps + 1):
             bias, w, v = params
-            xv = x @ v
-            z = bias + x @ w + 0.5 * (xv * xv - x @ (v * v)).sum(1)  # x is 0 or 1
+            sums = x @ np.column_stack([w, (v * v).sum(1), v]).astype(np.float32)  # x is 0 or 1
+            xv = sums[:, 2:]
+            z = bias + sums[:, 0] + 0.5 * ((xv * xv).sum(1) - sums[:, 1])
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            grads = [np.array([e.sum()]), x.T @ e + penalty * w, x.T @ (e[:, None] * xv) - (x.T @ e)[:, None] * v + penalty * v]
+            back = x.T @ np.column_stack([e, e[:, None] * xv]).astype(np.float32)
+            grads = [np.array([e.sum()]), back[:, 0] + penalty * w, back[:, 1:] - back[:, :1] * v + penalty * v]
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.999 * s[k] + 0.001 * g * g
