@@ -31,7 +31,8 @@ from strandlake.llm.jaccard import BLOCKS, _binary, _bucket, _by_bucket
 FOLDS, HELD_OUT = 10, 0
 #: Words settled in every task; texts and windows of each that the attention model trains on.
 HOT_WORDS, SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 1500, 32
-#: Bytes of text per bucket.
+#: Bytes of text scored at a time, which bounds a task's arrays; bytes of text per bucket.
+SCORE_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
 #: Weight of the word counts in the mixture; smoothing of the base score.
 COUNT_WEIGHT, SMOOTHING = 0.5, 0.1
@@ -171,7 +172,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         return np.log10(weight * count / tokens_n + (1 - weight) * np.power(10.0, np.maximum(attention.astype(np.float64), -300)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SCORE_BYTES):
             ids = batch.column(0).to_pylist()
             trains = _trains(ids)
             w = scan(batch.column(1))
