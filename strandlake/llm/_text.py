@@ -179,9 +179,10 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return full, at
 
 
-def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(w: Words, k: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every row, end to end, and row offsets."""
     values, at = shingles(w, k)
+    values = values >> U(64 - bits)
     rows = len(w.first) - 1
     bounds = np.searchsorted(at, np.arange(rows + 1))
     parts = [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(rows)]
