@@ -42,7 +42,7 @@ def crc_mod(column: str, n: int) -> Column:
 FOREST = 250_000
 
 
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges without those between nodes that earlier edges of up to 2 FOREST nodes join."""
     parent: dict[int, int] = {}
 
@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     all_nodes = edges.select(F.col(u).alias("node")).union(edges.select(F.col(v).alias("node"))).distinct()
     current = stash(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
     if forest and (n := current.count()):
-        current = stash(current.coalesce(-(-n // FOREST)).mapInArrow(_spanning, "a long, b long"))
+        current = stash(current.coalesce(-(-n // FOREST)).mapInArrow(spanning, "a long, b long"))
     mark = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

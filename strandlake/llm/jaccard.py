@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm._spark import connected_components, stash
+from strandlake.llm._spark import connected_components, spanning, stash
 from strandlake.llm._text import mix, scan, segment_sums, shingle_sets, slices
 
 #: n-grams that a bucket of the counting step holds on average.
@@ -311,7 +311,8 @@ def _spread(rows: DataFrame, size: DataFrame, key: str, parts: int | None) -> Da
 
 
 def _candidates(entries: DataFrame, limit: Threshold, parts: int) -> DataFrame:
-    """(a, b), a < b: pairs that share an n-gram of their prefixes and pass the filters.
+    """(a, others): pairs that share an n-gram of their prefixes and pass the filters, a row
+    for each n-gram and document, so that rows do not grow with the pairs.
 
     An n-gram below CAP has fewer documents than a block; only others are counted."""
     hot = entries.where("hot").drop("hot")
@@ -348,67 +349,98 @@ def _candidates(entries: DataFrame, limit: Threshold, parts: int) -> DataFrame:
                 if len(y) and place[x]:  # a pair belongs to the first n-gram that it shares
                     mine = heads[x][heads[x] > 0]
                     y = y[~np.isin(heads[y], mine).any(1)]
-                left.append(np.full(len(y), x))
-                right.append(y)
+                if len(y):
+                    left.append(int(doc[x]))
+                    right.append(doc[y])
             if left:
-                a, b = doc[np.concatenate(left)], doc[np.concatenate(right)]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.list_(pa.int64()))], ["a", "others"])
 
-    return rows.mapInArrow(_merged(run), "a long, b long").where("a < b").distinct()
+    return rows.mapInArrow(_merged(run), "a long, others array<long>")
+
+
+def _forest(pairs: DataFrame) -> DataFrame:
+    """(a, b): edges that join what the pairs (a, others) join, those of a task's without cycles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+            yield from spanning(iter([pa.RecordBatch.from_arrays([pa.array(a), batch.column(1).flatten()], ["a", "b"])]))
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, limit: Threshold, parts: int) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of the candidate pairs that are similar enough."""
-    part = stash(connected_components(pairs, "a", "b", forest=True))
+    """(a, root, degree, links) of the documents of similar pairs: links are those to larger
+    ids, root the smallest id that a task's links reach, degree counts a task's links."""
+    part = stash(connected_components(_forest(pairs), "a", "b", forest=True))
     size = part.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     docs = profiles.join(part.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "n", "grams")
-    docs = _spread(docs, size, "component", None).select("component", "i", "j", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("n").cast("long").alias("b"), "grams")
+    none = F.lit(None).cast("array<bigint>")
+    docs = _spread(docs, size, "component", None).select("component", "i", "j", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.col("n").cast("long").alias("n"), "grams", none.alias("others"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.col("blocks")).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(c, F.lit(17)), F.col("blocks")).cast("int")
     links = pairs.join(part.withColumnRenamed("node", "a"), "a").join(size.select("component", blocks.alias("blocks")), "component")
-    links = links.select("component", F.least(own("a"), own("b")).alias("i"), F.greatest(own("a"), own("b")).alias("j"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams"))
+    links = links.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("others", F.filter("others", lambda b: own(b) == F.col("k"))).where("size(others) > 0")
+    mine = own(F.col("a"))
+    links = links.select("component", F.least(mine, "k").alias("i"), F.greatest(mine, "k").alias("j"), F.lit(1).alias("kind"), "a", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("grams"), "others")
     rows = docs.unionByName(links).repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "kind", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            kind, a, b = (group.column(c).to_numpy() for c in ("kind", "a", "b"))
+            kind, a, n_of = (group.column(c).to_numpy() for c in ("kind", "a", "n"))
             docs = int((kind == 0).sum())
             if docs == len(kind):
                 continue
-            sets = {int(d): (int(n), np.sort(np.frombuffer(raw, U64))) for d, n, raw in zip(a[:docs], b[:docs], group.column("grams").to_pylist()[:docs], strict=True)}
-            out = []
-            for x, y in zip(a[docs:].tolist(), b[docs:].tolist(), strict=True):
+            sets = {int(d): (int(n), np.sort(np.frombuffer(raw, U64))) for d, n, raw in zip(a[:docs], n_of[:docs], group.column("grams").to_pylist()[:docs], strict=True)}
+            met = {(min(x, y), max(x, y)) for x, ys in zip(a[docs:].tolist(), group.column("others").to_pylist()[docs:], strict=True) for y in ys if x != y}
+            out: dict[int, list] = {}
+            degree: dict[int, int] = {}
+            root: dict[int, int] = {}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while (p := root.setdefault(x, x)) != x:
+                    root[x] = x = root[p]
+                return x
+
+            for x, y in sorted(met):
                 (n, s), (m, t) = sets[x], sets[y]
                 if len(s) > len(t):
                     s, t = t, s
                 spot = np.searchsorted(t, s)
                 shared = int((t[np.minimum(spot, len(t) - 1)] == s).sum())
                 if shared * limit.den >= limit.num * (n + m - shared):
-                    out.append((x, y, shared, n, m))
-            yield from _binary(out, LINK)
+                    out.setdefault(x, []).append({"b": y, "shared": shared, "size_a": n, "size_b": m})
+                    for z in (x, y):
+                        degree[z] = degree.get(z, 0) + 1
+                    p, q = top(x), top(y)
+                    root[max(p, q)] = min(p, q)
+            yield from _binary([(d, top(d), k, out.get(d, [])) for d, k in degree.items()], LINK)
 
-    return rows.mapInArrow(_merged(run), "a long, b long, shared long, size_a long, size_b long")
+    return rows.mapInArrow(_merged(run), "a long, root long, degree long, links array<struct<b:bigint,shared:bigint,size_a:bigint,size_b:bigint>>")
 
 
-LINK = pa.schema([(c, pa.int64()) for c in ("a", "b", "shared", "size_a", "size_b")])
+LINK = pa.schema([*((c, pa.int64()) for c in ("a", "root", "degree")), ("links", pa.list_(pa.struct([(c, pa.int64()) for c in ("b", "shared", "size_a", "size_b")])))])
 
 
 @dataclass(frozen=True)
 class Joined:
     """classes: (doc_id, n_shingles, class_id), a row per document; class_id is the smallest
     doc_id of equal sets, or null for a document without words or with a null id.
-    links: (a, b, shared, size_a, size_b), the similar pairs of different classes."""
+    linked: (a, root, degree, links) of the classes with links, as _verified gives them."""
 
     classes: DataFrame
-    links: DataFrame
+    linked: DataFrame
+
+    @property
+    def links(self) -> DataFrame:
+        """(a, b, shared, size_a, size_b), the similar pairs of different classes."""
+        return self.linked.select("a", F.inline("links"))
 
     def components(self) -> DataFrame:
         """classes with component_id, the smallest doc_id reachable by links, and n_links,
         the class's links to other classes.  A document linked with nothing is its own."""
-        ends = self.links.select(F.col("a").alias("class_id")).union(self.links.select("b"))
-        degree = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-        parts = connected_components(self.links, "a", "b", forest=True).select(F.col("node").alias("class_id"), "component").join(degree, "class_id")
+        degree = self.linked.groupBy(F.col("a").alias("class_id")).agg(F.sum("degree").alias("n_links"))
+        parts = connected_components(self.linked.select("a", "root"), "a", "root", forest=True).select(F.col("node").alias("class_id"), "component").join(degree, "class_id")
         return self.classes.join(parts, "class_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
         )
