@@ -67,29 +67,50 @@ class Model:
         return np.maximum(r @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
 
 
-def classes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each id, log10 share of each id in its class, embedding row of each id)."""
-    flat = windows[windows >= 0]
-    counts = np.bincount(flat, minlength=VOCABULARY).astype(np.float64)
+@dataclass
+class Classes:
+    class_of: np.ndarray
+    share: np.ndarray
+    row_of: np.ndarray
+    #: Occurrences of each class.
+    seen: np.ndarray
+
+
+def alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids by falling count, class of each id): the most frequent ids have classes of their own."""
     order = np.argsort(-counts, kind="stable")
     class_of = np.full(VOCABULARY, ALONE, np.int16)
     class_of[order[:ALONE]] = np.arange(ALONE)
+    return order, class_of
+
+
+def neighbours(a: np.ndarray, b: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """Places in a matrix of VOCABULARY by 2 ALONE of the frequent ids after and before each
+    id, of pairs a, b of which b follows a."""
+    keys = []
+    for left, right, shift in ((a, b, 0), (b, a, ALONE)):
+        c = class_of[right].astype(np.int64)
+        known = c < ALONE
+        keys.append(left[known].astype(np.int64) * (2 * ALONE) + c[known] + shift)
+    return np.concatenate(keys)
+
+
+def classes(counts: np.ndarray, near: np.ndarray) -> Classes:
+    """Classes from the counts of all ids and the matrix of their frequent neighbours."""
+    counts = counts.astype(np.float64)
+    order, class_of = alone(counts)
     rest = order[ALONE:]
     rest = rest[counts[rest] > 0]
     if len(rest):
-        a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-        both = (a >= 0) & (b >= 0)
-        near = np.zeros((VOCABULARY, 2 * ALONE), np.float32)
-        for left, right, shift in ((a[both], b[both], 0), (b[both], a[both], ALONE)):
-            known = class_of[right] < ALONE
-            np.add.at(near, (left[known], class_of[right[known]].astype(np.int64) + shift), 1)
         x = np.sqrt(near[rest] / np.maximum(near[rest].sum(1, keepdims=True), 1))
         centres = x[: GROUPED - 1].copy()
         for _ in range(6):
             cell = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+            by_cell = np.argsort(cell, kind="stable")
+            size = np.bincount(cell, minlength=len(centres))
             sums = np.zeros_like(centres)
-            np.add.at(sums, cell, x)
-            size = np.bincount(cell, minlength=len(centres))[:, None]
+            sums[size > 0] = np.add.reduceat(x[by_cell], (np.cumsum(size) - size)[size > 0])
+            size = size[:, None]
             centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
         class_of[rest] = ALONE + 1 + cell
     smooth = counts + 0.1
@@ -98,12 +119,21 @@ def classes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = order[:OWN]
     own = own[counts[own] > 2]
     row_of[own] = np.arange(len(own))
-    return class_of, np.log10(smooth / total[class_of]).astype(np.float32), row_of
+    seen = np.bincount(class_of, counts, minlength=ALONE + GROUPED)
+    return Classes(class_of, np.log10(smooth / total[class_of]).astype(np.float32), row_of, seen)
 
 
-def train(windows: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01) -> Model:
-    """Trains on windows of WINDOW + 1 ids, the first of each only an input; -1 fills."""
-    class_of, share, row_of = classes(windows)
+def classes_of(windows: np.ndarray) -> Classes:
+    """Classes from windows alone."""
+    counts = np.bincount(windows[windows >= 0], minlength=VOCABULARY)
+    near = np.zeros(VOCABULARY * 2 * ALONE, np.float32)
+    a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
+    both = (a >= 0) & (b >= 0)
+    np.add.at(near, neighbours(a[both], b[both], alone(counts)[1]), 1)
+    return classes(counts, near.reshape(VOCABULARY, 2 * ALONE))
+
+
+def untrained(of: Classes) -> Model:
     rng = np.random.default_rng(5)
     c = ALONE + GROUPED
     draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
@@ -111,23 +141,47 @@ def train(windows: np.ndarray, steps: int = 1500, batch: int = 128, rate: float
         "embed": draw(0.3, OWN + c, WIDTH), "place": draw(0.05, WINDOW, WIDTH), "qkv": draw(0.2, WIDTH, 3 * WIDTH), "out": draw(0.1, WIDTH, WIDTH),
         "w1": draw(0.3, WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": draw(0.2, HIDDEN, c), "b2": np.zeros(c, np.float32),
     }
-    seen = np.bincount(class_of[windows[windows >= 0]], minlength=c)
-    p["b2"] = np.log((seen + 1) / (seen.sum() + c)).astype(np.float32)
-    model = Model(p, class_of, share, row_of)
-    if not len(windows):
-        return model
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    for t in range(1, steps + 1):
-        w = windows[rng.integers(0, len(windows), batch)]
-        g = _gradients(model, w)
-        now = rate * min(1, t / 30) * (1 - 0.95 * t / steps)
-        for k, v in g.items():
+    p["b2"] = np.log((of.seen + 1) / (of.seen.sum() + c)).astype(np.float32)
+    return Model(p, of.class_of, of.share, of.row_of)
+
+
+class Adam:
+    """Steps on a model's parameters, in place."""
+
+    def __init__(self, model: Model):
+        self.model, self.t = model, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in model.params.items()} for _ in range(2))
+
+    def step(self, w: np.ndarray, rate: float) -> None:
+        self.t += 1
+        m, s, p, t = self.m, self.s, self.model.params, self.t
+        now = rate * min(1, t / 30)
+        for k, v in _gradients(self.model, w).items():
             m[k] += 0.1 * (v - m[k])
             s[k] += 0.01 * (v * v - s[k])
             p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+
+
+def train(windows: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01, of: Classes | None = None) -> Model:
+    """Trains on windows of WINDOW + 1 ids, the first of each only an input; -1 fills."""
+    model = untrained(classes_of(windows) if of is None else of)
+    if not len(windows):
+        return model
+    rng = np.random.default_rng(6)
+    adam = Adam(model)
+    for t in range(1, steps + 1):
+        adam.step(windows[rng.integers(0, len(windows), batch)], rate * (1 - 0.95 * t / steps))
     return model
 
 
+def cut(seq: np.ndarray) -> np.ndarray:
+    """Windows of WINDOW + 1 ids of which every id but the first is a target once; -1 fills."""
+    n = max(1, -(-(len(seq) - 1) // WINDOW))
+    padded = np.full(n * WINDOW + 1, -1, np.int32)
+    padded[: len(seq)] = seq
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
+
+
 def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
     p = model.params
     source = model.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], BEGIN)]
@@ -142,11 +196,10 @@ def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
     z = r @ p["w1"] + p["b1"]
     f = np.maximum(z, 0)
     logits = f @ p["w2"] + p["b2"]
-    d = np.exp(logits - logits.max(2, keepdims=True))
-    d /= d.sum(2, keepdims=True)
-    i, j = np.indices(target.shape)
-    d[i, j, target] -= 1
-    d *= real[:, :, None] / max(1, real.sum())
+    d = np.exp(np.clip(logits, -40, 40, out=logits), out=logits)
+    d *= (real / max(1, real.sum())).astype(d.dtype)[:, :, None] / (d @ np.ones(d.shape[2], d.dtype))[:, :, None]
+    i, j = np.nonzero(real)
+    d[i, j, target[i, j]] -= d.dtype.type(1 / max(1, len(i)))
     flat = lambda x: x.reshape(-1, x.shape[-1])
     g = {"w2": flat(f).T @ flat(d), "b2": flat(d).sum(0)}
     dz = (d @ p["w2"].T) * (z > 0)

@@ -2,11 +2,16 @@
 
 A word's probability is a mixture of its share of the training tokens, counted over the
 whole corpus, and of the probability that a causal self-attention model gives its subwords.
-The attention model is trained on a bounded sample of windows; the counts cover every text.
+The attention model is trained on every id of the training texts, and its classes and shares
+are of the same ids; only its first steps are on a sample.
 
 1. Words of the training texts are counted in packed blocks by bucket of hashes, combined
    in each task first.  The most frequent words, at most HOT_WORDS, go to all tasks.
-2. Each text is scored once by the attention model.  Frequent words are settled on the
+2. Subword ids of the training texts are written once.  Of all of them the counts and
+   neighbours give the classes.  After first steps on a sample, which only set where it
+   begins, the model meets every id once in ROUNDS rounds: tasks train copies of it on
+   disjoint shards, and a round ends with the mean of the copies.
+3. Each text is scored once by the attention model.  Frequent words are settled on the
    spot; of any other occurrence its hash and attention score go to the hash's bucket,
    where its count is known; sums by text return to buckets of texts and are added up.
 """
@@ -29,13 +34,17 @@ from strandlake.llm.jaccard import BLOCKS, _binary, _bucket, _by_bucket
 
 #: Held-out rows have this remainder of crc32(doc_id as text) by FOLDS.
 FOLDS, HELD_OUT = 10, 0
-#: Words settled in every task; texts and windows of each that the attention model trains on.
+#: Words settled in every task; texts and windows of each for the attention model's first steps.
 HOT_WORDS, SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 1500, 32
 #: Bytes of text scored at a time, which bounds a task's arrays; bytes of text per bucket.
 SCORE_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
 #: Weight of the word counts in the mixture; smoothing of the base score.
 COUNT_WEIGHT, SMOOTHING = 0.5, 0.1
+#: Rounds of training; windows of a shard, unless a round has MAX_SHARDS; of a piece of a text; of a step.
+ROUNDS, SHARD, MAX_SHARDS, PIECE, STEP = 4, 16_384, 256, 256, 128
+#: Windows shuffled together, and the rate of the first round, which falls to its twentieth part.
+MIXED, RATE = 8192, 0.003
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).min
 #: One text's share: its key, how often it occurs, and sums.
@@ -134,6 +143,124 @@ def _sample(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
     return np.frombuffer(b"".join(got["windows"].to_pylist()), np.int32).reshape(-1, size)
 
 
+def _pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(ids, windows): 16-bit ids of the training texts, each between BEGIN and END, in pieces of
+    at most PIECE windows; a piece begins with the last id of the one before."""
+    span = PIECE * _attention.WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SCORE_BYTES):
+            trains = np.flatnonzero(_trains(batch.column(0).to_pylist()))
+            w = scan(batch.column(1))
+            flat, at = subwords(tokenizer_path).encode(w)
+            flat, bounds, out = flat.astype("<u2"), at[w.first], []
+            begin, end = (np.array([x], "<u2") for x in (_attention.BEGIN, _attention.END))
+            for i in trains:
+                seq = np.concatenate([begin, flat[bounds[i] : bounds[i + 1]], end])
+                out += [seq[a : a + span + 1].tobytes() for a in range(0, len(seq) - 1, span)]
+            sizes = [-(-(len(x) // 2 - 1) // _attention.WINDOW) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["ids", "windows"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "ids binary, windows int")
+
+
+def _classes(pieces: DataFrame) -> _attention.Classes:
+    """Classes from the counts and neighbours of all ids of the pieces."""
+
+    def summed(batches: Iterator[pa.RecordBatch], of, size: int) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                parts = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(0)[a : a + 1000]]
+                np.add.at(sums, of(np.concatenate(parts), np.cumsum([len(x) for x in parts])), 1)
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys].astype(np.int64))], ["key", "n"])
+
+    def total(of, size: int) -> np.ndarray:
+        got = pieces.select("ids").mapInArrow(lambda x: summed(x, of, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros(size, np.int64)
+        sums[got["key"].to_numpy()] = got["n"].to_numpy()
+        return sums
+
+    def each(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        inner = np.ones(len(flat), bool)  # a piece's first id is the last of another, or BEGIN
+        inner[np.concatenate([[0], ends[:-1]])] = False
+        return flat[inner]
+
+    def pairs(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        inner = np.ones(len(flat) - 1, bool)
+        inner[ends[:-1] - 1] = False
+        return _attention.neighbours(flat[:-1][inner], flat[1:][inner], class_of)
+
+    counts = total(each, _attention.VOCABULARY)
+    counts[_attention.BEGIN] += counts[_attention.END]
+    class_of = _attention.alone(counts)[1]
+    near = total(pairs, _attention.VOCABULARY * 2 * _attention.ALONE)
+    return _attention.classes(counts, near.astype(np.float32).reshape(_attention.VOCABULARY, -1))
+
+
+def _trained(docs: DataFrame, tokenizer_path: str) -> tuple[_attention.Model, int]:
+    """The attention model, and how many targets it met after its first steps."""
+    pieces = stash(_pieces(docs, tokenizer_path))
+    windows = pieces.agg(F.sum("windows")).first()[0] or 0
+    model = _attention.train(_sample(docs, tokenizer_path), of=_classes(pieces))
+    shards = min(MAX_SHARDS, max(1, -(-windows // (ROUNDS * SHARD))))
+    dealt = pieces.select(F.pmod(F.xxhash64("ids"), F.lit(ROUNDS * shards)).cast("int").alias("shard"), F.xxhash64(F.lit(3), "ids").alias("turn"), "ids")
+    size = _attention.WINDOW + 1
+    met = 0
+    for r in range(ROUNDS if windows else 0):
+        begin = model
+        rate = RATE * (1 - 0.95 * r / ROUNDS)
+
+        def run(batches: Iterator[pa.RecordBatch], begin: _attention.Model = begin, rate: float = rate) -> Iterator[pa.RecordBatch]:
+            own, held, count, copy, adam, rng, seen, targets = None, [], 0, None, None, None, 0, 0
+
+            def steps(most: int) -> None:
+                nonlocal held, count, seen, targets
+                w = np.concatenate(held) if held else np.zeros((0, size), np.int32)
+                now, rest = w[:most], w[most:]
+                held, count = [rest], len(rest)
+                now = now[rng.permutation(len(now))]
+                for a in range(0, len(now), STEP):
+                    adam.step(now[a : a + STEP], rate)
+                seen += len(now)
+                targets += int((now[:, 1:] >= 0).sum())
+
+            def result() -> Iterator[pa.RecordBatch]:
+                steps(count)
+                flat = np.concatenate([copy.params[k].ravel() for k in sorted(copy.params)]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([seen]), pa.array([targets]), pa.array([flat.tobytes()], pa.binary())], ["shard", "windows", "targets", "params"])
+
+            for batch in batches:
+                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    if shard != own:
+                        if own is not None:
+                            yield from result()
+                        own, held, count, seen, targets = shard, [], 0, 0, 0
+                        copy = _attention.Model({k: v.copy() for k, v in begin.params.items()}, begin.class_of, begin.share, begin.row_of)
+                        adam, rng = _attention.Adam(copy), np.random.default_rng(shard)
+                    held.append(_attention.cut(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)))
+                    count += len(held[-1])
+                    while count >= MIXED:
+                        steps(MIXED)
+            if own is not None:
+                yield from result()
+
+        mine = dealt.where(F.col("shard") % ROUNDS == r).repartition(shards, "shard").sortWithinPartitions("shard", "turn", "ids")
+        copies = sorted(mine.mapInArrow(run, "shard int, windows long, targets long, params binary").collect(), key=lambda x: x["shard"])
+        if not copies:
+            continue
+        met += sum(c["targets"] for c in copies)
+        mean = sum(np.frombuffer(c["params"], "<f4").astype(np.float64) * c["windows"] for c in copies) / sum(c["windows"] for c in copies)
+        at, params = 0, {}
+        for k in sorted(begin.params):
+            v = begin.params[k]
+            params[k] = mean[at : at + v.size].astype(np.float32).reshape(v.shape)
+            at += v.size
+        model = _attention.Model(params, begin.class_of, begin.share, begin.row_of)
+    return model, met
+
+
 def _parts_rows(parts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Shares of texts as blocks by bucket of texts."""
     target = _bucket(mix(parts["doc"].view(U64)), buckets)
@@ -164,7 +291,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     hot, hot_n = top["word"].to_numpy().view(U64), top["n"].to_numpy()
     order = np.argsort(hot)
     hot, hot_n = hot[order], hot_n[order]
-    model = _attention.train(_sample(docs, tokenizer_path))
+    model, _ = _trained(docs, tokenizer_path)
     tokens_n = max(train_tokens, 1)
     weight = COUNT_WEIGHT if train_tokens else 0.0
 

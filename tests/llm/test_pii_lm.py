@@ -183,3 +183,25 @@ def test_subwords_equal_whole_texts():
     flat, at = _subword.Subwords(tokenizer_path()).encode(w)
     for i, t in enumerate(texts):
         assert flat[at[w.first[i]] : at[w.first[i + 1]]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_training_meets_every_id(docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "SAMPLE_TEXTS", 3)
+    monkeypatch.setattr(lmscore, "SHARD", 8)
+    monkeypatch.setattr(lmscore, "PIECE", 3)
+    rows = [(i, f"w{i} and " * (5 + i % 70) + ("" if i < 50 else "zebra")) for i in range(120)] + [(3, "again"), (4, None), (None, "not this")]
+    frame = docs(*rows)
+    tok = _subword.Subwords(tokenizer_path())
+    want = collections.Counter()
+    for d, t in rows:
+        if d is not None and zlib.crc32(str(d).encode()) % 10:
+            want.update(tok.encode(_text.scan(pa.array([t], pa.string())))[0].tolist() + [_attention.END])
+    trained, met = lmscore._trained(frame, tokenizer_path())
+    assert met == sum(want.values())
+    other, _ = lmscore._trained(frame.repartition(7), tokenizer_path())
+    assert all(np.allclose(trained.params[k], other.params[k], atol=1e-5) for k in trained.params)
+    of = lmscore._classes(lmscore._pieces(frame, tokenizer_path()))
+    assert of.seen.sum() == met + want[_attention.END]  # each text's BEGIN as well
+    (zebra,) = set(tok.encode(_text.scan(pa.array(["zebra"])))[0].tolist())
+    alone = 10.0 ** of.share[zebra] * of.seen[of.class_of[zebra]]
+    assert want[zebra] > 50 and abs(alone - want[zebra]) < 1 + 0.01 * want[zebra]
