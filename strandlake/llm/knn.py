@@ -7,8 +7,9 @@ pivot, radius and largest norm) follow bounds of every inner product between the
     p.c - r|c| - N d  <=  q.x  <=  p.c + r|c| + N d
 
 for a query q of group pivot p, radius r and largest norm N, and x at distance d of its
-pivot c.  The k-th largest lower bound, over all cells, is a score that each query of the
-group surely reaches.  A vector goes to a group only if its own upper bound,
+pivot c.  The largest lower bounds of k + 1 different ids, over all cells, hold k of others than
+the query's own, so the least of them is a score that k neighbours of each query of the group
+surely reach, however often an id is repeated.  A vector goes to a group only if its own upper bound,
 p.x + r|x|, reaches that score; there blocks of data and queries are solved by matrix
 products, and the best of all blocks are merged.
 """
@@ -95,15 +96,20 @@ def _top_k_of(vectors: DataFrame, queries: DataFrame, k: int, width: int) -> Dat
     data = stash(vectors.mapInArrow(placed, kind))
     asked = stash(queries.mapInArrow(placed, kind))
     groups = {r["cell"]: r for r in asked.groupBy("cell").agg(F.max("gap").alias("radius"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).collect()}
-    near = data.select("cell", "gap", F.row_number().over(Window.partitionBy("cell").orderBy("gap")).alias("r")).where(F.col("r") <= k + 1)
-    gaps = near.groupBy("cell").agg(F.sort_array(F.collect_list("gap")).alias("gaps")).collect()  # k + 1 of each pivot
+    near = data.groupBy("cell", "vec_id").agg(F.min("gap").alias("gap"))
+    near = near.select("cell", "vec_id", "gap", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "vec_id")).alias("r")).where(F.col("r") <= k + 1)
+    gaps = near.groupBy("cell").agg(F.collect_list(F.struct("vec_id", "gap")).alias("gaps")).collect()  # k + 1 ids of each pivot
     lengths = np.sqrt((pivots * pivots).sum(1))
     own = sorted(groups)
     floor = np.full(len(own), -np.inf)
     for g, cell in enumerate(own):
-        low = [pivots[cell] @ pivots[r["cell"]] - groups[cell]["radius"] * lengths[r["cell"]] - groups[cell]["norm"] * d for r in gaps for d in r["gaps"]]
-        if len(low) > k:  # one of them may be the query itself
-            floor[g] = sorted(low, reverse=True)[k]
+        low: dict[int, float] = {}
+        for r in gaps:
+            base = pivots[cell] @ pivots[r["cell"]] - groups[cell]["radius"] * lengths[r["cell"]]
+            for i, d in r["gaps"]:
+                low[i] = max(low.get(i, -np.inf), base - groups[cell]["norm"] * d)
+        if len(low) > k:  # one of the ids may be the query's
+            floor[g] = sorted(low.values(), reverse=True)[k]
     at = pivots[own]
     radius = np.array([groups[c]["radius"] for c in own])
     slack = 1e-6 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))

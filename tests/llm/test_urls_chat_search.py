@@ -107,3 +107,13 @@ def test_repeated_rows(spark):
     rows = spark.createDataFrame([(50, [1]), (50, [1]), (7, [2]), (7, [2])], "vec_id long, vector array<long>")
     got = sorted(tuple(r) for r in knn.top_k(rows, rows.where("vec_id = 50"), 3).collect())
     assert got == [(50, 1, 7, 2), (50, 2, 7, 2)]
+
+
+@pytest.mark.parametrize("times", [2, 6])
+def test_large_query_repeated(spark, times):
+    rng = np.random.default_rng(times)
+    others = [(i, [int(x) for x in rng.integers(-50, 50, 2)]) for i in range(2, 60)]
+    data = [(1, [100_000, 0])] * times + others + [(70, [-9, 9]), (70, [90_000, 5])]
+    frame = spark.createDataFrame(data, "vec_id long, vector array<long>")
+    got = knn.top_k(frame, frame.where("vec_id = 1"), 5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(r) for r in got) == brute(data, data[:1], 5)
