@@ -88,7 +88,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, set sizes, offsets, sets, fingerprints) of a batch (doc_id, text); a null id is -1."""
+    """(doc ids, set sizes, offsets, sets, fingerprints) of a batch (doc_id, text); the id of a null one means nothing."""
     values, offsets = shingle_sets(scan(batch.column(1)), k, BITS)
     doc = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
     prints = np.column_stack([segment_sums(mix(values, salt), offsets) for salt in (5, 6)]).view(np.int64)
@@ -131,7 +131,6 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             new[1:] = (sizes[order[1:]] != sizes[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]]).any(1)
             keep = np.zeros(len(order), bool)
             keep[order[new]] = True
-            keep &= doc >= 0
             row = np.repeat(np.arange(len(doc)), sizes)
             mine = keep[row]
             if not mine.any():
@@ -154,7 +153,7 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             rows = [(b, _pack(doc, sizes, row[i:j], tok[i:j], weight[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
             yield from _binary(rows, BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
 
 
 def _by_bucket(blocks: DataFrame, parts: int, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -71,3 +71,10 @@ def test_edges(docs):
     out = jaccard.jaccard_join(docs((5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f"), (None, "a b c d e f"), (7, None))).components()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in out.collect()) == [("3", "3"), ("5", "3"), ("5", "3"), ("7", "7"), ("None", "None")]
     assert jaccard.jaccard_join(docs((1, "a")).limit(0)).components().count() == 0
+
+
+def test_null_and_negative_ids(docs):
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    near, far = text + " u", "some other words that are of a negative id and of its copy too"
+    out = jaccard.jaccard_join(docs((None, text), (5, text), (6, near), (-1, far), (-7, far + " x"), (9, far)).coalesce(1)).components()
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_links) for r in out.collect()) == [("-1", "-7", 1), ("-7", "-7", 1), ("5", "5", 1), ("6", "5", 1), ("9", "-7", 1), ("None", "None", 0)]
