@@ -5,7 +5,8 @@ similarity t or more share an n-gram in their prefixes, the first n - ceil(t n)
 each.  The join runs in these steps:
 
 1. Equal sets are one class, known by a 128-bit fingerprint; only the smallest doc_id of a
-   class goes on.
+   class goes on, as the class's key.  Where that doc_id has several different sets, the key
+   is the first half of the fingerprint instead.
 2. Frequencies are counted up to CAP over packed blocks: each task sends, per bucket of
    hashes, one block of its documents' n-grams.  Of an n-gram that reaches CAP within a
    task's block one place goes to its bucket, with that weight; the others, whose
@@ -119,7 +120,10 @@ BLOCKS = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
 
 def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Blocks of n-grams by bucket of hashes, of all documents but a task's local copies."""
+    """Blocks of n-grams by bucket of hashes, of all documents but a task's local copies.  Rows
+    for which a column ``twin`` is true go by their fingerprints instead of their doc_ids."""
+
+    twins = ["twin"] if "twin" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -131,6 +135,8 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             new[1:] = (sizes[order[1:]] != sizes[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]]).any(1)
             keep = np.zeros(len(order), bool)
             keep[order[new]] = True
+            if twins:
+                doc = np.where(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), prints[:, 0], doc)
             row = np.repeat(np.arange(len(doc)), sizes)
             mine = keep[row]
             if not mine.any():
@@ -153,7 +159,7 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             rows = [(b, _pack(doc, sizes, row[i:j], tok[i:j], weight[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
             yield from _binary(rows, BLOCKS)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", *twins).mapInArrow(run, "bucket int, block binary")
 
 
 def _by_bucket(blocks: DataFrame, parts: int, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -215,6 +221,9 @@ def _profiles(blocks: list[bytes], limit: Threshold) -> Iterator[pa.RecordBatch]
     freq = np.concatenate([p[4] for p in parts])
     del parts
     order = np.lexsort((tok, freq, doc))
+    again = np.zeros(len(order), bool)  # n-grams of a row repeated in another task
+    again[1:] = (doc[order[1:]] == doc[order[:-1]]) & (tok[order[1:]] == tok[order[:-1]])
+    order = order[~again]
     doc, size, tok, freq = doc[order], size[order], tok[order], freq[order]
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     counts = np.diff(starts, append=len(doc))
@@ -423,24 +432,36 @@ LINK = pa.schema([*((c, pa.int64()) for c in ("a", "root", "degree")), ("links",
 
 @dataclass(frozen=True)
 class Joined:
-    """classes: (doc_id, n_shingles, class_id), a row per document; class_id is the smallest
+    """classes: (doc_id, n_shingles, class_id, key), a row per document; class_id is the smallest
     doc_id of equal sets, or null for a document without words or with a null id.
-    linked: (a, root, degree, links) of the classes with links, as _verified gives them."""
+    linked: (a, root, degree, links) of the classes with links, as _verified gives them, by key.
+    keys: (key, class_id) of the classes, or None where all keys are class_ids."""
 
     classes: DataFrame
     linked: DataFrame
+    keys: DataFrame | None = None
 
     @property
     def links(self) -> DataFrame:
         """(a, b, shared, size_a, size_b), the similar pairs of different classes."""
-        return self.linked.select("a", F.inline("links"))
+        found = self.linked.select("a", F.inline("links"))
+        if self.keys is None:
+            return found
+        for c in ("a", "b"):
+            found = found.withColumnRenamed(c, "key").join(self.keys.withColumnRenamed("class_id", c), "key").drop("key")
+        swap = lambda x, y: F.when(F.col("a") <= F.col("b"), F.col(x)).otherwise(F.col(y))
+        return found.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), "shared", swap("size_a", "size_b").alias("size_a"), swap("size_b", "size_a").alias("size_b"))
 
     def components(self) -> DataFrame:
         """classes with component_id, the smallest doc_id reachable by links, and n_links,
         the class's links to other classes.  A document linked with nothing is its own."""
-        degree = self.linked.groupBy(F.col("a").alias("class_id")).agg(F.sum("degree").alias("n_links"))
-        parts = connected_components(self.linked.select("a", "root"), "a", "root", forest=True).select(F.col("node").alias("class_id"), "component").join(degree, "class_id")
-        return self.classes.join(parts, "class_id", "left").select(
+        degree = self.linked.groupBy(F.col("a").alias("key")).agg(F.sum("degree").alias("n_links"))
+        parts = connected_components(self.linked.select("a", "root"), "a", "root", forest=True).select(F.col("node").alias("key"), "component")
+        if self.keys is not None:
+            parts = stash(parts)
+            least = parts.join(self.keys, "key").groupBy("component").agg(F.min("class_id").alias("least"))
+            parts = parts.join(least, "component").select("key", F.col("least").alias("component"))
+        return self.classes.join(parts.join(degree, "key"), "key", "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
         )
 
@@ -451,21 +472,30 @@ def jaccard_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8,
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than
     k words has its whole sequence as one n-gram; a null, empty or blank text has none and
     links with nothing, as does a row with a null doc_id.  Rows repeated under one doc_id
-    keep a row each.  Other columns are ignored; an empty table gives no rows.
+    keep a row each; where their sets differ, each is linked by its own set.  Other columns are ignored; an empty table gives no rows.
     """
     limit = Threshold(*similarity)
     seen = stash(fingerprints(docs, k))
     known = seen.where("doc_id is not null and n_shingles > 0")
     kinds = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    kinds = stash(kinds)
+    sets = known.groupBy("doc_id").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("n_shingles", "f1", "f2") for f in (F.min, F.max)))
+    twins = stash(sets.where("n_shingles_min <> n_shingles_max or f1_min <> f1_max or f2_min <> f2_max").select("doc_id", F.lit(True).alias("twin")))
+    several = not twins.isEmpty()
+    key = F.col("class_id")
+    if several:
+        kinds = kinds.join(twins.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
+        docs = docs.where("doc_id is not null").select("doc_id", "text").join(twins, "doc_id", "left")
+        key = F.when(F.col("twin"), F.col("f1")).otherwise(key)
+    kinds = stash(kinds.select("n_shingles", "f1", "f2", "class_id", key.alias("key")))
     same = ["n_shingles", "f1", "f2"]
-    classes = seen.join(kinds, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    mine = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    classes = seen.join(kinds, same, "left").select("doc_id", "n_shingles", mine("class_id"), mine("key"))
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 20_000))
     blocks = _hash_blocks(docs, k, buckets)
     shared = _by_bucket(blocks, min(parts, buckets), lambda b: _shared_grams(b, buckets), "bucket int, block binary")
     profiles = _by_bucket(shared, min(parts, buckets), lambda b: _profiles(b, limit), "doc_id long, n int, head int, lone int, cold int, grams binary")
-    profiles = stash(profiles.join(kinds.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    profiles = stash(profiles.join(kinds.select(F.col("key").alias("doc_id")), "doc_id", "left_semi"))
     pairs = stash(_candidates(stash(_entries(profiles)), limit, parts))
-    return Joined(classes, stash(_verified(pairs, profiles, limit, parts)))
+    return Joined(classes, stash(_verified(pairs, profiles, limit, parts)), kinds.select("key", "class_id") if several else None)

@@ -78,3 +78,27 @@ def test_null_and_negative_ids(docs):
     near, far = text + " u", "some other words that are of a negative id and of its copy too"
     out = jaccard.jaccard_join(docs((None, text), (5, text), (6, near), (-1, far), (-7, far + " x"), (9, far)).coalesce(1)).components()
     assert sorted((str(r.doc_id), str(r.component_id), r.n_links) for r in out.collect()) == [("-1", "-7", 1), ("-7", "-7", 1), ("5", "5", 1), ("6", "5", 1), ("9", "-7", 1), ("None", "None", 0)]
+
+
+def test_table_with_itself(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 200)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(2000)}" for _ in range(90)]
+        texts += [" ".join(w[:60]), " ".join(w[30:]), " ".join([*w[:60], "end"])]  # a third, and nearly all, in common
+    frame = docs(*texts).repartition(3)
+    joined = jaccard.jaccard_join(frame.union(frame).union(frame.limit(20)), 3, (8, 10))
+    want, links = brute(dict(enumerate(texts)), 3, 8, 10)
+    assert {(r.a, r.b, r.shared) for r in joined.links.collect()} == {(a, b, 58) for a, b in links} and len(links) == 12
+    rows = joined.components().collect()
+    assert len(rows) == 92 and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
+def test_different_texts_of_one_id(docs):
+    one, two = ("".join(f"{c}{i} " for i in range(30)) for c in "xy")
+    rows = [(5, one), (5, two), (7, one + "more"), (3, two + "more"), (9, "z " + two), (5, one), (11, "alone")]
+    joined = jaccard.jaccard_join(docs(*rows).repartition(4), 3, (8, 10))
+    assert sorted((r.a, r.b, r.shared, r.size_a, r.size_b) for r in joined.links.collect()) == [(3, 5, 28, 29, 28), (3, 9, 28, 29, 29), (5, 7, 28, 28, 29), (5, 9, 28, 28, 29)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in joined.components().collect())
+    assert got == [(3, 29, 3, 2), (5, 28, 3, 2), (5, 28, 5, 1), (5, 28, 5, 1), (7, 29, 5, 1), (9, 29, 3, 2), (11, 1, 11, 0)]
