@@ -39,11 +39,10 @@ class Subwords:
         flat = np.fromiter((x for part in ids for x in part), np.uint32, int(size.sum()))
         at = len(self._pool) + np.cumsum(size) - size
         self._pool = np.concatenate([self._pool, flat])
-        known = np.concatenate([self._known, hashes])
-        order = np.argsort(known, kind="stable")
-        self._known = known[order]
-        self._at = np.concatenate([self._at, at])[order]
-        self._size = np.concatenate([self._size, size])[order]
+        spot = np.searchsorted(self._known, hashes)  # both ascend
+        self._known = np.insert(self._known, spot, hashes)
+        self._at = np.insert(self._at, spot, at)
+        self._size = np.insert(self._size, spot, size)
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words in order, and the offsets of each word's ids."""

@@ -2,8 +2,10 @@
 
 Words are found and hashed on the raw UTF-8 bytes with numpy, so a text costs a few
 array passes and no Python object per word.  Separators are ASCII, hence a byte test
-is exact.  A word's 64-bit hash is a polynomial over random byte values (A-Z share
-the values of a-z), taken from prefix sums and passed through a finaliser.
+is exact.  A word's 64-bit hash is the sum of one random value for each pair of a byte and
+its place in the word (A-Z share the values of a-z), taken from prefix sums and passed
+through a finaliser together with the length; unlike a polynomial modulo 2**64 it has no
+algebraic structure that makes chosen words collide.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ import pyarrow as pa
 import xxhash
 
 U = np.uint64
-#: Bytes of text hashed at a time; also the longest word hashed by polynomial.
-CHUNK = 1 << 21
+#: Bytes of text hashed at a time; a longer word is hashed by itself.
+CHUNK = 1 << 18
 #: Bytes of text handed on at a time by ``slices``.
 SLICE = 8 << 20
 
 _rng = np.random.default_rng(20240607)
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_VALUES[65:91] = _VALUES[97:123]
+#: Values of bytes at the places modulo PLACES of a word, a place's 256 together.
+PLACES = 32
+_VALUES = _rng.integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64)
+_VALUES[:, 65:91] = _VALUES[:, 97:123]
+_VALUES = _VALUES.ravel()
 
 #: Bytes that end a word: ASCII white space, or everything ASCII but 0-9, A-Z and a-z.
 SPACE = np.zeros(256, bool)
@@ -34,19 +37,6 @@ NON_ALNUM = np.ones(256, bool)
 NON_ALNUM[48:58] = NON_ALNUM[65:91] = NON_ALNUM[97:123] = False
 NON_ALNUM[128:] = False
 
-_powers: list[np.ndarray] = []
-
-
-def _pow_tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _powers:
-        for base in (_BASE, _INV):
-            table = np.full(CHUNK + 1, base, np.uint64)
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            _powers.append(table)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser; other salts give independent hashes of the same value."""
     h = h + U((salt * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) % (1 << 64))
@@ -114,8 +104,8 @@ def scan(texts: pa.Array, separators: np.ndarray = SPACE) -> Words:
 
 def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of ascending, non-overlapping byte ranges; A-Z count as a-z."""
-    up, down = _pow_tables()
     out = np.empty(len(start), np.uint64)
+    sums = np.zeros(CHUNK + 1, np.uint64)
     i = 0
     while i < len(start):
         j = max(int(np.searchsorted(end, start[i] + CHUNK, "right")), i)
@@ -126,13 +116,17 @@ def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
             out[i] = xxhash.xxh3_64_intdigest(word.tobytes())
             i += 1
             continue
-        a, b = start[i], end[j - 1]
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_VALUES[buf[a:b]] * up[: b - a], out=sums[1:])
+        a, n = start[i], int(end[j - 1] - start[i])
         s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s]
+        place = np.arange(n, dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(s, append=n))
+        values = _VALUES[((place & (PLACES - 1)) << 8) | buf[a : a + n]]
+        if int((e - s).max()) > PLACES:
+            far = np.flatnonzero(place >= PLACES)
+            values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * U(0x9E3779B97F4A7C15), 11)
+        np.cumsum(values, out=sums[1 : n + 1])
+        out[i:j] = sums[e] - sums[s]
         i = j
-    return mix(out)
+    return mix(out + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -179,10 +173,9 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return full, at
 
 
-def shingle_sets(w: Words, k: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every row, end to end, and row offsets."""
     values, at = shingles(w, k)
-    values = values >> U(64 - bits)
     rows = len(w.first) - 1
     bounds = np.searchsorted(at, np.arange(rows + 1))
     parts = [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(rows)]

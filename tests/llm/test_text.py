@@ -46,3 +46,14 @@ def test_slices_keep_rows():
     parts = list(_text.slices([b], limit=10))
     assert pa.Table.from_batches(parts).to_pydict() == b.to_pydict() and len(parts) > 1
     assert np.array_equal(_text.segment_sums(np.array([1, 2, 3]), np.array([0, 0, 2, 3])), [0, 3, 3])
+
+
+def test_words_whose_polynomials_collide_modulo_two_to_the_64():
+    one, two = ("".join("ab"[(i.bit_count() + x) % 2] for i in range(1024)) for x in (0, 1))
+    h = _text.scan(pa.array([one, two, one[:700] + two[700:], one.upper()])).h
+    assert len(set(h[:3].tolist())) == 3 and h[3] == h[0]
+
+
+def test_places_beyond_the_table():
+    words = ["a" * 31 + "b", "a" * 32 + "b", "a" * 63 + "b", "a" * 64 + "b", "b" + "a" * 31, "a" * 32 + "b" + "a" * 31, "b" + "a" * 63, "a" * 64, "a" * 32]
+    assert len(set(_text.scan(pa.array(words)).h.tolist())) == len(words)
