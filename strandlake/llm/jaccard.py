@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ BUCKET = 1_500_000
 BLOCK = 1024
 #: 64-bit words of a signature; frequencies count up to CAP; beginnings of prefixes compared.
 SIGNATURE, CAP, HEAD = 8, 32, 8
-#: Bits of an n-gram's hash: two of 2,000 in a pair of texts are equal with a chance of 3e-11.
-BITS = 56
 U64 = np.uint64
 
 
@@ -63,17 +62,18 @@ def _pack(doc: np.ndarray, size: np.ndarray, at: np.ndarray, tok: np.ndarray, fr
     """A block: a table of documents, and n-grams ascending with places in that table and
     weights or frequencies.
 
-    Hashes are kept as differences, byte by byte, so that equal high bytes compress.
+    Hashes are kept as differences, byte by byte, so that equal high bytes compress; places as well.
     """
     used, place = np.unique(at, return_inverse=True)
     steps = np.diff(tok, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
     wide = np.uint16 if len(used) < 65536 else np.uint32
     head = np.array([len(used), len(tok)], np.int64)
-    parts = [head, doc[used].astype(np.int64), size[used].astype(np.int32), np.ascontiguousarray(steps), place.astype(wide), freq.astype(np.uint8)]
-    return b"".join(p.tobytes() for p in parts)
+    parts = [head, doc[used].astype(np.int64), size[used].astype(np.int32), np.ascontiguousarray(steps), place.astype(wide).view(np.uint8).reshape(len(tok), -1).T, freq.astype(np.uint8)]
+    return zstandard.ZstdCompressor(1).compress(b"".join(p.tobytes() for p in parts))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     docs, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     at = 16
     doc = np.frombuffer(raw, np.int64, docs, at)
@@ -83,14 +83,14 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     tok = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(U64).ravel(), dtype=U64)
     at += 8 * n
     wide = np.dtype(np.uint16 if docs < 65536 else np.uint32)
-    place = np.frombuffer(raw, wide, n, at)
+    place = np.frombuffer(raw, np.uint8, wide.itemsize * n, at).reshape(-1, n).T.copy().view(wide).ravel() if n else np.zeros(0, wide)
     at += wide.itemsize * n
     return doc, size, place, tok, np.frombuffer(raw, np.uint8, n, at)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, set sizes, offsets, sets, fingerprints) of a batch (doc_id, text); the id of a null one means nothing."""
-    values, offsets = shingle_sets(scan(batch.column(1)), k, BITS)
+    values, offsets = shingle_sets(scan(batch.column(1)), k)
     doc = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
     prints = np.column_stack([segment_sums(mix(values, salt), offsets) for salt in (5, 6)]).view(np.int64)
     return doc, np.diff(offsets), offsets, values, prints
@@ -144,7 +144,7 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             tok, row = values[mine], row[mine]
             order = np.argsort(tok, kind="stable")
             tok, row = tok[order], row[order]
-            bucket = _bucket(tok << U64(64 - BITS), buckets)
+            bucket = _bucket(tok, buckets)
             weight = np.ones(len(tok), np.uint8)
             starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             counts = np.diff(starts, append=len(tok))
@@ -177,7 +177,7 @@ def _by_bucket(blocks: DataFrame, parts: int, work: Callable[[list[bytes]], Iter
         if held:
             yield from work(held)
 
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return blocks.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _shared_grams(blocks: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
