@@ -1,8 +1,10 @@
 """A small causal self-attention model over subword ids, trained and run in numpy.
 
-One attention layer with a residual, one hidden layer, and a softmax over classes of
-subwords: the most frequent subwords are classes of their own, the rest are grouped by what
-follows them.  A subword's probability is its class's times its smoothed share in the class.
+One attention layer with a residual, one hidden layer, and a softmax in two steps: over
+classes, then over the members of a class.  The most frequent subwords are classes of their
+own; the next ones are members of groups, by what stands beside them; all others share a last
+member of their group, each with its smoothed share of that member's occurrences.  Both
+softmaxes depend on the context.
 Texts are scored in windows of ``WINDOW`` inputs that overlap by ``WINDOW - STRIDE``; every
 id is a target once, with at least the overlap as context (but for the text's beginning).
 """
@@ -13,21 +15,36 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, STRIDE = 16, 12
-WIDTH, HIDDEN = 16, 24
-ALONE, GROUPED = 96, 32
+WINDOW, STRIDE = 32, 28
+WIDTH, HIDDEN = 16, 32
+#: Classes of one subword; groups, and the members of each, of which the last is all the rest.
+ALONE, GROUPED, MEMBERS = 48, 24, 64
+CLASSES = ALONE + GROUPED
 #: Subwords with an embedding of their own; the others share their class's.
-OWN = 2048
+OWN = ALONE + GROUPED * (MEMBERS - 1)
 BEGIN, END, VOCABULARY = 49406, 49407, 49408
+#: Windows scored at a time.
+CHUNK = 256
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
 
 
 @dataclass
-class Model:
-    params: dict[str, np.ndarray]
+class Classes:
+    #: Of each id: its class, its place in its group, log10 of its share of that place, its embedding.
     class_of: np.ndarray
+    member_of: np.ndarray
     share: np.ndarray
     row_of: np.ndarray
+    #: Occurrences of each class, and of each member of each group.
+    seen: np.ndarray
+    seen_members: np.ndarray
+
+
+@dataclass
+class Model:
+    params: dict[str, np.ndarray]
+    of: Classes
 
     def log10_probabilities(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 of each id's probability; text i is ids[bounds[i]:bounds[i + 1]], its end included."""
@@ -36,44 +53,76 @@ class Model:
         windows = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
         text = np.repeat(np.arange(len(n)), windows)
         start = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
-        rows = self.row_of[ids]
-        begin = self.row_of[BEGIN]
+        rows, classes, members = self.of.row_of[ids], self.of.class_of[ids], self.of.member_of[ids]
+        begin = self.of.row_of[BEGIN]
         steps = np.arange(WINDOW)
-        for a in range(0, len(text), 1024):
-            t, s = text[a : a + 1024], start[a : a + 1024]
+        for a in range(0, len(text), CHUNK):
+            t, s = text[a : a + CHUNK], start[a : a + CHUNK]
             place = s[:, None] + steps  # of the target in its text; its input stands before it
             inside = place < n[t][:, None]
             target = np.minimum(bounds[t][:, None] + place, len(ids) - 1)
             source = np.where(place > 0, rows[np.maximum(target - 1, 0)], begin)
             wanted = inside & ((steps >= WINDOW - STRIDE) | (s == 0)[:, None])
-            hidden = self._hidden(source)[wanted]
             at = target[wanted]
-            logits = np.clip(self._logits(hidden), -40, 40)
-            mine = logits[np.arange(len(at)), self.class_of[ids[at]]]
-            total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)
-            out[at] = (mine - np.log(total)) * np.float32(np.log10(np.e))
-        return out + self.share[ids]
-
-    def _hidden(self, source: np.ndarray) -> np.ndarray:
+            f = self.top(self.mixed(source)[wanted])
+            logits = self.logits(f)
+            found = logits[np.arange(len(at)), classes[at]]
+            found -= np.log(np.exp(logits, out=logits) @ _ONES[:CLASSES])
+            order, cut = _by_group(classes[at])
+            z = self.member_logits(f[order], cut)
+            mine = z[np.arange(len(order)), members[at[order]]]
+            found[order] += mine - np.log(np.exp(z, out=z) @ _ONES[:MEMBERS])
+            out[at] = found
+        return out * np.float32(np.log10(np.e)) + self.of.share[ids]
+
+    def attend(self, source: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(inputs, q, k, v, weights) of windows of embedding rows."""
         p = self.params
-        h = p["embed"][source] + p["place"]
+        h = np.take(p["embed"], source, axis=0)
+        h += p["place"]
         q, k, v = np.split(h @ p["qkv"], 3, axis=2)
-        w = np.exp(np.clip(q @ k.transpose(0, 2, 1), -20, 20)) * _CAUSAL
-        mixed = (w @ v) / w.sum(2, keepdims=True)
-        return h + mixed @ p["out"]
-
-    def _logits(self, r: np.ndarray) -> np.ndarray:
-        p = self.params
-        return np.maximum(r @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
-
-
-@dataclass
-class Classes:
-    class_of: np.ndarray
-    share: np.ndarray
-    row_of: np.ndarray
-    #: Occurrences of each class.
-    seen: np.ndarray
+        w = q @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(w, 20, out=w), out=w)
+        w *= _CAUSAL.astype(w.dtype)
+        w /= _sums(w)
+        return h, q, k, v, w
+
+    def mixed(self, source: np.ndarray) -> np.ndarray:
+        h, _, _, v, w = self.attend(source)
+        h += (w @ v) @ self.params["out"]
+        return h
+
+    def top(self, r: np.ndarray) -> np.ndarray:
+        """The hidden layer, and a last column of ones for the biases."""
+        f = np.ones((len(r), HIDDEN + 1), r.dtype)
+        z = r @ self.params["w1"]
+        z += self.params["b1"]
+        np.maximum(z, 0, out=f[:, :HIDDEN])
+        return f
+
+    def logits(self, f: np.ndarray) -> np.ndarray:
+        z = f @ self.params["w2"]
+        return np.minimum(z, 40, out=z)
+
+    def member_logits(self, f: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Those of rows sorted by group."""
+        z = np.empty((len(f), MEMBERS), f.dtype)
+        for g in range(GROUPED):
+            if cut[g + 1] > cut[g]:
+                np.matmul(f[cut[g] : cut[g + 1]], self.params["w3"][g], out=z[cut[g] : cut[g + 1]])
+        return np.minimum(z, 40, out=z)
+
+
+def _sums(w: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays."""
+    return (w.reshape(-1, w.shape[-1]) @ np.ones(w.shape[-1], w.dtype)).reshape(*w.shape[:-1], 1)
+
+
+def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the targets whose class is a group, by group, and where each group begins."""
+    order = np.argsort(classes, kind="stable")
+    cut = np.searchsorted(classes[order], np.arange(ALONE, CLASSES + 1))
+    return order[cut[0] :], cut - cut[0]
 
 
 def alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,27 +149,34 @@ def classes(counts: np.ndarray, near: np.ndarray) -> Classes:
     counts = counts.astype(np.float64)
     order, class_of = alone(counts)
     rest = order[ALONE:]
-    rest = rest[counts[rest] > 0]
-    if len(rest):
-        x = np.sqrt(near[rest] / np.maximum(near[rest].sum(1, keepdims=True), 1))
-        centres = x[: GROUPED - 1].copy()
-        for _ in range(6):
-            cell = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
-            by_cell = np.argsort(cell, kind="stable")
-            size = np.bincount(cell, minlength=len(centres))
-            sums = np.zeros_like(centres)
-            sums[size > 0] = np.add.reduceat(x[by_cell], (np.cumsum(size) - size)[size > 0])
-            size = size[:, None]
-            centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
-        class_of[rest] = ALONE + 1 + cell
+    x = np.sqrt(near[rest] / np.maximum(near[rest].sum(1, keepdims=True), 1))
+    met = np.flatnonzero(counts[rest] > 0)
+    centres = x[:GROUPED].copy()
+    for _ in range(6 if len(met) else 0):
+        cell = (x[met] @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+        for g in np.unique(cell):
+            centres[g] = x[met[cell == g]].mean(0)
+    cell = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+    # the most frequent of the rest, by cell, fill the groups' places in turn
+    own = np.argsort(cell[: OWN - ALONE], kind="stable")
+    group, member = np.empty(len(rest), np.int64), np.full(len(rest), MEMBERS - 1)
+    place = np.arange(len(own))
+    group[own], member[own] = place // (MEMBERS - 1), place % (MEMBERS - 1)
+    first = np.searchsorted(cell[own], np.arange(GROUPED))
+    of_cell = np.minimum(first, len(own) - 1) // (MEMBERS - 1)
+    group[len(own) :] = of_cell[cell[len(own) :]]
+    class_of[rest] = ALONE + group
+    member_of = np.zeros(VOCABULARY, np.int16)
+    member_of[rest] = member
+    row_of = np.empty(VOCABULARY, np.int32)
+    row_of[order[:OWN]] = np.arange(OWN)
+    row_of[order[OWN:]] = OWN + class_of[order[OWN:]]
+    slot = np.where(class_of < ALONE, class_of.astype(np.int64), ALONE + (class_of.astype(np.int64) - ALONE) * MEMBERS + member_of)
     smooth = counts + 0.1
-    total = np.bincount(class_of, smooth, minlength=ALONE + GROUPED)
-    row_of = (OWN + class_of).astype(np.int32)
-    own = order[:OWN]
-    own = own[counts[own] > 2]
-    row_of[own] = np.arange(len(own))
-    seen = np.bincount(class_of, counts, minlength=ALONE + GROUPED)
-    return Classes(class_of, np.log10(smooth / total[class_of]).astype(np.float32), row_of, seen)
+    share = np.log10(smooth / np.bincount(slot, smooth)[slot]).astype(np.float32)
+    seen = np.bincount(class_of, counts, minlength=CLASSES)
+    seen_members = np.bincount(slot, counts, minlength=ALONE + GROUPED * MEMBERS)[ALONE:].reshape(GROUPED, MEMBERS)
+    return Classes(class_of, member_of, share, row_of, seen, seen_members)
 
 
 def classes_of(windows: np.ndarray) -> Classes:
@@ -135,14 +191,14 @@ def classes_of(windows: np.ndarray) -> Classes:
 
 def untrained(of: Classes) -> Model:
     rng = np.random.default_rng(5)
-    c = ALONE + GROUPED
     draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     p = {
-        "embed": draw(0.3, OWN + c, WIDTH), "place": draw(0.05, WINDOW, WIDTH), "qkv": draw(0.2, WIDTH, 3 * WIDTH), "out": draw(0.1, WIDTH, WIDTH),
-        "w1": draw(0.3, WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": draw(0.2, HIDDEN, c), "b2": np.zeros(c, np.float32),
+        "embed": draw(0.3, OWN + CLASSES, WIDTH), "place": draw(0.05, WINDOW, WIDTH), "qkv": draw(0.15, WIDTH, 3 * WIDTH), "out": draw(0.1, WIDTH, WIDTH),
+        "w1": draw(0.2, WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": draw(0.1, HIDDEN + 1, CLASSES), "w3": draw(0.1, GROUPED, HIDDEN + 1, MEMBERS),
     }
-    p["b2"] = np.log((of.seen + 1) / (of.seen.sum() + c)).astype(np.float32)
-    return Model(p, of.class_of, of.share, of.row_of)
+    p["w2"][HIDDEN] = np.log((of.seen + 1) / (of.seen.sum() + CLASSES))
+    p["w3"][:, HIDDEN] = np.log((of.seen_members + 0.5) / (of.seen_members + 0.5).sum(1, keepdims=True))
+    return Model(p, of)
 
 
 class Adam:
@@ -155,14 +211,22 @@ class Adam:
     def step(self, w: np.ndarray, rate: float) -> None:
         self.t += 1
         m, s, p, t = self.m, self.s, self.model.params, self.t
-        now = rate * min(1, t / 30)
+        now = rate * min(1, t / 30) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         for k, v in _gradients(self.model, w).items():
-            m[k] += 0.1 * (v - m[k])
-            s[k] += 0.01 * (v * v - s[k])
-            p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
-
-
-def train(windows: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 0.01, of: Classes | None = None) -> Model:
+            m[k] *= m[k].dtype.type(0.9)
+            s[k] *= s[k].dtype.type(0.99)
+            m[k] += v * v.dtype.type(0.1)
+            v *= v
+            v *= v.dtype.type(0.01)
+            s[k] += v
+            root = np.sqrt(s[k], out=v)
+            root += root.dtype.type(1e-8)
+            np.divide(m[k], root, out=root)
+            root *= root.dtype.type(now)
+            p[k] -= root
+
+
+def train(windows: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, of: Classes | None = None) -> Model:
     """Trains on windows of WINDOW + 1 ids, the first of each only an input; -1 fills."""
     model = untrained(classes_of(windows) if of is None else of)
     if not len(windows):
@@ -182,38 +246,61 @@ def cut(seq: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
 
 
+def _row_sums(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    order = np.argsort(rows.astype(np.uint16) if size <= 65536 else rows, kind="stable")
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    out[sorted_rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
+def _less_chosen(e: np.ndarray, chosen: np.ndarray, scale: float) -> np.ndarray:
+    """From logits, in place: their softmax less the chosen column's one, times scale."""
+    np.exp(e, out=e)
+    e *= (scale / (e @ np.ones(e.shape[1], e.dtype)))[:, None]
+    e[np.arange(len(e)), chosen] -= scale
+    return e
+
+
 def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
-    p = model.params
-    source = model.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], BEGIN)]
+    """Gradients of the mean loss of a batch of windows."""
+    p, of = model.params, model.of
+    source = of.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], BEGIN)]
     real = w[:, 1:] >= 0
-    target = model.class_of[np.where(real, w[:, 1:], 0)].astype(np.int64)
-    h = p["embed"][source] + p["place"]
-    q, k, v = np.split(h @ p["qkv"], 3, axis=2)
-    e = np.exp(np.clip(q @ k.transpose(0, 2, 1), -20, 20)) * _CAUSAL
-    a = e / e.sum(2, keepdims=True)
+    ids = w[:, 1:][real]
+    h, q, k, v, a = model.attend(source)
     mixed = a @ v
-    r = h + mixed @ p["out"]
-    z = r @ p["w1"] + p["b1"]
-    f = np.maximum(z, 0)
-    logits = f @ p["w2"] + p["b2"]
-    d = np.exp(np.clip(logits, -40, 40, out=logits), out=logits)
-    d *= (real / max(1, real.sum())).astype(d.dtype)[:, :, None] / (d @ np.ones(d.shape[2], d.dtype))[:, :, None]
-    i, j = np.nonzero(real)
-    d[i, j, target[i, j]] -= d.dtype.type(1 / max(1, len(i)))
+    r = (h + mixed @ p["out"])[real]  # targets only
+    f = model.top(r)
+    c = of.class_of[ids]
+    scale = f.dtype.type(1 / max(1, len(ids)))
+    d = _less_chosen(model.logits(f), c, scale)
+    g = {"w2": f.T @ d, "w3": np.zeros_like(p["w3"])}
+    df = d @ p["w2"][:HIDDEN].T
+    order, cut = _by_group(c)
+    part = f[order]
+    e = _less_chosen(model.member_logits(part, cut), of.member_of[ids[order]], scale)
+    more = np.empty((len(order), HIDDEN), f.dtype)
+    for i in range(GROUPED):
+        if cut[i + 1] > cut[i]:
+            at = slice(cut[i], cut[i + 1])
+            np.matmul(part[at].T, e[at], out=g["w3"][i])
+            np.matmul(e[at], p["w3"][i, :HIDDEN].T, out=more[at])
+    df[order] += more
+    df *= f[:, :HIDDEN] > 0
+    g |= {"w1": r.T @ df, "b1": np.ones(len(df), df.dtype) @ df}
+    dr = np.zeros_like(h)
+    dr[real] = df @ p["w1"].T
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    g = {"w2": flat(f).T @ flat(d), "b2": flat(d).sum(0)}
-    dz = (d @ p["w2"].T) * (z > 0)
-    g |= {"w1": flat(r).T @ flat(dz), "b1": flat(dz).sum(0)}
-    dr = dz @ p["w1"].T
     g["out"] = flat(mixed).T @ flat(dr)
     dmixed = dr @ p["out"].T
-    da = dmixed @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2)
+    ds = dmixed @ v.transpose(0, 2, 1)
+    ds -= _sums(dmixed * mixed)
+    ds *= a
+    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmixed], axis=2)
     g["qkv"] = flat(h).T @ flat(dqkv)
-    dh = dr + dqkv @ p["qkv"].T
-    g["place"] = dh.sum(0)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], source.ravel(), flat(dh))
+    dr += dqkv @ p["qkv"].T
+    g["place"] = dr.sum(0)
+    g["embed"] = _row_sums(flat(dr), source.ravel(), len(p["embed"]))
     return g

@@ -1,54 +1,61 @@
-"""Language-model scores of texts: an attention model mixed with the corpus's word counts.
-
-A word's probability is a mixture of its share of the training tokens, counted over the
-whole corpus, and of the probability that a causal self-attention model gives its subwords.
-The attention model is trained on every id of the training texts, and its classes and shares
-are of the same ids; only its first steps are on a sample.
-
-1. Words of the training texts are counted in packed blocks by bucket of hashes, combined
-   in each task first.  The most frequent words, at most HOT_WORDS, go to all tasks.
-2. Subword ids of the training texts are written once.  Of all of them the counts and
-   neighbours give the classes.  After first steps on a sample, which only set where it
-   begins, the model meets every id once in ROUNDS rounds: tasks train copies of it on
-   disjoint shards, and a round ends with the mean of the copies.
-3. Each text is scored once by the attention model.  Frequent words are settled on the
-   spot; of any other occurrence its hash and attention score go to the hash's bucket,
-   where its count is known; sums by text return to buckets of texts and are added up.
+"""Language-model scores of texts: a causal attention model over subword ids, beside a unigram base.
+
+A text's score is the log10 probability that the attention model gives its subword ids and
+its end; nothing else enters it.  The base score is the smoothed unigram probability under the
+counts of the training texts' words.
+
+1. Words are counted in packed blocks by bucket of hashes, combined in each task first.
+   Words that are at least one in HOT_WORDS of all occurrences, which are at most HOT_WORDS,
+   go to all tasks.
+2. One pass over the texts writes their subword ids, and of every occurrence of another
+   word its hash by bucket.  Frequent words are settled on the spot.
+3. Counts and neighbours of all ids of the training texts give the classes.  After first
+   steps on a sample, which only set where it begins, the attention model meets every id of
+   the training texts once in ROUNDS rounds: tasks train copies of it on disjoint shards, and
+   a round ends with the mean of the copies.
+4. The model scores each id of every text once.  Each bucket of words gives its counts'
+   part of the base scores; sums by text return to buckets of texts and are added up.  A
+   row of frequent words alone needs no other's part and is dealt to any bucket, so rows that
+   repeat too often for one bucket never meet in one: all their words are frequent.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import _attention
 from strandlake.llm._spark import crc_mod, stash
 from strandlake.llm._subword import subwords
-from strandlake.llm._text import mix, scan, segment_sums, slices
+from strandlake.llm._text import column_bytes, mix, scan, segment_sums, slices
 from strandlake.llm.jaccard import BLOCKS, _binary, _bucket, _by_bucket
 
 #: Held-out rows have this remainder of crc32(doc_id as text) by FOLDS.
 FOLDS, HELD_OUT = 10, 0
-#: Words settled in every task; texts and windows of each for the attention model's first steps.
-HOT_WORDS, SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 1500, 32
+#: Words settled in every task, unless there are more buckets.
+HOT_WORDS = 20_000
+#: Texts, and windows of each, of the attention model's first steps.
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 32
 #: Bytes of text scored at a time, which bounds a task's arrays; bytes of text per bucket.
 SCORE_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
-#: Weight of the word counts in the mixture; smoothing of the base score.
-COUNT_WEIGHT, SMOOTHING = 0.5, 0.1
+#: Smoothing of the base score.
+SMOOTHING = 0.1
 #: Rounds of training; windows of a shard, unless a round has MAX_SHARDS; of a piece of a text; of a step.
-ROUNDS, SHARD, MAX_SHARDS, PIECE, STEP = 4, 16_384, 256, 256, 128
+ROUNDS, SHARD, MAX_SHARDS, PIECE, STEP = 4, 16_384, 256, 128, 128
 #: Windows shuffled together, and the rate of the first round, which falls to its twentieth part.
 MIXED, RATE = 8192, 0.003
 U64 = np.uint64
-NO_ID = np.iinfo(np.int64).min
-#: One text's share: its key, how often it occurs, and sums.
-PART = np.dtype([("doc", "<i8"), ("twin", "<i4"), ("rows", "<i4"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+#: One text's share: its key (of doc_id and text), whether it needs no other's share, how often
+#: it occurs, and sums.
+PART = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("named", "?"), ("settled", "?"), ("rows", "<i4"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+SUMS = ("rows", "tokens", "known", "base", "score")
 
 
 def held_out(column: str = "doc_id"):
@@ -69,15 +76,18 @@ def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the rows of values of each)."""
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(values, starts) if len(keys) else values
+    return keys[starts], np.add.reduceat(values, starts, axis=0) if len(keys) else values
 
 
 def _word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks by bucket: distinct words, their occurrences in training texts and in all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, ends = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        words, counts, ends = np.zeros(0, U64), np.zeros((0, 2), np.int64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             bounds = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
@@ -87,125 +97,207 @@ def _word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in slices(batches):
             trains = _trains(batch.column(0).to_pylist())
             w = scan(batch.column(1))
-            u, n = np.unique(w.h[trains[w.row]], return_counts=True)
-            words, counts = _sum_by(np.concatenate([words, u]), np.concatenate([counts, n]))
+            order = np.argsort(w.h, kind="stable")
+            h, mine = w.h[order], trains[w.row[order]]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            n = np.column_stack([np.add.reduceat(mine, starts, dtype=np.int64) if len(h) else starts, np.diff(starts, append=len(h))])
+            words, counts = _sum_by(np.concatenate([words, h[starts]]), np.concatenate([counts, n]))
             ends += int(trains.sum())
             if len(words) > 1_500_000:
                 yield from flush()
-                words, counts, ends = np.zeros(0, U64), np.zeros(0, np.int64), 0
+                words, counts, ends = np.zeros(0, U64), np.zeros((0, 2), np.int64), 0
         if len(words) or ends:
             yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
 
 
-COUNTS = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("whole", pa.int64())])
 
 
 def _count(blocks: list[bytes], most: int) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: (0, distinct, tokens), (1, -, ends) and (2, word, count) of its most frequent words."""
+    """Of one bucket: (0, distinct in training, tokens in training, tokens), (1, -, ends, -) and (2, word,
+    count in training, count) of the words that are at least one in ``most`` of its own tokens,
+    hence of all that are at least one in ``most`` of the corpus's."""
     words, counts, ends = [], [], 0
     for raw in blocks:
         n, e = (int(x) for x in np.frombuffer(raw, np.int64, 2))
         ends += e
         words.append(_from_planes(raw, n, 16))
-        counts.append(np.frombuffer(raw, "<i4", n, 16 + 8 * n).astype(np.int64))
+        counts.append(np.frombuffer(raw, "<i4", 2 * n, 16 + 8 * n).astype(np.int64).reshape(-1, 2))
     u, n = _sum_by(np.concatenate(words), np.concatenate(counts))
-    top = np.argsort(-n, kind="stable")[:most]
-    rows = [(0, len(u), int(n.sum())), (1, 0, ends), *((2, int(x), int(y)) for x, y in zip(u[top].view(np.int64), n[top], strict=True))]
+    trained, whole = (int(x) for x in n.sum(0))
+    top = np.flatnonzero(n[:, 1] * most >= whole)
+    rows = [(0, int((n[:, 0] > 0).sum()), trained, whole), (1, 0, ends, 0), *((2, int(x), int(y), int(z)) for x, (y, z) in zip(u[top].view(np.int64), n[top], strict=True))]
     yield from _binary(rows, COUNTS)
 
 
-def _sample(docs: DataFrame, tokenizer_path: str) -> np.ndarray:
-    """At most SAMPLE_WINDOWS windows, spread over the whole text, of at most SAMPLE_TEXTS
-    training texts, those whose ids have the smallest hashes."""
-    ids = docs.where("doc_id is not null").where(~held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    size = _attention.WINDOW + 1
+def _keys(ids: list[int | None], texts: pa.Array) -> np.ndarray:
+    """128-bit keys, as two columns, of rows (doc_id, text): equal for equal rows alone."""
+    buf, off = column_bytes(texts)
+    raw = b"".join(xxhash.xxh3_128_digest(buf[a:b], seed=xxhash.xxh3_64_intdigest(b"%d" % i if i is not None else b"-")) for i, a, b in zip(ids, off[:-1], off[1:], strict=True))
+    return np.frombuffer(raw, U64).reshape(-1, 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            w = scan(batch.column(1))
-            flat, at = subwords(tokenizer_path).encode(w)
-            bounds = at[w.first]
-            out = []
-            for i in range(batch.num_rows):
-                seq = np.concatenate([[_attention.BEGIN], flat[bounds[i] : bounds[i + 1]], [_attention.END]]).astype(np.int32)
-                starts = np.unique(np.linspace(0, max(0, len(seq) - size), min(SAMPLE_WINDOWS, 1 + len(seq) // size)).astype(np.int64))
-                rows = np.full((len(starts), size), -1, np.int32)
-                for r, s in zip(rows, starts, strict=True):
-                    part = seq[s : s + size]
-                    r[: len(part)] = part
-                out.append(rows.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "windows"])
-
-    got = chosen.mapInArrow(run, "doc_id long, windows binary").toArrow().sort_by([("doc_id", "ascending"), ("windows", "ascending")])
-    return np.frombuffer(b"".join(got["windows"].to_pylist()), np.int32).reshape(-1, size)
 
+def _id_block(parts: np.ndarray, trains: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> bytes:
+    """The shares of texts, which of them train, and their ids end to end, by byte."""
+    head = np.array([len(parts), len(ids)], np.int64)
+    return b"".join([head.tobytes(), parts.tobytes(), trains.astype(np.uint8).tobytes(), np.diff(bounds).astype("<i8").tobytes(), ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()])
+
+
+def _from_id_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    at = 16
+    parts = np.frombuffer(raw, PART, n, at)
+    at += PART.itemsize * n
+    trains = np.frombuffer(raw, np.uint8, n, at).astype(bool)
+    at += n
+    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, at))])
+    ids = np.frombuffer(raw, np.uint8, 2 * m, at + 8 * n).reshape(2, m).T.copy().view("<u2").ravel()
+    return parts, trains, ids, bounds
 
-def _pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(ids, windows): 16-bit ids of the training texts, each between BEGIN and END, in pieces of
-    at most PIECE windows; a piece begins with the last id of the one before."""
-    span = PIECE * _attention.WINDOW
+
+SCANNED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("windows", pa.int64()), ("block", pa.binary())])
+
+
+def _scanned(docs: DataFrame, tokenizer_path: str, buckets: int, hot: np.ndarray, hot_n: np.ndarray, ends: int, base: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(kind, bucket, windows, block): of kind 0, occurrences of words that are not hot, by bucket;
+    of kind 1, ids of texts with their shares so far and the windows of those that train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SCORE_BYTES):
-            trains = np.flatnonzero(_trains(batch.column(0).to_pylist()))
+            ids = batch.column(0).to_pylist()
+            n, trains = len(ids), _trains(ids)
             w = scan(batch.column(1))
+            first, row = w.first, w.row
             flat, at = subwords(tokenizer_path).encode(w)
-            flat, bounds, out = flat.astype("<u2"), at[w.first], []
-            begin, end = (np.array([x], "<u2") for x in (_attention.BEGIN, _attention.END))
-            for i in trains:
-                seq = np.concatenate([begin, flat[bounds[i] : bounds[i + 1]], end])
-                out += [seq[a : a + span + 1].tobytes() for a in range(0, len(seq) - 1, span)]
-            sizes = [-(-(len(x) // 2 - 1) // _attention.WINDOW) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["ids", "windows"])
+            bounds = at[first] + np.arange(n + 1)  # each text's ids and its end, in one array
+            seq = np.full(len(flat) + n, _attention.END, np.uint16)
+            seq[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at[first]))] = flat
+            spot = np.minimum(np.searchsorted(hot, w.h), max(len(hot) - 1, 0))
+            is_hot = hot[spot] == w.h if len(hot) else np.zeros(len(w.h), bool)
+            count = hot_n[spot[is_hot]]
+            parts = np.zeros(n, PART)
+            parts["k1"], parts["k2"] = _keys(ids, batch.column(1)).T
+            parts["doc"] = [0 if x is None else x for x in ids]
+            parts["named"] = [x is not None for x in ids]
+            parts["rows"] = 1
+            parts["tokens"] = w.counts + 1
+            parts["known"] = np.bincount(row[is_hot], count > 0, n) + (ends > 0)
+            parts["base"] = np.bincount(row[is_hot], base(count), n) + base(np.array(ends))
+            left = np.flatnonzero(~is_hot)
+            parts["settled"] = np.bincount(row[left], minlength=n) == 0
+            windows = -(-np.diff(bounds)[trains] // _attention.WINDOW)
+            yield from _binary([(1, 0, int(windows.sum()), _id_block(parts, trains, seq, bounds))], SCANNED)
+            order = left[np.argsort(w.h[left], kind="stable")]
+            h, place = w.h[order], row[order]
+            limits = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            rows = []
+            for b, (i, j) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
+                if j > i:
+                    used, at_used = np.unique(place[i:j], return_inverse=True)
+                    wide = "<u2" if len(used) < 65536 else "<u4"
+                    head = np.array([len(used), j - i], np.int64)
+                    keys = np.column_stack([parts["k1"][used], parts["k2"][used], trains[used].astype(U64)])
+                    rows.append((0, b, 0, b"".join([head.tobytes(), keys.tobytes(), _planes(h[i:j]), at_used.astype(wide).tobytes()])))
+            yield from _binary(rows, SCANNED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "ids binary, windows int")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, bucket int, windows long, block binary")
 
 
-def _classes(pieces: DataFrame) -> _attention.Classes:
-    """Classes from the counts and neighbours of all ids of the pieces."""
+def _training(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(first half of the key, ids from BEGIN to END) of the training texts of a block."""
+    parts, trains, ids, bounds = _from_id_block(raw)
+    begin = np.array([_attention.BEGIN], "<u2")
+    for i in np.flatnonzero(trains):
+        yield int(parts["k1"][i]), np.concatenate([begin, ids[bounds[i] : bounds[i + 1]]])
 
-    def summed(batches: Iterator[pa.RecordBatch], of, size: int) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size, np.int32)
+
+def _sample(blocks: DataFrame, texts: int) -> np.ndarray:
+    """At most SAMPLE_WINDOWS windows, spread over the whole text, of at most SAMPLE_TEXTS of
+    ``texts`` training texts, those whose keys are smallest."""
+    size = _attention.WINDOW + 1
+    below = int(2**64 * min(1.0, 2 * SAMPLE_TEXTS / max(texts, 1)))  # only spares work: twice as many as are kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                parts = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(0)[a : a + 1000]]
-                np.add.at(sums, of(np.concatenate(parts), np.cumsum([len(x) for x in parts])), 1)
+            keys, out = [], []
+            for raw in batch.column(0):
+                for key, seq in _training(raw.as_buffer()):
+                    if key >= below:
+                        continue
+                    starts = np.unique(np.linspace(0, max(0, len(seq) - size), min(SAMPLE_WINDOWS, 1 + len(seq) // size)).astype(np.int64))
+                    rows = np.full((len(starts), size), -1, np.int32)
+                    for r, s in zip(rows, starts, strict=True):
+                        part = seq[s : s + size]
+                        r[: len(part)] = part
+                    keys.append(key >> 1)
+                    out.append(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "windows"])
+
+    got = blocks.select("block").mapInArrow(run, "key long, windows binary").orderBy("key", "windows").limit(SAMPLE_TEXTS).toArrow()
+    return np.frombuffer(b"".join(got["windows"].to_pylist()), np.int32).reshape(-1, size)
+
+
+def _classes(blocks: DataFrame) -> _attention.Classes:
+    """Classes from the counts and neighbours of all ids of the training texts."""
+
+    def summed(batches: Iterator[pa.RecordBatch], of: Callable, size: int) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                parts = [seq for _, seq in _training(raw.as_buffer())]
+                if parts:
+                    np.add.at(sums, of(np.concatenate(parts), np.cumsum([len(x) for x in parts])), 1)
         keys = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys].astype(np.int64))], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "n"])
 
-    def total(of, size: int) -> np.ndarray:
-        got = pieces.select("ids").mapInArrow(lambda x: summed(x, of, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    def total(of: Callable, size: int) -> np.ndarray:
+        got = blocks.select("block").mapInArrow(lambda x: summed(x, of, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         sums = np.zeros(size, np.int64)
         sums[got["key"].to_numpy()] = got["n"].to_numpy()
         return sums
 
-    def each(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inner = np.ones(len(flat), bool)  # a piece's first id is the last of another, or BEGIN
-        inner[np.concatenate([[0], ends[:-1]])] = False
-        return flat[inner]
-
     def pairs(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         inner = np.ones(len(flat) - 1, bool)
         inner[ends[:-1] - 1] = False
         return _attention.neighbours(flat[:-1][inner], flat[1:][inner], class_of)
 
-    counts = total(each, _attention.VOCABULARY)
-    counts[_attention.BEGIN] += counts[_attention.END]
+    counts = total(lambda flat, _: flat, _attention.VOCABULARY)
     class_of = _attention.alone(counts)[1]
     near = total(pairs, _attention.VOCABULARY * 2 * _attention.ALONE)
     return _attention.classes(counts, near.astype(np.float32).reshape(_attention.VOCABULARY, -1))
 
 
-def _trained(docs: DataFrame, tokenizer_path: str) -> tuple[_attention.Model, int]:
-    """The attention model, and how many targets it met after its first steps."""
-    pieces = stash(_pieces(docs, tokenizer_path))
-    windows = pieces.agg(F.sum("windows")).first()[0] or 0
-    model = _attention.train(_sample(docs, tokenizer_path), of=_classes(pieces))
+def _pieces(blocks: DataFrame, turn: int, shards: int) -> DataFrame:
+    """(shard, turn, ids): pieces of at most PIECE windows of the training texts, those of one
+    round; a piece begins with the last id of the one before."""
+    span = PIECE * _attention.WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                out = []
+                for _, seq in _training(raw.as_buffer()):
+                    for a in range(0, len(seq) - 1, span):
+                        piece = seq[a : a + span + 1].tobytes()
+                        h = xxhash.xxh3_64_intdigest(piece)
+                        if h % ROUNDS == turn:
+                            out.append((h // ROUNDS % shards, h // (ROUNDS * shards), piece))
+                yield from _binary(out, PIECES)
+
+    return blocks.select("block").mapInArrow(run, "shard int, turn long, ids binary")
+
+
+PIECES = pa.schema([("shard", pa.int32()), ("turn", pa.int64()), ("ids", pa.binary())])
+
+
+def _trained(blocks: DataFrame, texts: int) -> tuple[_attention.Model, int]:
+    """The attention model, and how many targets it met after its first steps; ``blocks`` are ids of
+    texts, of which ``texts`` train."""
+    windows = blocks.agg(F.sum("windows")).first()[0] or 0
+    model = _attention.train(_sample(blocks, texts), of=_classes(blocks))
     shards = min(MAX_SHARDS, max(1, -(-windows // (ROUNDS * SHARD))))
-    dealt = pieces.select(F.pmod(F.xxhash64("ids"), F.lit(ROUNDS * shards)).cast("int").alias("shard"), F.xxhash64(F.lit(3), "ids").alias("turn"), "ids")
     size = _attention.WINDOW + 1
     met = 0
     for r in range(ROUNDS if windows else 0):
@@ -237,7 +329,7 @@ def _trained(docs: DataFrame, tokenizer_path: str) -> tuple[_attention.Model, in
                         if own is not None:
                             yield from result()
                         own, held, count, seen, targets = shard, [], 0, 0, 0
-                        copy = _attention.Model({k: v.copy() for k, v in begin.params.items()}, begin.class_of, begin.share, begin.row_of)
+                        copy = _attention.Model({k: v.copy() for k, v in begin.params.items()}, begin.of)
                         adam, rng = _attention.Adam(copy), np.random.default_rng(shard)
                     held.append(_attention.cut(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)))
                     count += len(held[-1])
@@ -246,7 +338,7 @@ def _trained(docs: DataFrame, tokenizer_path: str) -> tuple[_attention.Model, in
             if own is not None:
                 yield from result()
 
-        mine = dealt.where(F.col("shard") % ROUNDS == r).repartition(shards, "shard").sortWithinPartitions("shard", "turn", "ids")
+        mine = _pieces(blocks, r, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "turn", "ids")
         copies = sorted(mine.mapInArrow(run, "shard int, windows long, targets long, params binary").collect(), key=lambda x: x["shard"])
         if not copies:
             continue
@@ -257,138 +349,99 @@ def _trained(docs: DataFrame, tokenizer_path: str) -> tuple[_attention.Model, in
             v = begin.params[k]
             params[k] = mean[at : at + v.size].astype(np.float32).reshape(v.shape)
             at += v.size
-        model = _attention.Model(params, begin.class_of, begin.share, begin.row_of)
+        model = _attention.Model(params, begin.of)
     return model, met
 
 
-def _parts_rows(parts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shares of texts as blocks by bucket of texts."""
-    target = _bucket(mix(parts["doc"].view(U64)), buckets)
+def _part_rows(parts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Shares of texts as blocks by bucket of texts; settled ones are dealt over all buckets."""
+    own = np.where(parts["settled"], mix(parts["k1"] + np.arange(len(parts)).astype(U64), 4), mix(parts["k1"]))
+    target = _bucket(own, buckets)
     order = np.argsort(target, kind="stable")
     parts, target = parts[order], target[order]
     bounds = np.searchsorted(target, np.arange(buckets + 1))
     yield from _binary([(b, parts[i:j].tobytes()) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i], BLOCKS)
 
 
+def _attended(blocks: DataFrame, model: _attention.Model, buckets: int) -> DataFrame:
+    """The texts' shares with their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                parts, _, ids, bounds = _from_id_block(raw.as_buffer())
+                parts = parts.copy()
+                parts["score"] = segment_sums(model.log10_probabilities(ids.astype(np.int64), bounds).astype(np.float64), bounds)
+                yield from _part_rows(parts, buckets)
+
+    return blocks.select("block").mapInArrow(run, "bucket int, block binary")
+
+
+def _settled(blocks: list[bytes], buckets: int, base: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket of words: its part of the base scores of texts."""
+    keys, hashes, places, so_far = [], [], [], 0
+    for raw in blocks:
+        a, b = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        keys.append(np.frombuffer(raw, U64, 3 * a, 16).reshape(-1, 3))
+        hashes.append(_from_planes(raw, b, 16 + 24 * a))
+        wide = np.dtype("<u2" if a < 65536 else "<u4")
+        places.append(np.frombuffer(raw, wide, b, 16 + 24 * a + 8 * b).astype(np.int64) + so_far)
+        so_far += a
+    key, h, place = (np.concatenate(x) for x in (keys, hashes, places))
+    order = np.argsort(h, kind="stable")
+    h, place = h[order], place[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.repeat(np.add.reduceat(key[place, 2].astype(np.int64), starts), np.diff(starts, append=len(h)))
+    parts = np.zeros(len(key), PART)
+    parts["k1"], parts["k2"] = key[:, 0], key[:, 1]
+    parts["known"] = np.bincount(place, count > 0, len(key))
+    parts["base"] = np.bincount(place, base(count), len(key))
+    yield from _part_rows(parts, buckets)
+
+
+def _added(blocks: list[bytes], train_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one bucket of texts from their shares."""
+    parts = np.concatenate([np.frombuffer(b, PART) for b in blocks])
+    whole = parts[parts["settled"]]
+    rest = parts[~parts["settled"]]
+    rest = rest[np.lexsort((rest["score"], rest["base"], rest["rows"], rest["k2"], rest["k1"]))]
+    if len(rest):
+        last = np.flatnonzero(np.concatenate([(rest["k1"][1:] != rest["k1"][:-1]) | (rest["k2"][1:] != rest["k2"][:-1]), [True]]))
+        sums = {c: np.add.reduceat(rest[c].astype(np.float64 if c in ("base", "score") else np.int64), np.concatenate([[0], last[:-1] + 1])) for c in SUMS}
+        one = rest[last]  # a share of the row itself, which also names it
+        for c in SUMS[1:]:
+            one[c] = sums[c] // sums["rows"] if sums[c].dtype == np.int64 else sums[c] / sums["rows"]
+        whole = np.concatenate([whole, np.repeat(one, sums["rows"])])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(whole["doc"], mask=~whole["named"]), pa.array(whole["tokens"]), pa.array(whole["known"]), pa.array(np.full(len(whole), train_tokens)), pa.array(whole["base"]), pa.array(whole["score"])],
+        ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
 def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text).
 
     Tokens are words, runs of anything but ASCII white space with A-Z lower-cased, and one
     end.  base_score is the smoothed unigram log10 probability under the training counts,
-    score the model's.  A null text is empty: its end alone.  A null doc_id is held out.
-    Repeated rows count and are returned as often as they occur; other columns are
-    ignored; an empty table gives no rows.
+    score the attention model's.  A null text is empty: its end alone.  A null doc_id is held
+    out.  Repeated rows count and are returned as often as they occur; a very long text is
+    scored whole, by itself; other columns are ignored; an empty table gives no rows.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    most = max(1, HOT_WORDS // buckets)
-    counted = stash(_by_bucket(_word_blocks(docs, buckets), buckets, lambda b: _count(b, most), "kind int, word long, n long"))
-    totals = {r["kind"]: (int(r["word"]), int(r["n"])) for r in counted.where("kind < 2").groupBy("kind").agg(F.sum("word").alias("word"), F.sum("n").alias("n")).collect()}
-    distinct, words = totals.get(0, (0, 0))
-    ends = totals.get(1, (0, 0))[1]
+    most = max(HOT_WORDS, buckets)
+    counted = stash(_by_bucket(_word_blocks(docs, buckets), buckets, lambda b: _count(b, most), "kind int, word long, n long, whole long"))
+    totals = {r["kind"]: r for r in counted.where("kind < 2").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("word", "n", "whole"))).collect()}
+    distinct, words, whole = (int(totals[0][c]) for c in ("word", "n", "whole")) if totals else (0, 0, 0)
+    ends = int(totals[1]["n"]) if totals else 0
     train_tokens, vocabulary = words + ends, distinct + (ends > 0)
-    top = counted.where("kind = 2").select("word", "n").orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
-    hot, hot_n = top["word"].to_numpy().view(U64), top["n"].to_numpy()
-    order = np.argsort(hot)
-    hot, hot_n = hot[order], hot_n[order]
-    model, _ = _trained(docs, tokenizer_path)
-    tokens_n = max(train_tokens, 1)
-    weight = COUNT_WEIGHT if train_tokens else 0.0
-
-    def mixed(count: np.ndarray, attention: np.ndarray) -> np.ndarray:
-        return np.log10(weight * count / tokens_n + (1 - weight) * np.power(10.0, np.maximum(attention.astype(np.float64), -300)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SCORE_BYTES):
-            ids = batch.column(0).to_pylist()
-            trains = _trains(ids)
-            w = scan(batch.column(1))
-            first, row = w.first, w.row
-            n = len(ids)
-            flat, at = subwords(tokenizer_path).encode(w)
-            # each text's ids and its end, in one array
-            bounds = at[first] + np.arange(n + 1)
-            seq = np.full(len(flat) + n, _attention.END, np.int64)
-            seq[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at[first]))] = flat
-            each = model.log10_probabilities(seq, bounds).astype(np.float64)
-            end_at = bounds[1:] - 1
-            inner = np.delete(each, end_at)
-            word = segment_sums(inner, at)
-            spot = np.minimum(np.searchsorted(hot, w.h), max(len(hot) - 1, 0))
-            is_hot = hot[spot] == w.h if len(hot) else np.zeros(len(w.h), bool)
-            count = np.where(is_hot, hot_n[spot] if len(hot) else 0, 0)
-            parts = np.zeros(n, PART)
-            parts["doc"] = [NO_ID if x is None else x for x in ids]
-            twin = segment_sums(mix(w.h + np.arange(len(w.h)).astype(U64) - np.repeat(first[:-1], w.counts).astype(U64), 8), first)
-            parts["twin"] = ((twin >> U64(34)).astype(np.int64) << 1 | trains).astype(np.int32)
-            parts["rows"] = 1
-            parts["tokens"] = w.counts + 1
-            end_count = np.full(n, ends)
-            parts["known"] = np.bincount(row[is_hot], minlength=n) + (ends > 0)
-            parts["base"] = np.bincount(row[is_hot], np.log10(count[is_hot] + SMOOTHING), n) + np.log10(ends + SMOOTHING)
-            parts["base"] -= parts["tokens"] * np.log10(train_tokens + SMOOTHING * (vocabulary + 1))
-            parts["score"] = np.bincount(row[is_hot], mixed(count[is_hot], word[is_hot]), n) + mixed(end_count, each[end_at])
-            left = np.flatnonzero(~is_hot)
-            order = left[np.argsort(w.h[left], kind="stable")]
-            h, place, attention = w.h[order], row[order], word[order].astype("<f4")
-            limits = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-            turn = int(mix(twin[:1])[0]) % buckets if n else 0  # the texts' own shares pass through some bucket
-            rows = []
-            for b, (i, j) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
-                if j > i or b == turn:
-                    used, at_used = np.unique(place[i:j], return_inverse=True)
-                    wide = "<u2" if len(used) < 65536 else "<u4"
-                    own = parts if b == turn else parts[:0]
-                    head = np.array([len(own), len(used), j - i], np.int64)
-                    rows.append((b, b"".join([head.tobytes(), own.tobytes(), parts["doc"][used].tobytes(), parts["twin"][used].tobytes(), _planes(h[i:j]), at_used.astype(wide).tobytes(), attention[i:j].tobytes()])))
-            yield from _binary(rows, BLOCKS)
-
-    def settle(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        own, docs_, twins, hashes, places, attention, base = [], [], [], [], [], [], 0
-        for raw in blocks:
-            a, b, c = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-            at = 24
-            own.append(np.frombuffer(raw, PART, a, at))
-            at += PART.itemsize * a
-            docs_.append(np.frombuffer(raw, np.int64, b, at))
-            at += 8 * b
-            twins.append(np.frombuffer(raw, np.int32, b, at))
-            at += 4 * b
-            hashes.append(_from_planes(raw, c, at))
-            at += 8 * c
-            wide = np.dtype("<u2" if b < 65536 else "<u4")
-            places.append(np.frombuffer(raw, wide, c, at).astype(np.int64) + base)
-            at += wide.itemsize * c
-            attention.append(np.frombuffer(raw, "<f4", c, at))
-            base += b
-        doc, twin, h, place, logp = (np.concatenate(x) for x in (docs_, twins, hashes, places, attention))
-        order = np.argsort(h, kind="stable")
-        h, place, logp = h[order], place[order], logp[order]
-        parts = np.zeros(len(doc), PART)
-        parts["doc"], parts["twin"] = doc, twin
-        if len(h):
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            sizes = np.diff(starts, append=len(h))
-            count = np.repeat(np.add.reduceat((twin[place] & 1).astype(np.int64), starts), sizes)
-            parts["known"] = np.bincount(place, count > 0, len(doc))
-            parts["base"] = np.bincount(place, np.log10(count + SMOOTHING), len(doc))
-            parts["score"] = np.bincount(place, mixed(count, logp), len(doc))
-        yield from _parts_rows(np.concatenate([*own, parts]), buckets)
-
-    def add_up(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = np.concatenate([np.frombuffer(b, PART) for b in blocks])
-        parts = parts[np.lexsort((parts["score"], parts["base"], parts["twin"], parts["doc"]))]
-        new = np.concatenate([[True], (parts["doc"][1:] != parts["doc"][:-1]) | (parts["twin"][1:] != parts["twin"][:-1])])
-        starts = np.flatnonzero(new)
-        sums = {c: np.add.reduceat(parts[c].astype(np.float64 if c in ("base", "score") else np.int64), starts) for c in ("rows", "tokens", "known", "base", "score")}
-        times = sums["rows"]
-        repeat = lambda x: pa.array(np.repeat(x, times))
-        doc = np.repeat(parts["doc"][starts], times)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, mask=doc == NO_ID), repeat(sums["tokens"] // times), repeat(sums["known"] // times), pa.array(np.full(len(doc), train_tokens)), repeat(sums["base"] / times), repeat(sums["score"] / times)],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    blocks = docs.select("doc_id", "text").mapInArrow(score, "bucket int, block binary")
-    settled = _by_bucket(blocks, buckets, settle, "bucket int, block binary")
-    return _by_bucket(settled, buckets, add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    top = counted.where((F.col("kind") == 2) & (F.col("whole") * most >= whole)).select("word", "n").toArrow()  # at most ``most`` rows
+    order = np.argsort(top["word"].to_numpy().view(U64))
+    hot, hot_n = top["word"].to_numpy().view(U64)[order], top["n"].to_numpy()[order]
+    log_all = np.log10(train_tokens + SMOOTHING * (vocabulary + 1))
+    base = lambda count: np.log10(count + SMOOTHING) - log_all
+    scanned = stash(_scanned(docs, tokenizer_path, buckets, hot, hot_n, ends, base), "zstd")
+    ids = scanned.where("kind = 1").select("windows", "block")
+    model, _ = _trained(ids, ends)
+    cold = _by_bucket(scanned.where("kind = 0").select("bucket", "block"), buckets, lambda b: _settled(b, buckets, base), "bucket int, block binary")
+    return _by_bucket(_attended(ids, model, buckets).union(cold), buckets, lambda b: _added(b, train_tokens), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

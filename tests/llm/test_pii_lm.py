@@ -104,7 +104,56 @@ def test_base_scores(spark, sf_dir, documents):
     rows = op9_lm_score(spark, sf_dir).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows), key=str) == expected(documents.items())
     assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_attention_beats_the_unigram_base_on_held_out_texts(spark):
+    rows = [r for r in op9_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()]
+    tokens = sum(r.n_tokens for r in rows)
+    score, base = (sum(r[c] for r in rows) / tokens for c in ("score", "base_score"))
+    assert tokens > 20_000 and score > base + 0.05
+
+
+def test_score_is_the_models_alone(spark, docs):
+    rows = [(i, f"some words of w{i % 9} and of w{i % 7}, " * (1 + i % 5)) for i in range(60)]
+    frame = docs(*rows)
+    got = {r.doc_id: r.score for r in lmscore.score_texts(frame, tokenizer_path()).collect()}
+    blocks, texts = scanned(frame)
+    model, _ = lmscore._trained(blocks, texts)
+    tok = _subword.Subwords(tokenizer_path())
+    for i, t in rows:
+        ids = np.concatenate([tok.encode(_text.scan(pa.array([t])))[0], [_attention.END]]).astype(np.int64)
+        assert abs(model.log10_probabilities(ids, np.array([0, len(ids)])).sum() - got[i]) < 1e-3
+
+
+def scanned(frame):
+    """Blocks of ids as score_texts makes them, and the training texts' number."""
+    none = np.zeros(0, np.uint64)
+    made = lmscore._scanned(frame, tokenizer_path(), 1, none, none.astype(np.int64), 1, lambda n: n * 0.0)
+    return made.where("kind = 1").select("windows", "block"), frame.where(~lmscore.held_out()).count()
+
+
+def test_rows_that_repeat_too_often_for_a_bucket(spark, docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 2000)
+    rows = [(None, "the same")] * 3000 + [(None, "")] * 2000 + [(4, "the same")] * 1000 + [(None, f"rare r{i}") for i in range(300)] + [(None, f"other r{i} o{i}") for i in range(300)]
+    got = lmscore.score_texts(docs(*rows).repartition(3), tokenizer_path()).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got), key=str) == expected(rows)
+    for parts in ([], [2], [0, 1, 2, 3]):  # a settled share never needs one of another bucket
+        made = np.zeros(4, lmscore.PART)
+        made["k1"], made["settled"] = 7, [i in parts for i in range(4)]
+        kept = [x for b in lmscore._part_rows(made, 64) for x in b.column(1).to_pylist()]
+        assert sum(len(x) // lmscore.PART.itemsize for x in kept) == 4 and len(kept) >= min(len(parts), 2)
+
+
+def test_hot_words_are_all_of_a_share_whatever_the_buckets():
+    rng = np.random.default_rng(3)
+    words = np.sort(np.unique(rng.integers(1, 1 << 60, 500, dtype=np.uint64)))
+    counts = rng.integers(0, 4, (500, 2)).cumsum(1)
+    counts[:5] = 400, 900
+    raw = np.array([500, 9], np.int64).tobytes() + lmscore._planes(words) + counts.astype("<i4").tobytes()
+    rows = [r for b in lmscore._count([raw], 50) for r in b.to_pylist()]
+    whole = counts[:, 1].sum()
+    assert {r["word"] for r in rows if r["kind"] == 2} == {int(x) for x in words[counts[:, 1] * 50 >= whole].view(np.int64)}
+    assert [(r["word"], r["n"], r["whole"]) for r in rows if r["kind"] == 0] == [((counts[:, 0] > 0).sum(), counts[:, 0].sum(), whole)]
 
 
 def test_lm_edges(spark, docs, monkeypatch):
@@ -143,26 +192,35 @@ def test_windows_score_each_id_once_and_causally():
 def test_probabilities_add_up():
     m = model()
     ids = np.arange(_attention.VOCABULARY)
-    share = np.bincount(m.class_of, 10.0 ** m.share[ids].astype(float))
+    place = m.of.class_of[ids].astype(int) * _attention.MEMBERS + m.of.member_of[ids]
+    share = np.bincount(place, 10.0 ** m.of.share[ids].astype(float))
     assert np.allclose(share[share > 0], 1, atol=1e-3)
+    every = np.repeat(ids, 2)
+    every[1::2] = 305  # each id as the first of a text of two
+    first = m.log10_probabilities(every, np.arange(0, len(every) + 1, 2))[::2]
+    assert abs((10.0 ** first.astype(float)).sum() - 1) < 1e-3
 
 
 def test_gradients():
     m = model()
-    w = np.random.default_rng(2).integers(300, 340, (3, _attention.WINDOW + 1)).astype(np.int32)
+    w = np.random.default_rng(2).integers(300, 440, (3, _attention.WINDOW + 1)).astype(np.int32)
     w[0, 9:] = -1
     m.params = {k: v.astype(np.float64) for k, v in m.params.items()}
     g = _attention._gradients(m, w)
 
     def loss():
-        source = m.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], _attention.BEGIN)]
-        logits = m._logits(m._hidden(source))
-        p = logits - np.log(np.exp(logits).sum(2, keepdims=True))
+        source = m.of.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], _attention.BEGIN)]
         real = w[:, 1:] >= 0
-        i, j = np.nonzero(real)
-        return -p[i, j, m.class_of[w[:, 1:][real]]].sum() / real.sum()
-
-    for k in ("qkv", "out", "w1", "w2", "place", "embed"):
+        ids = w[:, 1:][real]
+        f = m.top(m.mixed(source)[real])
+        z = m.logits(f)
+        found = z[np.arange(len(ids)), m.of.class_of[ids]] - np.log(np.exp(z).sum(1))
+        order, cut = _attention._by_group(m.of.class_of[ids])
+        z = m.member_logits(f[order], cut)
+        found[order] += z[np.arange(len(order)), m.of.member_of[ids[order]]] - np.log(np.exp(z).sum(1))
+        return -found.sum() / len(ids)
+
+    for k in ("qkv", "out", "w1", "b1", "w2", "w3", "place", "embed"):
         flat = np.argmax(np.abs(g[k]))
         at = np.unravel_index(flat, g[k].shape)
         old = m.params[k][at]
@@ -178,6 +236,7 @@ def test_subwords_equal_whole_texts():
     from tokenizers import Tokenizer
 
     texts = ["Hello, WORLD don't 12 34", "", None, "e\u0301 E\u0301 \u0130 \u03a3\u03a3 \u212b", "<|endoftext|>a <|ENDOFTEXT|> b<|startoftext|>", "x\xa0y\u2003z\x1fq"]
+    texts += ["".join("ab"[(i.bit_count() + x) % 2] for i in range(1024)) for x in (0, 1)]
     tok = Tokenizer.from_file(tokenizer_path())
     w = _text.scan(pa.array(texts))
     flat, at = _subword.Subwords(tokenizer_path()).encode(w)
@@ -196,12 +255,14 @@ def test_training_meets_every_id(docs, monkeypatch):
     for d, t in rows:
         if d is not None and zlib.crc32(str(d).encode()) % 10:
             want.update(tok.encode(_text.scan(pa.array([t], pa.string())))[0].tolist() + [_attention.END])
-    trained, met = lmscore._trained(frame, tokenizer_path())
+    blocks, texts = scanned(frame)
+    trained, met = lmscore._trained(blocks, texts)
     assert met == sum(want.values())
-    other, _ = lmscore._trained(frame.repartition(7), tokenizer_path())
-    assert all(np.allclose(trained.params[k], other.params[k], atol=1e-5) for k in trained.params)
-    of = lmscore._classes(lmscore._pieces(frame, tokenizer_path()))
+    other, _ = lmscore._trained(scanned(frame.repartition(7))[0], texts)
+    assert all(np.allclose(trained.params[k], other.params[k], atol=1e-4) for k in trained.params)
+    of = lmscore._classes(blocks)
     assert of.seen.sum() == met + want[_attention.END]  # each text's BEGIN as well
     (zebra,) = set(tok.encode(_text.scan(pa.array(["zebra"])))[0].tolist())
-    alone = 10.0 ** of.share[zebra] * of.seen[of.class_of[zebra]]
+    c, m = of.class_of[zebra], of.member_of[zebra]
+    alone = 10.0 ** of.share[zebra] * (of.seen[c] if c < _attention.ALONE else of.seen_members[c - _attention.ALONE, m])
     assert want[zebra] > 50 and abs(alone - want[zebra]) < 1 + 0.01 * want[zebra]
