@@ -93,6 +93,39 @@ def test_search(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(data, queries, 4)
 
 
+def sent(frame, asked, k):
+    """Copies that the search sends, its result being checked as well."""
+    data = [(r.vec_id, r.vector) for r in frame.collect()]
+    got, copies = knn._search(frame, asked, k, len(data[0][1]))
+    rows = knn._ranked(got, k).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, rows)) == brute(data, [(r.vec_id, r.vector) for r in asked.collect()], k)
+    return copies
+
+
+def test_copies_sent(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kind = "vec_id long, vector array<long>"
+    centres = rng.normal(0, 300, (30, 12))
+    clustered = spark.createDataFrame([(i, [int(x) for x in centres[i % 30] + rng.normal(0, 4, 12)]) for i in range(900)], kind)
+    copies = sent(clustered, clustered.where("vec_id % 10 = 0"), 3)
+    assert copies["home"] == 90 and copies["queries"] + copies["data at most"] < 0.1 * 90 * 30  # of all groups with all cells
+    same = spark.createDataFrame([(i, [int(x) for x in rng.normal(0, 9, 12)]) for i in range(400)], kind)
+    copies = sent(same, same.where("vec_id % 50 = 0"), 3)
+    assert copies["data at most"] <= 400 and copies["queries"] <= 8 * 20  # nothing to prune: the queries go round, not the data
+    few = spark.createDataFrame([(1000 + i, [int(x) for x in rng.normal(0, 9, 12)]) for i in range(4000)], kind)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 3)
+    copies = sent(same, few.limit(600), 3)
+    assert copies["data at most"] > 0  # here the data are the smaller side
+
+
+def test_a_vector_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DATA_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    data = [(5, [3, 3, 3])] * 300 + [(i, [int(x) for x in rng.normal(0, 9, 3)]) for i in range(10, 200)]
+    frame = spark.createDataFrame(data, "vec_id long, vector array<long>")
+    sent(frame, frame.where("vec_id % 10 = 0"), 4)
+
+
 def test_search_edges(spark):
     kind = "vec_id long, vector array<long>"
     few = spark.createDataFrame([(1, [1, 2]), (2, [3, 4]), (None, [1, 1]), (3, [2**40, -(2**20)])], kind)
