@@ -159,9 +159,9 @@ EXAMPLE_KEY = b"example key of the queries"
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.replace_private(table(spark, sf_dir, "documents"), EXAMPLE_KEY, ["doc_id", "text"])
+    done = pii.count_collisions(pii.replace_private(table(spark, sf_dir, "documents"), EXAMPLE_KEY, ["doc_id", "text"]))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
-    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "n_collisions")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
