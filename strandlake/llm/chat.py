@@ -59,7 +59,7 @@ def format_chats(conversations: DataFrame, template: Template = CHATML) -> DataF
     repeated rows follow by role and text and all stay.  A null text or role is empty, a
     null turn comes first, rows with a null conv_id form one conversation, an unknown role
     makes a conversation invalid but it is still formatted.  Other columns are ignored; an
-    empty table gives no rows.  A conversation is gathered in one row, as its text is one.
+    empty table gives no rows.  A conversation, however long, is gathered in one row, as its text is one.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

@@ -119,7 +119,9 @@ def _rules_sql() -> str:
     )
 
 
-OP6_SQL = f"""
+_HREF = """(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)"""
+_CONTENT = """(?is)<meta\\b[^>]*\\bcontent\\s*=\\s*["'']?\\s*\\d+\\s*;\\s*url\\s*=\\s*["'']?([^"''\\s>]+)"""
+OP6_SQL = rf"""
 with recursive p as (
   select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
          case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
@@ -130,10 +132,32 @@ with recursive p as (
   from p
 ), n as (
   select *, case when position('://' in url) > 0 then regexp_replace(host, ':(80|443)$', '') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) end as node from q
+), tags as (
+  select node, rest, url, host, path,
+         list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b') and regexp_matches(x, '{_HREF}'))[1] as canonical,
+         list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') and regexp_matches(x, '{_CONTENT}'))[1] as refresh
+  from n where node is not null
+), target as (
+  select *, replace(regexp_extract(canonical, '{_HREF}', 1), '&amp;', '&') as t from tags where canonical is not null
+  union all
+  select *, replace(regexp_extract(refresh, '{_CONTENT}', 1), '&amp;', '&') as t from tags where refresh is not null
+), absolute as (
+  select node, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then scheme || ':' || t
+                    when starts_with(t, '/') then scheme || '://' || host || t
+                    else scheme || '://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t end as a
+  from (select *, split_part(url, '://', 1) as scheme from target)
+), parted as (
+  select node, substr(a, position('://' in a) + 3) as rest from absolute where position('://' in a) > 0
+), linked as (
+  select node as u, regexp_replace(translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), ':(80|443)$', '') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as v from parted
+), every as (
+  select u as node from linked union select v from linked union select node from n where node is not null
 ), e as (
+  select u, v from linked
+  union
   select distinct node as u,
          regexp_replace(regexp_replace(regexp_replace(node, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') as v
-  from n where node is not null
+  from every
 ), b as (
   select u, v from e where u <> v union select v, u from e where u <> v
 ), r as (
@@ -177,9 +201,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
-    done = chat.format_chats(rows).select("conv_id", "segments", chat.formatted_text(F.col("segments")).alias("formatted"))
+    done = chat.format_chats(rows).select("conv_id", "valid", "segments", chat.formatted_text(F.col("segments")).alias("formatted"))
     turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    done = done.select("conv_id", "formatted", turns.alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    done = done.select("conv_id", "valid", "formatted", turns.alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -187,6 +211,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -195,13 +220,17 @@ with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '{PLANTED}'
   union all select -1, 1, 'assistant', '{PLANTED}'
+), t as (
+  select *, lag(role, 1, 'start') over w as before, lead(1, 1, 0) over w = 0 as closing
+  from c window w as (partition by conv_id order by turn nulls first, role, text)
 )
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       cast(sum(24 + length(replace(replace(replace(role, '%', '%25'), '<|', '%3C|'), chr(10), '%0A')) + length(replace(replace(text, '%', '%25'), '<|', '%3C|'))) as bigint) as formatted_chars
-from c group by conv_id
+       cast(sum(24 + length(replace(replace(replace(role, '%', '%25'), '<|', '%3C|'), chr(10), '%0A')) + length(replace(replace(text, '%', '%25'), '<|', '%3C|'))) as bigint) as formatted_chars,
+       bool_and(({" or ".join(f"before = '{state}' and role in ({', '.join(repr(r) for r in roles)})" for state, roles in chat.CHATML.transitions.items())}) and (not closing or role = 'assistant')) as valid
+from t group by conv_id
 """
 
 

@@ -2,7 +2,7 @@
 
 A rule (verdict, host, path) fits its host and all subdomains if the URL's path starts
 with the rule's; the longest fitting rule decides.  Pages without a rule take part in
-redirect equivalence: URLs joined by canonical links, immediate meta refreshes or by URL
+redirect equivalence: URLs joined by canonical links, meta refreshes of any delay or by URL
 normalisation (scheme, default port, fragment, tracking parameters, closing slash) form
 components, found by distributed connected components.  In a component an explicitly
 allowed URL has precedence, then a blocked one blocks its aliases; all else is allowed.
@@ -62,6 +62,7 @@ def normal_address(node: Column) -> Column:
 
 def resolve(target: Column, url: Column) -> Column:
     """An absolute form of a link target found on the page at url."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
     scheme = F.substring_index(url, "://", 1)
     base = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.concat(F.regexp_extract(path_of(url), "^(.*/)", 1))
@@ -92,7 +93,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     rule is null where none fits; alias_of is the component's md5 key, null for a URL
     without aliases.  A null URL or one without :// has an empty host and path and gets the
     default; a null html has no links; repeated rows are judged each; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Of a page, however long, the first link of each kind
+    counts; .. in its target and <base> are not resolved.
     """
     pages = pages.select("page_id", "url", "html")
     edges = stash(alias_edges(pages))

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from strandlake.llm import chat, knn, urlfilter
 from strandlake.llm._spark import connected_components
+from strandlake.llm.queries import ORACLE_SQL, QUERIES
 
 CANON = '<head><link href="{0}" rel="canonical"></head>'
 FRESH = '<meta http-equiv="refresh" content="0; url={0}">'
@@ -37,6 +39,23 @@ def test_decisions_spread_over_aliases(spark):
     assert [got[i][3] for i in range(7)] == ["block", "block", "allow", "allow", "allow", "allow", "allow"]
 
 
+def test_links_equal_the_sql(spark, duck, tmp_path):
+    rng = np.random.default_rng(4)
+    hosts = ["a.info", "b.info", "bad.net", "example.net", "example.com", "x.org", "C.info:80", "d.info"]
+    urls = [f"http{'s' if i % 3 else ''}://{hosts[i % 8]}/{['en', 'de', 'fr', 'p'][i % 4]}/{i % 11}{['', '?utm_source=q', '?a=1&ref=2', '#f', '/'][i % 5]}" for i in range(160)]
+    targets = [*urls[:60], "//bad.net/en/3", "/de/4", "q?a=1&amp;b=2", "p/", "#x", "mailto:x", ""]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical />", '<meta http-equiv="refresh" content="5; URL={}">', "<link rel=stylesheet href={}>", '<link href="{}">', "<link rel=canonical href={}><link rel=canonical href=/other>", "<meta content='0;url={}' http-equiv=Refresh>"]
+    html = lambda: "<html>" + "".join(forms[int(rng.integers(0, 7))].format(targets[int(rng.integers(0, len(targets)))]) for _ in range(int(rng.integers(0, 3))))
+    rows = [(i, u, html() if i % 4 else None) for i, u in enumerate(urls)] + [(900, None, html()), (901, "no url", html()), (902, "http://", html())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    query = QUERIES["op6_url_filter"](spark, str(tmp_path))
+    cursor = duck.cursor()
+    cursor.execute(f"create or replace temp view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert_same(query, cursor, ORACLE_SQL["op6_url_filter"])
+    spread = [r for r in query.collect() if r.rule is None and r.verdict == "block"]
+    assert len(spread) > 3
+
+
 @pytest.mark.parametrize("forest", [False, True])
 def test_components(spark, forest):
     rng = np.random.default_rng(7)
