@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, STRIDE = 32, 28
-WIDTH, HIDDEN = 16, 32
+WINDOW, STRIDE = 24, 20
+WIDTH, HIDDEN = 16, 24
 #: Classes of one subword; groups, and the members of each, of which the last is all the rest.
-ALONE, GROUPED, MEMBERS = 48, 24, 64
+ALONE, GROUPED, MEMBERS = 32, 20, 64
 CLASSES = ALONE + GROUPED
 #: Subwords with an embedding of their own; the others share their class's.
 OWN = ALONE + GROUPED * (MEMBERS - 1)
@@ -82,7 +82,7 @@ class Model:
         h += p["place"]
         q, k, v = np.split(h @ p["qkv"], 3, axis=2)
         w = q @ k.transpose(0, 2, 1)
-        np.exp(np.minimum(w, 20, out=w), out=w)
+        np.exp(np.clip(w, -20, 20, out=w), out=w)
         w *= _CAUSAL.astype(w.dtype)
         w /= _sums(w)
         return h, q, k, v, w
@@ -298,7 +298,10 @@ def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
     ds = dmixed @ v.transpose(0, 2, 1)
     ds -= _sums(dmixed * mixed)
     ds *= a
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmixed], axis=2)
+    dqkv = np.empty((*ds.shape[:2], 3 * WIDTH), ds.dtype)
+    dqkv[..., :WIDTH] = ds @ k
+    dqkv[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+    dqkv[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dmixed
     g["qkv"] = flat(h).T @ flat(dqkv)
     dr += dqkv @ p["qkv"].T
     g["place"] = dr.sum(0)

@@ -12,6 +12,10 @@ from strandlake.llm._text import Words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+#: A control character that stands between words encoded as one text, and words of such a text.
+MARK, JOINED = "\x01", 128
+
+
 class Subwords:
     """Ids of words under a public tokenizer whose pre-tokenizer never crosses ASCII white
     space and which lower-cases, so that a text's ids are those of its words end to end.
@@ -24,6 +28,8 @@ class Subwords:
 
         self._tok = Tokenizer.from_file(path)
         self._limit = limit
+        alone = self._tok.encode(MARK, add_special_tokens=False).ids
+        self._mark = alone[0] if len(alone) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -32,11 +38,23 @@ class Subwords:
         self._size = np.zeros(0, np.int64)
         self._pool = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _ids(self, words: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words end to end, how many each has).  Many words are one text, between
+        marks that no word holds; a word that holds a mark is encoded by itself."""
         encode = getattr(self._tok, "encode_batch_fast", self._tok.encode_batch)
-        ids = [e.ids for e in encode(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for part in ids for x in part), np.uint32, int(size.sum()))
+        between = b" " + MARK.encode() + b" "
+        joined = [between.join([*words[i : i + JOINED], b""]) for i in range(0, len(words), JOINED)]
+        if self._mark is None or sum(x.count(MARK.encode()) for x in joined) > len(words):
+            ids = [e.ids for e in encode([bytes(x).decode("utf-8", "replace") for x in words], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for part in ids for x in part), np.uint32, int(size.sum())), size
+        flat = np.concatenate([np.array(encode([x.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32) for x in joined])
+        ends = np.flatnonzero(flat == self._mark)
+        size = np.diff(ends, prepend=-1) - 1
+        return np.delete(flat, ends), size
+
+    def _learn(self, hashes: np.ndarray, words: list[memoryview]) -> None:
+        flat, size = self._ids(words)
         at = len(self._pool) + np.cumsum(size) - size
         self._pool = np.concatenate([self._pool, flat])
         spot = np.searchsorted(self._known, hashes)  # both ascend
@@ -60,7 +78,8 @@ class Subwords:
         inside = spot < len(self._known)
         new[inside] = self._known[spot[inside]] != distinct[inside]
         if new.any():
-            self._learn(distinct[new], [w.text(i) for i in sample[new]])
+            mine, text = sample[new], memoryview(np.ascontiguousarray(w.buf))
+            self._learn(distinct[new], [text[a:b] for a, b in zip(w.start[mine].tolist(), w.end[mine].tolist(), strict=True)])
             spot = np.searchsorted(self._known, distinct)
         spot = spot[inverse]
         size = self._size[spot]

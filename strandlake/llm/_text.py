@@ -68,10 +68,11 @@ class Words:
 
 
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; a null row is empty."""
-    texts = texts.cast(pa.large_string())
+    """Bytes and row offsets of a string (UTF-8) or binary column; a null row is empty."""
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.cast(pa.large_binary() if binary else pa.large_string())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if binary else "")
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()

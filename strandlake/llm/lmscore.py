@@ -7,8 +7,8 @@ counts of the training texts' words.
 1. Words are counted in packed blocks by bucket of hashes, combined in each task first.
    Words that are at least one in HOT_WORDS of all occurrences, which are at most HOT_WORDS,
    go to all tasks.
-2. One pass over the texts writes their subword ids, and of every occurrence of another
-   word its hash by bucket.  Frequent words are settled on the spot.
+2. The texts' subword ids are written once, a row a text, with what its frequent words give.
+   Of every occurrence of another word its hash goes to a bucket.
 3. Counts and neighbours of all ids of the training texts give the classes.  After first
    steps on a sample, which only set where it begins, the attention model meets every id of
    the training texts once in ROUNDS rounds: tasks train copies of it on disjoint shards, and
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import _attention
 from strandlake.llm._spark import crc_mod, stash
 from strandlake.llm._subword import subwords
-from strandlake.llm._text import column_bytes, mix, scan, segment_sums, slices
+from strandlake.llm._text import Words, column_bytes, mix, scan, segment_sums, slices
 from strandlake.llm.jaccard import BLOCKS, _binary, _bucket, _by_bucket
 
 #: Held-out rows have this remainder of crc32(doc_id as text) by FOLDS.
@@ -48,7 +48,9 @@ BUCKET_BYTES = 64 << 20
 #: Smoothing of the base score.
 SMOOTHING = 0.1
 #: Rounds of training; windows of a shard, unless a round has MAX_SHARDS; of a piece of a text; of a step.
-ROUNDS, SHARD, MAX_SHARDS, PIECE, STEP = 4, 16_384, 256, 128, 128
+ROUNDS, SHARD, MAX_SHARDS, PIECE, STEP = 4, 16_384, 256, 256, 192
+#: Sums of copies that the driver adds up.
+SUMS_TO_DRIVER = 8
 #: Windows shuffled together, and the rate of the first round, which falls to its twentieth part.
 MIXED, RATE = 8192, 0.003
 U64 = np.uint64
@@ -139,121 +141,121 @@ def _keys(ids: list[int | None], texts: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, U64).reshape(-1, 2)
 
 
-def _id_block(parts: np.ndarray, trains: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> bytes:
-    """The shares of texts, which of them train, and their ids end to end, by byte."""
-    head = np.array([len(parts), len(ids)], np.int64)
-    return b"".join([head.tobytes(), parts.tobytes(), trains.astype(np.uint8).tobytes(), np.diff(bounds).astype("<i8").tobytes(), ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()])
+def _texts(batch: pa.RecordBatch) -> tuple[list[int | None], np.ndarray, Words, np.ndarray]:
+    """(ids, which rows train, words, keys) of a slice of rows (doc_id, text)."""
+    ids = batch.column(0).to_pylist()
+    return ids, _trains(ids), scan(batch.column(1)), _keys(ids, batch.column(1))
 
 
-def _from_id_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-    at = 16
-    parts = np.frombuffer(raw, PART, n, at)
-    at += PART.itemsize * n
-    trains = np.frombuffer(raw, np.uint8, n, at).astype(bool)
-    at += n
-    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, at))])
-    ids = np.frombuffer(raw, np.uint8, 2 * m, at + 8 * n).reshape(2, m).T.copy().view("<u2").ravel()
-    return parts, trains, ids, bounds
+def _hot_places(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are hot, and the place of each of these."""
+    spot = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    is_hot = hot[spot] == h if len(hot) else np.zeros(len(h), bool)
+    return is_hot, spot[is_hot]
 
 
-SCANNED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("windows", pa.int64()), ("block", pa.binary())])
-
-
-def _scanned(docs: DataFrame, tokenizer_path: str, buckets: int, hot: np.ndarray, hot_n: np.ndarray, ends: int, base: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(kind, bucket, windows, block): of kind 0, occurrences of words that are not hot, by bucket;
-    of kind 1, ids of texts with their shares so far and the windows of those that train."""
+def _encoded(docs: DataFrame, tokenizer_path: str, hot: np.ndarray, hot_n: np.ndarray, ends: int, base: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(part, windows, ids, key) of each text: its share so far, its windows if it trains (else 0),
+    its 16-bit ids with the end, and a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SCORE_BYTES):
-            ids = batch.column(0).to_pylist()
-            n, trains = len(ids), _trains(ids)
-            w = scan(batch.column(1))
-            first, row = w.first, w.row
+            ids, trains, w, keys = _texts(batch)
+            n, first, row = len(ids), w.first, w.row
             flat, at = subwords(tokenizer_path).encode(w)
             bounds = at[first] + np.arange(n + 1)  # each text's ids and its end, in one array
             seq = np.full(len(flat) + n, _attention.END, np.uint16)
             seq[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at[first]))] = flat
-            spot = np.minimum(np.searchsorted(hot, w.h), max(len(hot) - 1, 0))
-            is_hot = hot[spot] == w.h if len(hot) else np.zeros(len(w.h), bool)
-            count = hot_n[spot[is_hot]]
+            is_hot, spot = _hot_places(w.h, hot)
             parts = np.zeros(n, PART)
-            parts["k1"], parts["k2"] = _keys(ids, batch.column(1)).T
+            parts["k1"], parts["k2"] = keys.T
             parts["doc"] = [0 if x is None else x for x in ids]
             parts["named"] = [x is not None for x in ids]
             parts["rows"] = 1
             parts["tokens"] = w.counts + 1
-            parts["known"] = np.bincount(row[is_hot], count > 0, n) + (ends > 0)
-            parts["base"] = np.bincount(row[is_hot], base(count), n) + base(np.array(ends))
-            left = np.flatnonzero(~is_hot)
-            parts["settled"] = np.bincount(row[left], minlength=n) == 0
-            windows = -(-np.diff(bounds)[trains] // _attention.WINDOW)
-            yield from _binary([(1, 0, int(windows.sum()), _id_block(parts, trains, seq, bounds))], SCANNED)
+            parts["known"] = np.bincount(row[is_hot], hot_n[spot] > 0, n) + (ends > 0)
+            parts["base"] = np.bincount(row[is_hot], base(hot_n[spot]), n) + base(np.array(ends))
+            parts["settled"] = np.bincount(row[~is_hot], minlength=n) == 0
+            windows = np.where(trains, -(-np.diff(bounds) // _attention.WINDOW), 0)
+            yield pa.RecordBatch.from_arrays([_binaries(parts.view(np.uint8), np.arange(n + 1) * PART.itemsize), pa.array(windows), _binaries(seq.view(np.uint8), 2 * bounds), pa.array((parts["k1"] >> U64(1)).astype(np.int64))], ["part", "windows", "ids", "key"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "part binary, windows long, ids binary, key long")
+
+
+def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _cold(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Blocks by bucket of words: occurrences of words that are not hot, with their texts' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SCORE_BYTES):
+            _, trains, w, keys = _texts(batch)
+            left = np.flatnonzero(~_hot_places(w.h, hot)[0])
             order = left[np.argsort(w.h[left], kind="stable")]
-            h, place = w.h[order], row[order]
+            h, place = w.h[order], w.row[order]
             limits = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             rows = []
             for b, (i, j) in enumerate(zip(limits[:-1], limits[1:], strict=True)):
                 if j > i:
                     used, at_used = np.unique(place[i:j], return_inverse=True)
                     wide = "<u2" if len(used) < 65536 else "<u4"
-                    head = np.array([len(used), j - i], np.int64)
-                    keys = np.column_stack([parts["k1"][used], parts["k2"][used], trains[used].astype(U64)])
-                    rows.append((0, b, 0, b"".join([head.tobytes(), keys.tobytes(), _planes(h[i:j]), at_used.astype(wide).tobytes()])))
-            yield from _binary(rows, SCANNED)
+                    own = np.column_stack([keys[used], trains[used].astype(U64)])
+                    rows.append((b, b"".join([np.array([len(used), j - i], np.int64).tobytes(), own.tobytes(), _planes(h[i:j]), at_used.astype(wide).tobytes()])))
+            yield from _binary(rows, BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, bucket int, windows long, block binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
 
 
-def _training(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(first half of the key, ids from BEGIN to END) of the training texts of a block."""
-    parts, trains, ids, bounds = _from_id_block(raw)
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Ids from BEGIN to END of texts (ids), a list a slice."""
     begin = np.array([_attention.BEGIN], "<u2")
-    for i in np.flatnonzero(trains):
-        yield int(parts["k1"][i]), np.concatenate([begin, ids[bounds[i] : bounds[i + 1]]])
+    for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+        ids, at = column_bytes(batch.column(0))
+        ids, at = np.frombuffer(ids, "<u2"), at // 2
+        yield [np.concatenate([begin, ids[i:j]]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _sample(blocks: DataFrame, texts: int) -> np.ndarray:
-    """At most SAMPLE_WINDOWS windows, spread over the whole text, of at most SAMPLE_TEXTS of
-    ``texts`` training texts, those whose keys are smallest."""
+def _sample(encoded: DataFrame) -> np.ndarray:
+    """At most SAMPLE_WINDOWS windows, spread over the whole text, of at most SAMPLE_TEXTS
+    training texts, those whose keys are smallest."""
     size = _attention.WINDOW + 1
-    below = int(2**64 * min(1.0, 2 * SAMPLE_TEXTS / max(texts, 1)))  # only spares work: twice as many as are kept
+    chosen = encoded.where("windows > 0").select("key", "windows").orderBy("key", "windows").limit(SAMPLE_TEXTS)
+    last = chosen.agg(F.max("key")).first()[0]
+    if last is None:
+        return np.zeros((0, size), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, out = [], []
-            for raw in batch.column(0):
-                for key, seq in _training(raw.as_buffer()):
-                    if key >= below:
-                        continue
-                    starts = np.unique(np.linspace(0, max(0, len(seq) - size), min(SAMPLE_WINDOWS, 1 + len(seq) // size)).astype(np.int64))
-                    rows = np.full((len(starts), size), -1, np.int32)
-                    for r, s in zip(rows, starts, strict=True):
-                        part = seq[s : s + size]
-                        r[: len(part)] = part
-                    keys.append(key >> 1)
-                    out.append(rows.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "windows"])
-
-    got = blocks.select("block").mapInArrow(run, "key long, windows binary").orderBy("key", "windows").limit(SAMPLE_TEXTS).toArrow()
-    return np.frombuffer(b"".join(got["windows"].to_pylist()), np.int32).reshape(-1, size)
-
-
-def _classes(blocks: DataFrame) -> _attention.Classes:
+        for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+            out = []
+            for seq in next(_training(iter([batch.select(["ids"])]))):
+                starts = np.unique(np.linspace(0, max(0, len(seq) - size), min(SAMPLE_WINDOWS, 1 + len(seq) // size)).astype(np.int64))
+                rows = np.full((len(starts), size), -1, np.int32)
+                for r, s in zip(rows, starts, strict=True):
+                    part = seq[s : s + size]
+                    r[: len(part)] = part
+                out.append(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["key", "windows"])
+
+    mine = encoded.where((F.col("windows") > 0) & (F.col("key") <= last)).select("ids", "key").mapInArrow(run, "key long, windows binary")
+    out = mine.orderBy("key", "windows").limit(SAMPLE_TEXTS).toArrow()
+    return np.frombuffer(b"".join(out["windows"].to_pylist()), np.int32).reshape(-1, size)
+
+
+def _classes(encoded: DataFrame) -> _attention.Classes:
     """Classes from the counts and neighbours of all ids of the training texts."""
 
     def summed(batches: Iterator[pa.RecordBatch], of: Callable, size: int) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                parts = [seq for _, seq in _training(raw.as_buffer())]
-                if parts:
-                    np.add.at(sums, of(np.concatenate(parts), np.cumsum([len(x) for x in parts])), 1)
+        for parts in _training(batches):
+            if parts:
+                np.add.at(sums, of(np.concatenate(parts), np.cumsum([len(x) for x in parts])), 1)
         keys = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "n"])
 
     def total(of: Callable, size: int) -> np.ndarray:
-        got = blocks.select("block").mapInArrow(lambda x: summed(x, of, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        got = encoded.where("windows > 0").select("ids").mapInArrow(lambda x: summed(x, of, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         sums = np.zeros(size, np.int64)
         sums[got["key"].to_numpy()] = got["n"].to_numpy()
         return sums
@@ -269,36 +271,37 @@ def _classes(blocks: DataFrame) -> _attention.Classes:
     return _attention.classes(counts, near.astype(np.float32).reshape(_attention.VOCABULARY, -1))
 
 
-def _pieces(blocks: DataFrame, turn: int, shards: int) -> DataFrame:
-    """(shard, turn, ids): pieces of at most PIECE windows of the training texts, those of one
-    round; a piece begins with the last id of the one before."""
-    span = PIECE * _attention.WINDOW
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                out = []
-                for _, seq in _training(raw.as_buffer()):
-                    for a in range(0, len(seq) - 1, span):
-                        piece = seq[a : a + span + 1].tobytes()
-                        h = xxhash.xxh3_64_intdigest(piece)
-                        if h % ROUNDS == turn:
-                            out.append((h // ROUNDS % shards, h // (ROUNDS * shards), piece))
-                yield from _binary(out, PIECES)
-
-    return blocks.select("block").mapInArrow(run, "shard int, turn long, ids binary")
-
-
-PIECES = pa.schema([("shard", pa.int32()), ("turn", pa.int64()), ("ids", pa.binary())])
-
-
-def _trained(blocks: DataFrame, texts: int) -> tuple[_attention.Model, int]:
-    """The attention model, and how many targets it met after its first steps; ``blocks`` are ids of
-    texts, of which ``texts`` train."""
-    windows = blocks.agg(F.sum("windows")).first()[0] or 0
-    model = _attention.train(_sample(blocks, texts), of=_classes(blocks))
+def _pieces(encoded: DataFrame, turn: int, shards: int) -> DataFrame:
+    """(shard, turn, first, ids): pieces of at most PIECE windows of the training texts, those of one
+    round; a piece that is not a text's first begins with the last id of the one before."""
+    span = 2 * PIECE * _attention.WINDOW
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("windows") - 1) / PIECE)))
+    rows = encoded.where("windows > 0").select("key", "ids", at.alias("at")).withColumn("h", F.pmod(F.xxhash64("key", "at"), F.lit(1 << 40)))
+    begin = F.greatest(F.col("at") * span - 2, F.lit(0))
+    rows = rows.where(F.col("h") % ROUNDS == turn)
+    shard = (F.floor(F.col("h") / ROUNDS) % shards).cast("int")
+    return rows.select(shard.alias("shard"), F.col("h").alias("turn"), (F.col("at") == 0).alias("first"), F.substring("ids", (begin + 1).cast("int"), (F.col("at") * span + span - begin).cast("int")).alias("ids"))
+
+
+def _sum_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(windows, targets, params): sums of copies, their parameters weighted by their windows."""
+    windows = targets = 0
+    total: np.ndarray | float = 0.0
+    for batch in batches:
+        for w, t, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            windows, targets = windows + w, targets + t
+            total = total + np.frombuffer(raw.as_buffer(), "<f4").astype(np.float64) * w
+    if windows:
+        yield pa.RecordBatch.from_arrays([pa.array([windows]), pa.array([targets]), pa.array([total.tobytes()], pa.binary())], ["windows", "targets", "params"])
+
+
+def _trained(encoded: DataFrame) -> tuple[_attention.Model, int]:
+    """The attention model, and how many targets it met after its first steps; ``encoded`` are
+    texts as _encoded gives them."""
+    windows = encoded.agg(F.sum("windows")).first()[0] or 0
+    model = _attention.train(_sample(encoded), of=_classes(encoded))
     shards = min(MAX_SHARDS, max(1, -(-windows // (ROUNDS * SHARD))))
-    size = _attention.WINDOW + 1
+    size, begin_id = _attention.WINDOW + 1, np.array([_attention.BEGIN], np.int32)
     met = 0
     for r in range(ROUNDS if windows else 0):
         begin = model
@@ -324,26 +327,29 @@ def _trained(blocks: DataFrame, texts: int) -> tuple[_attention.Model, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([seen]), pa.array([targets]), pa.array([flat.tobytes()], pa.binary())], ["shard", "windows", "targets", "params"])
 
             for batch in batches:
-                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                for shard, first, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                     if shard != own:
                         if own is not None:
                             yield from result()
                         own, held, count, seen, targets = shard, [], 0, 0, 0
                         copy = _attention.Model({k: v.copy() for k, v in begin.params.items()}, begin.of)
                         adam, rng = _attention.Adam(copy), np.random.default_rng(shard)
-                    held.append(_attention.cut(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)))
+                    seq = np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32)
+                    held.append(_attention.cut(np.concatenate([begin_id, seq]) if first else seq))
                     count += len(held[-1])
                     while count >= MIXED:
                         steps(MIXED)
             if own is not None:
                 yield from result()
 
-        mine = _pieces(blocks, r, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "turn", "ids")
-        copies = sorted(mine.mapInArrow(run, "shard int, windows long, targets long, params binary").collect(), key=lambda x: x["shard"])
-        if not copies:
+        mine = _pieces(encoded, r, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "turn", "ids")
+        copies = mine.mapInArrow(run, "shard int, windows long, targets long, params binary")
+        copies = copies.repartitionById(min(shards, SUMS_TO_DRIVER), "shard").sortWithinPartitions("shard").mapInArrow(_sum_of_copies, "windows long, targets long, params binary")
+        sums = copies.collect()
+        if not sums:
             continue
-        met += sum(c["targets"] for c in copies)
-        mean = sum(np.frombuffer(c["params"], "<f4").astype(np.float64) * c["windows"] for c in copies) / sum(c["windows"] for c in copies)
+        met += sum(c["targets"] for c in sums)
+        mean = sum(np.frombuffer(c["params"], np.float64) for c in sums) / sum(c["windows"] for c in sums)
         at, params = 0, {}
         for k in sorted(begin.params):
             v = begin.params[k]
@@ -363,18 +369,18 @@ def _part_rows(parts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     yield from _binary([(b, parts[i:j].tobytes()) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i], BLOCKS)
 
 
-def _attended(blocks: DataFrame, model: _attention.Model, buckets: int) -> DataFrame:
+def _attended(encoded: DataFrame, model: _attention.Model, buckets: int) -> DataFrame:
     """The texts' shares with their scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                parts, _, ids, bounds = _from_id_block(raw.as_buffer())
-                parts = parts.copy()
-                parts["score"] = segment_sums(model.log10_probabilities(ids.astype(np.int64), bounds).astype(np.float64), bounds)
-                yield from _part_rows(parts, buckets)
+        for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+            parts = np.frombuffer(column_bytes(batch.column(0))[0], PART).copy()
+            ids, at = column_bytes(batch.column(1))
+            ids, bounds = np.frombuffer(ids, "<u2"), at // 2
+            parts["score"] = segment_sums(model.log10_probabilities(ids, bounds).astype(np.float64), bounds)
+            yield from _part_rows(parts, buckets)
 
-    return blocks.select("block").mapInArrow(run, "bucket int, block binary")
+    return encoded.select("part", "ids").mapInArrow(run, "bucket int, block binary")
 
 
 def _settled(blocks: list[bytes], buckets: int, base: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +446,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     hot, hot_n = top["word"].to_numpy().view(U64)[order], top["n"].to_numpy()[order]
     log_all = np.log10(train_tokens + SMOOTHING * (vocabulary + 1))
     base = lambda count: np.log10(count + SMOOTHING) - log_all
-    scanned = stash(_scanned(docs, tokenizer_path, buckets, hot, hot_n, ends, base), "zstd")
-    ids = scanned.where("kind = 1").select("windows", "block")
-    model, _ = _trained(ids, ends)
-    cold = _by_bucket(scanned.where("kind = 0").select("bucket", "block"), buckets, lambda b: _settled(b, buckets, base), "bucket int, block binary")
-    return _by_bucket(_attended(ids, model, buckets).union(cold), buckets, lambda b: _added(b, train_tokens), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    encoded = stash(_encoded(docs, tokenizer_path, hot, hot_n, ends, base))
+    model, _ = _trained(encoded)
+    cold = _by_bucket(_cold(docs, buckets, hot), buckets, lambda b: _settled(b, buckets, base), "bucket int, block binary")
+    return _by_bucket(_attended(encoded, model, buckets).union(cold), buckets, lambda b: _added(b, train_tokens), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

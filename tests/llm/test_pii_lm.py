@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -51,6 +52,83 @@ def test_names_keep_gender_and_script():
     assert "Lopez" not in new and re.search(r"; [А-ЯЁа-яё]+ [А-ЯЁ][а-яё]+\.$", new)
 
 
+def test_mentions_of_a_name_share_its_surrogate():
+    text = "Anna Smith came. Ms Smith left, and Anna said hi. Ahmed Khan's dog; JOHN MCDONALD, Anna O'Brien, Ana Meyer-Lopez, Anna Kovačević. Dr. Wu. Lopez? Smiths"
+    new, spans = pii.replace(text, pii.Surrogates(KEY))
+    by = {}
+    for kind, _, _, old, fresh in spans:
+        by.setdefault((kind, old), set()).add(fresh)
+    assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+    assert {o for _, o in by} == {"Anna", "Smith", "Ahmed", "Khan", "JOHN", "MCDONALD", "O'Brien", "Ana", "Meyer-Lopez", "Kovačević", "Wu"}
+    assert not any(re.search(rf"\b{o}\b", new) for k, o in by if k == "surname") and new.endswith(". Lopez? Smiths")
+    assert re.search(r"O'[A-Z][a-z]+, [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+, ", new) and re.search(r"; [A-Z]+ [A-Z]+,", new)
+    both = pii.replace("Anna Smith", pii.Surrogates(KEY))[0].split()
+    assert new.startswith(" ".join(both)) and pii.replace("Mr Smith", pii.Surrogates(KEY))[0] == f"Mr {both[1]}"
+
+
+def test_surnames_keep_gendered_endings_and_distinctness():
+    s = pii.Surrogates(KEY)
+    assert all(s.of("surname", x).endswith(x[-3:]) for x in ("Иванова", "Петрова", "Сидорова")) and s.of("surname", "Иванов").endswith("ов")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters[:7]] + [a + b for a in letters for b in letters] + ["é" + a + b for a in letters for b in letters]
+    made = [s.of("surname", w.capitalize()) for w in words]
+    assert len(set(made)) == len(words) and not any(a == b.capitalize() for a, b in zip(made, words, strict=True)) and all(re.fullmatch("[A-Z][a-z]+", x) for x in made)
+
+
+def test_ibans_keep_their_check_digits():
+    s = pii.Surrogates(KEY)
+    rest = lambda t: pii._iban_rest([c for c in t if c != " "])
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    assert [rest(x) for x in good] == [1, 1, 1] == [rest(s.of("iban", x)) for x in good]
+    bad = [f"DE{i:02d}370400440532013000" for i in range(100)]
+    made = [s.of("iban", x) for x in bad]
+    assert len(set(made)) == 100 and [rest(x) == 1 for x in made] == [rest(x) == 1 for x in bad]
+
+
+def test_planted_entities_are_found_and_nothing_else(spark, docs):
+    rng = np.random.default_rng(5)
+    words = "the lake of stone and version 2.0 was, in 1999: at 12:30 (see std::vector) on 2001-02-03 a ratio 3.14 for 1,000 items".split()
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    make = {
+        "email": lambda: f"ann.{digits(3)}@mail{digits(1)}.example.org", "phone": lambda: rng.choice([f"+49 30 {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"]),
+        "ip": lambda: rng.choice([".".join(str(x) for x in rng.integers(1, 250, 4)), "2001:db8::8a2e:370:7334"]), "card": lambda: f"4{digits(15)}", "ssn": lambda: f"1{digits(2)}-{digits(2)}-{digits(4)}",
+        "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", "secret": lambda: rng.choice([f"sk-{'aZ' * 12}", f"{digits(20)}abcdef{digits(10)}", f"AKIA{'QX' * 8}"]),
+    }
+    rows, want = [], []
+    for i in range(300):
+        parts, planted = [], []
+        for _ in range(rng.integers(1, 6)):
+            parts += list(rng.choice(words, rng.integers(1, 8)))
+            if rng.random() < 0.5:
+                kind = rng.choice(list(make))
+                parts += ["is" if kind == "iban" else "is:", str(make[kind]()), ";"]
+                planted.append((kind, parts[-2]))
+        rows.append((i, " ".join(parts)))
+        want.append(planted)
+    got = {r.doc_id: [(e.kind, e.original) for e in r.entities] for r in pii.replace_private(docs(*rows), KEY).collect()}
+    assert [got[i] for i in range(300)] == want
+
+
+@pytest.mark.parametrize("unit", ["a.", "0af", "a@", "sk-", "1234 ", "7", "Anna ", "AB12 ", "ab:", "(123) 456 ", 'token = "a', "+1 ", "a@b.co.", "Anna Bx ", "a-", "0 ", "DE12 "])
+def test_time_grows_with_the_text(unit):
+    def seconds(n):
+        text = unit * (n // len(unit))
+        t = time.process_time()
+        pii.replace(text, pii.Surrogates(KEY))
+        return time.process_time() - t
+
+    assert seconds(1_000_000) < 8 * seconds(200_000) + 2
+
+
+def test_collisions_are_counted(spark):
+    span = "array<struct<kind:string,start:int,length:int,original:string,surrogate:string>>"
+    e = lambda old, new, kind="email": (kind, 0, len(old), old, new)
+    rows = [(1, [e("a@b.c", "x@y.c"), e("q@b.c", "z@y.c")]), (2, [e("d@b.c", "X@y.c")]), (2, [e("d@b.c", "X@y.c")]), (3, []), (4, [e("+1 23", "+1 45", "phone"), e("+123", "+145", "phone")]), (5, [e("q@b.c", "w@y.c")])]
+    frame = spark.createDataFrame(rows, f"doc_id long, entities {span}")
+    assert sorted((r.doc_id, r.n_collisions) for r in pii.count_collisions(frame).collect()) == [(1, 2), (2, 1), (2, 1), (3, 0), (4, 0), (5, 1)]
+    assert {r.n_collisions for r in pii.count_collisions(frame.where("doc_id = 4")).collect()} == {0}
+
+
 def test_clean_texts_stay(spark, docs):
     clean = ["Version 2.0 of 1999, 12:30, CC BY-NC 4.0, 3.14 and 1,000,000.", "", None, "Anna said", "x@y", "a" * 100_000]
     rows = pii.replace_private(docs(*clean), KEY).collect()
@@ -69,7 +147,7 @@ def test_whole_table_without_collisions(spark, sf_dir, documents):
     done = pii.replace_private(spark.read.parquet(f"{sf_dir}/documents.parquet"), KEY)
     assert pii.collisions(done).count() == 0
     for r in op8_pii(spark, sf_dir).collect():
-        assert (r.n_entities == 0) == (r.text == documents[r.doc_id])
+        assert (r.n_entities == 0) == (r.text == documents[r.doc_id]) and r.n_collisions == 0
         old = {documents[r.doc_id][a:b] for _, a, b in pii.entities(documents[r.doc_id])}
         assert not any(x in r.text for x in old if len(x) > 6)
 
@@ -117,19 +195,17 @@ def test_score_is_the_models_alone(spark, docs):
     rows = [(i, f"some words of w{i % 9} and of w{i % 7}, " * (1 + i % 5)) for i in range(60)]
     frame = docs(*rows)
     got = {r.doc_id: r.score for r in lmscore.score_texts(frame, tokenizer_path()).collect()}
-    blocks, texts = scanned(frame)
-    model, _ = lmscore._trained(blocks, texts)
+    model, _ = lmscore._trained(encoded(frame))
     tok = _subword.Subwords(tokenizer_path())
     for i, t in rows:
         ids = np.concatenate([tok.encode(_text.scan(pa.array([t])))[0], [_attention.END]]).astype(np.int64)
         assert abs(model.log10_probabilities(ids, np.array([0, len(ids)])).sum() - got[i]) < 1e-3
 
 
-def scanned(frame):
-    """Blocks of ids as score_texts makes them, and the training texts' number."""
+def encoded(frame):
+    """Texts as score_texts encodes them."""
     none = np.zeros(0, np.uint64)
-    made = lmscore._scanned(frame, tokenizer_path(), 1, none, none.astype(np.int64), 1, lambda n: n * 0.0)
-    return made.where("kind = 1").select("windows", "block"), frame.where(~lmscore.held_out()).count()
+    return lmscore._encoded(frame, tokenizer_path(), none, none.astype(np.int64), 1, lambda n: n * 0.0)
 
 
 def test_rows_that_repeat_too_often_for_a_bucket(spark, docs, monkeypatch):
@@ -236,12 +312,16 @@ def test_subwords_equal_whole_texts():
     from tokenizers import Tokenizer
 
     texts = ["Hello, WORLD don't 12 34", "", None, "e\u0301 E\u0301 \u0130 \u03a3\u03a3 \u212b", "<|endoftext|>a <|ENDOFTEXT|> b<|startoftext|>", "x\xa0y\u2003z\x1fq"]
+    texts += ["\u0301a e \u0301 \u1100 \u1161 'll 's", "\x02 \x00 ..\x7f"]
     texts += ["".join("ab"[(i.bit_count() + x) % 2] for i in range(1024)) for x in (0, 1)]
     tok = Tokenizer.from_file(tokenizer_path())
     w = _text.scan(pa.array(texts))
     flat, at = _subword.Subwords(tokenizer_path()).encode(w)
     for i, t in enumerate(texts):
         assert flat[at[w.first[i]] : at[w.first[i + 1]]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    for marked in ("a\x01b c \x01", " ".join(texts[0:1] * 200)):
+        w = _text.scan(pa.array([marked]))
+        assert _subword.Subwords(tokenizer_path()).encode(w)[0].tolist() == tok.encode(marked, add_special_tokens=False).ids
 
 
 def test_training_meets_every_id(docs, monkeypatch):
@@ -255,12 +335,12 @@ def test_training_meets_every_id(docs, monkeypatch):
     for d, t in rows:
         if d is not None and zlib.crc32(str(d).encode()) % 10:
             want.update(tok.encode(_text.scan(pa.array([t], pa.string())))[0].tolist() + [_attention.END])
-    blocks, texts = scanned(frame)
-    trained, met = lmscore._trained(blocks, texts)
+    made = encoded(frame)
+    trained, met = lmscore._trained(made)
     assert met == sum(want.values())
-    other, _ = lmscore._trained(scanned(frame.repartition(7))[0], texts)
+    other, _ = lmscore._trained(encoded(frame.repartition(7)))
     assert all(np.allclose(trained.params[k], other.params[k], atol=1e-4) for k in trained.params)
-    of = lmscore._classes(blocks)
+    of = lmscore._classes(made)
     assert of.seen.sum() == met + want[_attention.END]  # each text's BEGIN as well
     (zebra,) = set(tok.encode(_text.scan(pa.array(["zebra"])))[0].tolist())
     c, m = of.class_of[zebra], of.member_of[zebra]
