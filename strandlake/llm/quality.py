@@ -163,7 +163,7 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAINING_ROWS) -> Discriminant | Constant:
     """Fits on at most ``most`` labelled documents outside the held-out fold."""
     rows = _fit.training_rows(docs, labels, label, most)
-    _, vectors, y = _fit.collect_vectors(rows, lambda texts: [v.tobytes() for v in statistics(texts)])
+    vectors, y = _fit.collect_vectors(_fit.vectors_of(rows, lambda texts: [v.tobytes() for v in statistics(texts)]))
     return fit_discriminant(np.array([np.frombuffer(v) for v in vectors] or np.zeros((0, 1))), y)
 
 

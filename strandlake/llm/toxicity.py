@@ -8,13 +8,16 @@ factors give every pair of terms a weight, so that terms harmless alone count to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandlake.llm import _fit
+from strandlake.llm._spark import stash
 from strandlake.llm._text import NON_ALNUM, hash_ranges, mix, scan
 
 #: Most labelled rows the machine is fitted on.
@@ -66,20 +69,26 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def choose_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The kept indices, by the size of their deviation."""
-    size = 1 << BITS
-    seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    toxic = np.bincount(np.concatenate([*(r for r, t in zip(rows, y, strict=True) if t), np.zeros(0, np.int64)]).astype(np.int64), minlength=size)
-    share = y.mean() if len(y) else 0.0
+def choose_terms(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """The kept indices, by the size of their deviation, from the documents and the toxic
+    documents that have each, and the share of toxic ones of all."""
     deviation = (toxic - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     keep = np.flatnonzero((seen >= LEAST_DOCUMENTS) & (np.abs(deviation) >= DEVIATIONS))
     return keep[np.argsort(-np.abs(deviation[keep]), kind="stable")][:MAX_TERMS]
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, steps: int = 200, rate: float = 0.05, penalty: float = 2e-4) -> Machine:
-    """Fits by Adam on the whole sample, logistic loss with a quadratic penalty."""
-    terms = choose_terms(rows, y)
+def count_terms(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each index, the rows and the toxic rows that have it."""
+    size = 1 << BITS
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.bincount(np.concatenate([*part, *none]).astype(np.int64), minlength=size) for part in (rows, [r for r, t in zip(rows, y, strict=True) if t]))
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray | None = None, factors: int = 8, steps: int = 200, rate: float = 0.05, penalty: float = 2e-4) -> Machine:
+    """Fits by Adam on the whole sample, logistic loss with a quadratic penalty, over ``terms`` or
+    those that choose_terms keeps of the rows."""
+    if terms is None:
+        terms = choose_terms(*count_terms(rows, y), y.mean() if len(y) else 0.0)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[terms] = np.arange(len(terms))
     x = np.zeros((len(rows), len(terms)), np.float32)
@@ -112,11 +121,38 @@ def _vectors(texts: pa.Array) -> list[bytes]:
     return [ids[bounds[i] : bounds[i + 1]].astype(np.int32).tobytes() for i in range(len(texts))]
 
 
+COUNTS = "term int, seen long, toxic long"
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAINING_ROWS) -> Machine:
-    """Fits on at most ``most`` labelled documents outside the held-out fold."""
-    rows = _fit.training_rows(docs, labels, label, most)
-    _, vectors, y = _fit.collect_vectors(rows, _vectors)
-    return fit_machine([np.frombuffer(v, np.int32) for v in vectors], y)
+    """Fits on at most ``most`` labelled documents outside the held-out fold.  Terms are counted
+    where the rows are; only counts, at most one a hashed index, and the rows' kept terms, at
+    most MAX_TERMS each, reach the driver."""
+    vectors = stash(_fit.vectors_of(_fit.training_rows(docs, labels, label, most), _vectors))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            part = count_terms([np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)], batch.column(1).to_numpy())
+            seen += np.stack(part)
+        met = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(seen[0][met]), pa.array(seen[1][met])], ["term", "seen", "toxic"])
+
+    counts = vectors.select("x", "label").mapInArrow(counted, COUNTS).groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    seen[:, counts["term"].to_numpy()] = counts["seen"].to_numpy(), counts["toxic"].to_numpy()
+    share = vectors.agg(F.avg("label")).first()[0] or 0.0
+    terms = choose_terms(seen[0], seen[1], share)
+    kept = np.zeros(1 << BITS, bool)
+    kept[terms] = True
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = (np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[kept[r]].tobytes() for r in rows], pa.binary()), batch.column(2)], ["doc_id", "x", "label"])
+
+    rows, y = _fit.collect_vectors(vectors.mapInArrow(reduced, "doc_id long, x binary, label int"))
+    return fit_machine([np.frombuffer(v, np.int32) for v in rows], y, terms)
 
 
 def toxicity_scores(docs: DataFrame, model: Machine, keep: list[str] | None = None, passing: float | None = None) -> DataFrame:

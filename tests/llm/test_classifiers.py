@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strandlake.llm import _fit, quality, toxicity
 from strandlake.llm.queries import op3_toxicity, op7_quality
@@ -23,6 +24,54 @@ def test_queries(spark, sf_dir, documents):
         assert np.mean([r.predicted == labels[r.doc_id][name] for r in mine]) >= least
 
 
+def learnt(sf_dir, spark, documents, name):
+    labels = {r.doc_id: r[name] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    ids = sorted(d for d, y in labels.items() if y is not None and d in documents and not held(d))
+    return [documents[d] for d in ids], np.array([labels[d] for d in ids])
+
+
+def test_toxicity_equals_brute_force(spark, sf_dir, documents):
+    texts, y = learnt(sf_dir, spark, documents, "toxic")
+    terms = lambda t: toxicity.term_ids(pa.array([t], pa.string()))[0]
+    machine = toxicity.fit_machine([terms(t) for t in texts], y)
+    for r in op3_toxicity(spark, sf_dir).collect():
+        at = [int(x) for x in machine.slot[terms(documents[r.doc_id])] if x >= 0]
+        z = machine.bias + machine.w[at].sum() + sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.5)
+
+
+def test_quality_equals_brute_force(spark, sf_dir, documents):
+    texts, y = learnt(sf_dir, spark, documents, "quality")
+    x = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    centre, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1)
+    model = quality.fit_discriminant(x, y)
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale, atol=1e-6)
+    a, b = model.curve
+    for r in op7_quality(spark, sf_dir).collect():
+        z = (quality.statistics(pa.array([documents[r.doc_id]], pa.string()))[0] - model.centre) / model.scale
+        gap = 0.0
+        for c, sign in ((0, -1), (1, 1)):
+            cov = np.linalg.inv(model.factors[c].T @ model.factors[c])
+            d = z - model.means[c]
+            gap += sign * (-0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(cov)[1] + np.log((y == c).sum()))
+        raw = np.sign(gap) * np.log1p(abs(gap))
+        assert abs(r.score - 1 / (1 + np.exp(-(a * raw + b)))) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_repeated_ids_count_once(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    rows = [(i, f"text {i} {j}") for i in range(12) for j in range(9)]
+    got = [_fit.vectors_of(_fit.training_rows(docs(*rows).repartition(n), labels, "toxic", 5), lambda t: [x.encode() for x in t.to_pylist()]).collect() for n in (1, 3)]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == 5
+
+
+def test_clashing_columns(spark, docs):
+    frame = docs("a", None).withColumn("toxicity_score", F.lit("x")).withColumn("quality_score", F.lit(1))
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for made, name in ((toxicity.toxicity_scores(frame, toxicity.fit_toxicity(frame, nothing)), "toxicity_score"), (quality.quality_scores(frame, quality.fit_quality(frame, nothing)), "quality_score")):
+        assert made.columns.count(name) == 1 and all(0 <= r[name] <= 1 for r in made.collect())
+
+
 def test_training_rows_leave_the_fold_out(spark, docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     got = _fit.training_rows(docs(*["t"] * 40), labels, "quality", 12).collect()
