@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,24 @@ def json_pretty(text: Column, schema: str) -> Column:
     return F.to_json(F.from_json(text, schema), {"pretty": "true"})
 
 
+def json_value(text: Column) -> Column:
+    """A text of any JSON parsed without a schema; null where it is none."""
+    return F.try_parse_json(text)
+
+
+def json_text(value: Column, pretty: bool = False) -> Column:
+    """A parsed value written again; with ``pretty`` with line breaks, two blanks a level."""
+    plain = F.to_json(value)
+    if not pretty:
+        return plain
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in texts], dtype=object)
+
+    return run(plain)
+
+
 def parse_newick(text: str) -> list[tuple[int, int, str, float | None]]:
     """(node, parent, name, distance) of a tree's nodes in the order in which they end; the
     root's parent is -1."""
@@ -85,3 +105,22 @@ def degrees(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     ends = arcs.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(arcs.select(F.col("dst").alias("id"), F.lit(0), F.lit(1)))
     sums = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     return vertices.join(sums, "id", "left").select("id", F.coalesce("o", F.lit(0).cast("long")).alias("out_arcs"), F.coalesce("i", F.lit(0).cast("long")).alias("in_arcs"))
+
+
+def with_arcs(vertices: DataFrame, arcs: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with more arcs (src, dst), parallel ones too, and the vertices that they name."""
+    ends = added.select(F.col("src").alias("id")).union(added.select("dst"))
+    return vertices.select("id").union(ends).distinct(), arcs.select("src", "dst").union(added.select("src", "dst"))
+
+
+def without_arcs(arcs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Arcs but those from and to the same vertices as one of ``gone``."""
+    return arcs.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def graph_lines(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
+    """A line for each vertex: its name, then after a tab each arc's end and number of arcs."""
+    each = arcs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ends = each.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "n"))).alias("ends"))
+    text = F.transform("ends", lambda x: F.concat_ws("x", x["dst"].cast("string"), x["n"].cast("string")))
+    return vertices.join(ends, "id", "left").orderBy("id").select(F.concat_ws("\t", F.col("id").cast("string"), text).alias("value"))

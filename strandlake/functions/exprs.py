@@ -162,3 +162,10 @@ def find_all(text: Column, pattern: str) -> Column:
     last = F.length(text) - len(pattern)
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.filter(at, lambda i: F.substring(text, i + 1, F.lit(len(pattern))) == pattern)
+
+
+def code_count(packed: Column, code: int) -> Column:
+    """How many of the 32 two-bit places of a 64-bit integer hold a code, 0 to 3."""
+    high, low = F.shiftrightunsigned(packed, 1), packed
+    same = (high if code & 2 else F.bitwise_not(high)).bitwiseAND(low if code & 1 else F.bitwise_not(low))
+    return F.bit_count(same.bitwiseAND(F.lit(0x5555555555555555)))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCAL = "score int, te int, qe int, score2 int, te2 int, tb int, qb int"
@@ -126,6 +128,31 @@ def local_alignment(query: Column, target: Column, **scores: int) -> Column:
     return run(query, target)
 
 
+GLOBAL = "score int, cigar string"
+EXTENDED = "score int, query_bases int, target_bases int"
+
+
+def _struct_of(f: Callable, kind: str, integers: list[str], query: Column, target: Column) -> Column:
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    @F.pandas_udf(kind)
+    def run(q: pd.Series, t: pd.Series) -> pd.DataFrame:
+        rows = [f(a, b) if a is not None and b is not None else (None,) * len(names) for a, b in zip(q, t, strict=True)]
+        return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(integers, "Int32"))
+
+    return run(query, target)
+
+
+def global_alignment(query: Column, target: Column, **scores: int) -> Column:
+    """struct<score, cigar> of two string columns; null where one is."""
+    return _struct_of(lambda a, b: align_global(a, b, **scores), GLOBAL, ["score"], query, target)
+
+
+def extension(query: Column, target: Column, seed: int = 0, **scores: int) -> Column:
+    """struct<score, query_bases, target_bases> of two string columns; null where one is."""
+    return _struct_of(lambda a, b: extend(a, b, seed, **scores), EXTENDED, ["score", "query_bases", "target_bases"], query, target)
+
+
 class HiddenMarkov:
     """start[k], step[k, l] and emit[k, symbol] of a hidden Markov model."""
 
@@ -216,3 +243,74 @@ def burrows_wheeler(text: str) -> tuple[str, int]:
     row of that mark."""
     order = [len(text), *suffix_array(text).tolist()] if text.isascii() else sorted(range(len(text) + 1), key=lambda i: text[i:])
     return "".join(text[i - 1] for i in order if i), order.index(0)
+
+
+def suffixes(text: Column) -> Column:
+    """array<int>: places of the suffixes of a text in bytewise order; null for null."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else suffix_array(t).astype(np.int32) for t in texts], dtype=object)
+
+    return run(text)
+
+
+def transformed(text: Column) -> Column:
+    """struct<text, row>: the Burrows-Wheeler transform, its end mark left out, and that mark's row."""
+
+    @F.pandas_udf("text string, row int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if t is None else burrows_wheeler(t) for t in texts], columns=["text", "row"]).astype({"row": "Int32"})
+
+    return run(text)
+
+
+def _symbols(text: str, alphabet: str) -> np.ndarray:
+    return np.array([alphabet.index(c) for c in text], np.int64)
+
+
+def state_paths(model: HiddenMarkov, text: Column, alphabet: str) -> Column:
+    """struct<path, logp>: the likeliest states of a text's symbols, a digit each (so at most
+    ten states), and their log probability; null for a null or empty text."""
+
+    @F.pandas_udf("path string, logp double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            path, logp = model.best_path(_symbols(t, alphabet)) if t else (None, None)
+            rows.append((None if path is None else "".join(map(str, path)), logp))
+        return pd.DataFrame(rows, columns=["path", "logp"]).astype({"logp": "float64"})
+
+    return run(text)
+
+
+def likelihoods(model: HiddenMarkov, text: Column, alphabet: str) -> Column:
+    """The log likelihood of a text under the model; null for a null or empty text."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(np.log(model.forward(_symbols(t, alphabet))[1]).sum()) if t else None for t in texts], dtype="float64")
+
+    return run(text)
+
+
+def fit_hidden_markov(texts: DataFrame, column: str, alphabet: str, model: HiddenMarkov, rounds: int = 5) -> HiddenMarkov:
+    """Rounds of expectation and maximisation over all texts: each task sums its expected
+    counts, and only these sums, whose size is the model's, reach the driver."""
+    shapes = [model.start.shape, model.step.shape, model.emit.shape]
+    sizes = [int(np.prod(s)) for s in shapes]
+    for _ in range(rounds):
+        now = model
+
+        def run(batches: Iterator[pa.RecordBatch], now: HiddenMarkov = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sum(sizes))
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    if t:
+                        total += np.concatenate([np.ravel(x) for x in now.expect(_symbols(t, alphabet))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+        sums = texts.select(column).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")["v"].to_numpy()
+        parts = np.split(sums, np.cumsum(sizes)[:-1])
+        model = model.updated(*(x.reshape(s) for x, s in zip(parts, shapes, strict=True)))
+    return model

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,92 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float, float]:
     return min(1.0, sum(v for x, v in p.items() if x <= a)), min(1.0, sum(v for x, v in p.items() if x >= a)), min(1.0, sum(v for v in p.values() if v <= here * (1 + 1e-9)))
 
 
+FISHER = "left double, right double, two double"
+
+
+def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """struct<left, right, two> of two-by-two tables; null where a count is."""
+
+    @F.pandas_udf(FISHER)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        rows = [fisher_exact(*map(int, row)) if not any(pd.isna(v) for v in row) else (None,) * 3 for row in zip(a, b, c, d, strict=True)]
+        return pd.DataFrame(rows, columns=["left", "right", "two"], dtype="float64")
+
+    return run(a, b, c, d)
+
+
+def kolmogorov_smirnov(df: DataFrame, value: str, first: Column) -> DataFrame:
+    """(distance): the largest gap between the distributions of value where ``first`` holds and
+    where it does not.  The gap times both sizes is one running sum over distinct values."""
+    from strandlake.operators.reads import with_running_sum
+
+    one = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.coalesce(first, F.lit(False)).alias("one"))
+    counted = one.groupBy("value").agg(F.count_if("one").alias("a"), F.count_if(~F.col("one")).alias("b"))
+    na, nb = (int(x or 0) for x in counted.agg(F.sum("a"), F.sum("b")).first())
+    if not na or not nb:
+        return counted.agg(F.lit(None).cast("double").alias("distance"))
+    step = counted.select("value", (F.col("a").cast("decimal(20,0)") * nb - F.col("b") * na).cast("decimal(38,0)").alias("step"))
+    return with_running_sum(step, "value", "step").agg((F.max(F.abs(F.col("before") + F.col("step"))).cast("double") / (float(na) * nb)).alias("distance"))
+
+
+def log_binomial(n: Column, m: Column) -> Column:
+    """The natural logarithm of the number of ways to take m of n."""
+    return special(lambda n, m: math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1))(n.cast("double"), m.cast("double"))
+
+
+def bernstein(weights: list[float], t: Column) -> Column:
+    """The polynomial with these Bernstein coefficients at t, 0 to 1, by built-ins."""
+    n = len(weights) - 1
+    return sum((F.lit(float(w) * math.comb(n, i)) * F.pow(t, F.lit(i)) * F.pow(1 - t, F.lit(n - i)) for i, w in enumerate(weights)), F.lit(0.0))
+
+
+def kth_smallest(df: DataFrame, column: str, k: int) -> DataFrame:
+    """(value): the k-th smallest of a column, from 1; no row beyond its end.  Values are
+    counted first, so equal ones are one row."""
+    from strandlake.operators.reads import with_running_sum
+
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return with_running_sum(counted, "value", "n").where((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).select("value")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """df in an order by keyed hashes of a unique column, the same on every run."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key)
+
+
+class Twister:
+    """The 64-bit Mersenne Twister: whole numbers and fractions from a seed."""
+
+    # Fixed values of the generator.
+    SIZE, MIDDLE, MATRIX, UPPER, LOWER, SPREAD = 312, 156, 0xB5026F5AA96619E9, 0xFFFFFFFF80000000, 0x7FFFFFFF, 6364136223846793005
+
+    def __init__(self, seed: int):
+        word = (1 << 64) - 1
+        self._state = [seed & word]
+        for i in range(1, self.SIZE):
+            last = self._state[-1]
+            self._state.append((self.SPREAD * (last ^ last >> 62) + i) & word)
+        self._at = self.SIZE
+
+    def integer(self) -> int:
+        if self._at == self.SIZE:
+            s, n = self._state, self.SIZE
+            for i in range(n):
+                x = s[i] & self.UPPER | s[(i + 1) % n] & self.LOWER
+                s[i] = s[(i + self.MIDDLE) % n] ^ x >> 1 ^ (self.MATRIX if x & 1 else 0)
+            self._at = 0
+        x = self._state[self._at]
+        self._at += 1
+        x ^= x >> 29 & 0x5555555555555555
+        x ^= x << 17 & 0x71D67FFFEDA60000
+        x ^= x << 37 & 0xFFF7EEE000000000
+        return x ^ x >> 43
+
+    def fraction(self) -> float:
+        """In [0, 1)."""
+        return (self.integer() >> 11) / 9007199254740992.0
+
+
 def jackknife(df: DataFrame, group: str, value: str) -> DataFrame:
     """(estimate, variance) of the mean of value by leaving out one group at a time."""
     per = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))

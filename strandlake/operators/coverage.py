@@ -79,12 +79,18 @@ def window_depth(segments: DataFrame, contigs: DataFrame, width: int = 20_000, c
     return window_count(contigs, width).join(sums, ["chrom", "window"], "left").select("chrom", "window", "start", "end", (F.coalesce("v", F.lit(0)) / F.lit(float(width))).alias("value"))
 
 
-def window_count_gc(alignments: DataFrame, width: int = 20_000) -> DataFrame:
-    """(chrom, window, n, gc, bases, gc_percent) of mapped alignments by their start."""
+def window_count_gc(alignments: DataFrame, width: int = 20_000, contigs: DataFrame | None = None) -> DataFrame:
+    """(chrom, window, n, gc, bases, gc_percent) of mapped alignments by their start.
+
+    With contigs (chrom, length), every window of each contig that has an alignment, those
+    without one as zeros; else only windows with alignments."""
     kept = alignments.where(E.lax_filter())
     out = kept.groupBy("chrom", E.window_id(F.col("pos"), width).alias("window")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(E.gc_count(F.col("seq"))).alias("gc"), F.sum(F.col("l_qseq").cast("long")).alias("bases")
     )
+    if contigs is not None:
+        every = window_count(contigs, width).select("chrom", "window").join(out.select("chrom").distinct(), "chrom", "left_semi")
+        out = every.join(out, ["chrom", "window"], "full").select("chrom", "window", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "gc", "bases")))
     return out.withColumn("gc_percent", F.when(F.col("gc") == 0, 0.0).otherwise(F.col("gc") * 100.0 / F.col("bases")))
 
 
@@ -96,15 +102,23 @@ def contig_rollup(alignments: DataFrame, contigs: DataFrame, width: int = 20_000
     )
 
 
-def depth_quantile(values: DataFrame, column: str, q: float = 0.95) -> DataFrame:
-    """The value at place int(float32(q) * float32(n)) of the sorted column, not interpolated."""
-    import numpy as np
+def depth_quantiles(values: DataFrame, column: str, q: float = 0.95, by: str = "chrom") -> DataFrame:
+    """(by, quantile): the value at place int(float32(q) * float32(n)) of each group's sorted
+    column, not interpolated.  Values are counted first, so equal ones are one row."""
+    counted = values.groupBy(by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(by)
+    reached = F.sum("_c").over(group.orderBy("_v"))
+    total = F.sum("_c").over(group)
+    at = F.least((F.lit(q).cast("float") * total.cast("float")).cast("float").cast("long"), total - 1)
+    return counted.select(by, "_v", (reached > at).alias("_past")).where("_past").groupBy(by).agg(F.min("_v").alias("quantile"))
 
-    from strandlake.plans.tables import with_global_rank
 
-    n = values.count()
-    at = min(int(np.float32(q) * np.float32(n)), max(n - 1, 0))
-    return with_global_rank(values.select(column), [column]).where(F.col("rank") == at + 1).select(F.col(column).alias("quantile"))
+def hits_plot_data(windows: DataFrame, q: float = 0.95, height: int = 40) -> DataFrame:
+    """(chrom, window, n, quantile, height): each window's bar in whole pixels of a contig whose
+    quantile of counts is ``height`` pixels tall; zero where the quantile is."""
+    top = depth_quantiles(windows, "n", q)
+    tall = F.when(F.col("quantile") == 0, F.lit(0)).otherwise(F.floor(F.col("n") * height / F.col("quantile"))).cast("long")
+    return windows.join(top, "chrom").select("chrom", "window", "n", "quantile", tall.alias("height"))
 
 
 def trimmed_mean(values: DataFrame, column: str, sigmas: float = 3.0, rounds: int = 20) -> DataFrame:

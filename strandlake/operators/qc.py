@@ -128,7 +128,8 @@ def gc_histogram(reads: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def gc_density(histogram: DataFrame, bins: int = 50, points: int = 101) -> dict:
-    """A Gaussian kernel density over a GC histogram and the moments of a fitted Gaussian.
+    """A Gaussian kernel density over a GC histogram, and the Gaussian k exp(-(x - mean)^2 / 2 sd^2)
+    fitted to it by least squares.
 
     Works on at most ``bins`` numbers, on the driver."""
     import numpy as np
@@ -137,12 +138,33 @@ def gc_density(histogram: DataFrame, bins: int = 50, points: int = 101) -> dict:
     x, n = (np.arange(bins) + 0.5) / bins, np.array([rows.get(i, 0) for i in range(bins)], float)
     grid = np.linspace(0, 1, points)
     if not n.sum():
-        return {"x": grid, "density": np.zeros(points), "mean": None, "sd": None}
+        return {"x": grid, "density": np.zeros(points), "mean": None, "sd": None, "height": None}
     mean = (x * n).sum() / n.sum()
     sd = float(np.sqrt((n * (x - mean) ** 2).sum() / n.sum()))
     width = max(0.9 * max(sd, 1 / bins) * n.sum() ** -0.2, 1e-3)
     density = (np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2) * n).sum(1) / (n.sum() * width * np.sqrt(2 * np.pi))
-    return {"x": grid, "density": density, "mean": float(mean), "sd": sd}
+    # damped Gauss-Newton steps from the moments
+    fit, damp = np.array([density.max(), mean, max(sd, width)]), 1e-3
+
+    def apart(p: np.ndarray) -> np.ndarray:
+        return p[0] * np.exp(-0.5 * ((grid - p[1]) / p[2]) ** 2) - density
+
+    for _ in range(100):
+        z = (grid - fit[1]) / fit[2]
+        bell = np.exp(-0.5 * z * z)
+        slope = np.column_stack([bell, fit[0] * bell * z / fit[2], fit[0] * bell * z * z / fit[2]])
+        r = apart(fit)
+        normal = slope.T @ slope
+        step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), slope.T @ r)
+        new = fit - step
+        if new[2] > 0 and (apart(new) ** 2).sum() <= (r * r).sum():
+            done = np.abs(step).max() < 1e-10
+            fit, damp = new, damp / 3
+            if done:
+                break
+        else:
+            damp *= 4
+    return {"x": grid, "density": density, "mean": float(fit[1]), "sd": float(fit[2]), "height": float(fit[0])}
 
 
 def qc_report(reads: DataFrame, mates: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -68,16 +68,22 @@ def pick_ordinals(reads: DataFrame, chosen: DataFrame) -> DataFrame:
     return reads.join(chosen.select("ordinal"), "ordinal", "left_semi")
 
 
-def zip_pairs(first: DataFrame, second: DataFrame, check: bool = True) -> DataFrame:
-    """Mates by position; with ``check``, unequal names (to the first space) are an error."""
+def zip_pairs(first: DataFrame, second: DataFrame, check: bool = True, whole: bool = True) -> DataFrame:
+    """Mates by position; with ``check``, unequal names (to the first space) are an error, and
+    with ``whole`` so is a read without a mate, whichever columns are used later.  Else reads
+    without a mate are left out."""
     a = first.select("ordinal", *(F.col(c).alias(f"{c}1") for c in ("name", "seq", "qual")))
     b = second.select("ordinal", *(F.col(c).alias(f"{c}2") for c in ("name", "seq", "qual")))
-    both = a.join(b, "ordinal")
+    both = a.join(b, "ordinal", "full" if whole else "inner")
+    alone, unequal = F.lit(False), F.lit(False)
+    if whole:
+        alone = F.col("name1").isNull() | F.col("name2").isNull()
     if check:
-        same = E.read_key(F.col("name1")) == E.read_key(F.col("name2"))
-        fault = F.raise_error(F.concat(F.lit("unequal mates: "), F.col("name1"), F.lit(" and "), F.col("name2"))).cast("string")
-        both = both.withColumn("name1", F.when(same, F.col("name1")).otherwise(fault))
-    return both
+        unequal = E.read_key(F.col("name1")) != E.read_key(F.col("name2"))
+    if not (check or whole):
+        return both
+    names = F.concat(F.lit("unequal mates: "), F.coalesce("name1", F.lit("none")), F.lit(" and "), F.coalesce("name2", F.lit("none")))
+    return both.where(F.when(alone | unequal, F.raise_error(names).cast("boolean")).otherwise(F.lit(True)))
 
 
 def pair_reads(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -198,3 +204,14 @@ def top_reads(reads: DataFrame, n: int = 20) -> DataFrame:
 def neighbours(reads: DataFrame, key: str) -> DataFrame:
     """(at_most, at_least): the largest seq not above a key and the smallest not below it."""
     return reads.agg(F.max(F.when(F.col("seq") <= key, F.col("seq"))).alias("at_most"), F.min(F.when(F.col("seq") >= key, F.col("seq"))).alias("at_least"))
+
+
+def key_range(reads: DataFrame, low: str, high: str, outside: bool = False) -> DataFrame:
+    """Reads whose seq lies between two keys, both included, or all others."""
+    inside = F.col("seq").between(low, high)
+    return reads.where(~inside if outside else inside)
+
+
+def range_ends(reads: DataFrame, low: str, high: str) -> DataFrame:
+    """(first, last, n): the smallest and the largest seq between two keys, and the reads there."""
+    return key_range(reads, low, high).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.operators import coverage, qc
 from strandlake.operators import reads as R
-from strandlake.plans.tables import written
-from strandlake.sources import bam, fastx, sinks
+from strandlake.plans.tables import observed, written
+from strandlake.sources import bam, fastx, packed, sinks
+from strandlake.sources.fastx import is_gzip
 
 
 def fastq_count(spark: SparkSession, files: str, out: str, by_file: bool = True) -> DataFrame:
@@ -22,6 +28,15 @@ def fastq_trim(spark: SparkSession, path: str, out: str, start: int = 0, end: in
     sinks.write_lines(sinks.fastq_lines(R.trim(fastx.read_fastx(spark, path), start, end)), out, "gzip" if gzip else None)
 
 
+def run_metrics(name: str, began: float, seen: Observation) -> dict[str, float]:
+    """Seconds, and the metrics observed, of a command; also printed to stderr."""
+    out = {"seconds": round(time.time() - began, 3), **seen.get}
+    if out.get("reads"):
+        out["unique_percent"] = round(100.0 * out.get("distinct", 0) / out["reads"], 2)
+    print(f"{name}: " + ", ".join(f"{k} {v}" for k, v in out.items()), file=sys.stderr)
+    return out
+
+
 def fastq_sort(spark: SparkSession, path: str, out: str, by: str = "seq") -> None:
     sinks.write_lines(sinks.fastq_lines(R.sort_reads(fastx.read_fastx(spark, path), by), order=()), out)
 
@@ -36,21 +51,27 @@ def fastq_sample(spark: SparkSession, first: str, out: str, second: str | None =
         sinks.write_lines(sinks.sampled_lines(R.pick_ordinals(fastx.read_fastx(spark, second), chosen), fasta), f"{out}_2", "gzip")
 
 
-def fastq_collapse(spark: SparkSession, first: str, out: str, second: str | None = None, keep: str = "best") -> None:
-    """Distinct reads or pairs with counts: the best, the first, or all qualities."""
+def fastq_collapse(spark: SparkSession, first: str, out: str, second: str | None = None, keep: str = "best") -> dict[str, float]:
+    """Distinct reads or pairs with counts: the best, the first, or all qualities.  Returns the
+    run's metrics: seconds, reads, distinct ones and their percentage."""
+    began = time.time()
     a = fastx.read_fastx(spark, first)
+    counted = lambda df: observed(df, f"collapse-{uuid.uuid4().hex}", F.sum("n").alias("reads"), F.count(F.lit(1)).alias("distinct"))
     if second:
         pairs = R.zip_pairs(a, fastx.read_fastx(spark, second))
-        kept = written(R.collapse_best_pairs(pairs) if keep == "best" else R.collapse_first_pairs(pairs))
+        kept, seen = counted(R.collapse_best_pairs(pairs) if keep == "best" else R.collapse_first_pairs(pairs))
+        kept = written(kept)
         for i in (1, 2):
             side = kept.selectExpr("n", f"name{i} as name", f"seq{i} as seq", f"qual{i} as qual")
             sinks.write_lines(sinks.fastq_lines(side, "n", ()), f"{out}_{i}")
-        return
+        return run_metrics("collapse", began, seen)
+    kept, seen = counted(R.collapse_all_qualities(a) if keep == "all" else R.collapse_best(a) if keep == "best" else R.collapse_first(a))
+    kept = written(kept)  # observed once, whatever the sort reads again
     if keep == "all":
-        sinks.write_lines(sinks.all_qualities_lines(R.collapse_all_qualities(a)), out)
-        return
-    kept = R.collapse_best(a).orderBy("seq") if keep == "best" else R.by_count(R.collapse_first(a))
-    sinks.write_lines(sinks.fastq_lines(kept, "n", ()), out)
+        sinks.write_lines(sinks.all_qualities_lines(kept), out)
+    else:
+        sinks.write_lines(sinks.fastq_lines(kept.orderBy("seq") if keep == "best" else R.by_count(kept), "n", ()), out)
+    return run_metrics("collapse", began, seen)
 
 
 def pick_pairs(spark: SparkSession, first: str, second: str, out: str) -> None:
@@ -78,7 +99,7 @@ def bam_sliding_count(spark: SparkSession, path: str, out: str, width: int = 20_
     """Count and GC of windows by contig, and the contigs' totals."""
     rows = bam.read_bam(spark, path, **({"region": region} if region else {}))
     contigs = bam.read_contigs(spark, path).select("tid", "chrom", "length").distinct()
-    sinks.write_lines(sinks.window_table_lines(coverage.window_count_gc(rows, width), contigs), out)
+    sinks.write_lines(sinks.window_table_lines(coverage.window_count_gc(rows, width, contigs), contigs, width), out)
     return coverage.contig_rollup(rows, contigs, width)
 
 
@@ -90,9 +111,10 @@ def two_bit(spark: SparkSession, path: str, out: str) -> None:
     sinks.two_bit_file(fastx.read_fastx(spark, path), out)
 
 
-def two_bit_sequences(path: str, out: str) -> None:
-    with open(path, "rb") as f, open(f"{out}.decompress", "w") as g:
-        g.writelines(f"{s}\n" for s in sinks.read_two_bit(f.read()))
+def two_bit_sequences(spark: SparkSession, path: str, out: str) -> None:
+    """The sequences of packed files, one a line."""
+    rows = packed.read_two_bit(spark, path)
+    sinks.write_lines(rows.orderBy("file", "ordinal").select(rows["seq"].alias("value")), f"{out}.decompress")
 
 
 def quality_codes(spark: SparkSession, path: str, out: str) -> None:
@@ -104,7 +126,11 @@ def qc_report(spark: SparkSession, first: str, second: str | None = None) -> dic
 
 
 def fasta_part(spark: SparkSession, path: str, name: str, begin: int, end: int) -> DataFrame:
-    """Bases [begin, end) of a FASTA sequence."""
-    from pyspark.sql import functions as F
-
+    """Bases [begin, end) of a FASTA sequence: by its index, or, of a zipped file or one whose
+    lines are not equally long, by a scan."""
+    try:
+        if not is_gzip(path):
+            return packed.fasta_ranges(spark, path, spark.createDataFrame([(name, begin, end)], "name string, begin long, end long")).where("seq is not null").select("seq")
+    except ValueError:
+        pass
     return fastx.read_fastx(spark, path, layout="fastx").where(F.col("name") == name).select(F.substring("seq", begin + 1, end - begin).alias("seq"))

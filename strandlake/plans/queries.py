@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -48,7 +47,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return R.zip_pairs(derive.reads(spark, d), derive.mates(spark, d))
+    return R.zip_pairs(derive.reads(spark, d), derive.mates(spark, d), whole=False)
 
 
 # ---- reads -------------------------------------------------------------------------------
@@ -447,21 +446,11 @@ def contig_rollup(spark, d):
     return coverage.contig_rollup(alignments(spark, d), derive.contigs(spark), 1000)
 
 
-@query(f", q as (select list(n order by n) as l from ({_GC})) select l[cast(floor(cast(cast(0.95 as float) * cast(len(l) as float) as float)) as integer) + 1] as quantile from q")
-def window_quantile(spark, d):
-    return coverage.depth_quantile(coverage.window_count_gc(alignments(spark, d), 1000), "n", 0.95)
-
-
 @query(f"select max(n) as most, avg(n) as mean, stddev_samp(n) as sd from ({_GC})")
 def window_moments(spark, d):
     return coverage.window_count_gc(alignments(spark, d), 1000).agg(F.max("n").alias("most"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
 
 
-@query()
-def window_trimmed_mean(spark, d):
-    return coverage.trimmed_mean(coverage.window_count_gc(alignments(spark, d), 1000), "n")
-
-
 @query("select chrom, count(*) as n from a group by 1")
 def contig_counts(spark, d):
     return coverage.contig_counts(alignments(spark, d))
@@ -545,15 +534,10 @@ def expr_json(spark, d):
 
 @query()
 def align_local(spark, d):
-    both = R.zip_pairs(derive.reads(spark, d), derive.mates(spark, d))
+    both = R.zip_pairs(derive.reads(spark, d), derive.mates(spark, d), whole=False)
     return both.select("ordinal", SEQ.local_alignment(F.col("seq1"), E.reverse_complement(F.col("seq2"))).alias("a")).select("ordinal", "a.*")
 
 
-@query(f"select n, count(*) as windows from ({_GC}) group by n")
-def hits_plot_data(spark, d):
-    return sinks.hits_plot_data(coverage.window_count_gc(alignments(spark, d), 1000))
-
-
 @query("select ordinal, name, seq, qual from r")
 def source_fastq_round_trip(spark, d):
     path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
@@ -566,11 +550,10 @@ def source_fastq_round_trip(spark, d):
 @query("select ordinal, qname, flag, chrom, pos, l_qseq, cast(len(cigar) as integer) as ops from a".replace("ordinal, qname", "ordinal"))
 def source_bam_round_trip(spark, d):
     folder = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}"
-    local = folder.removeprefix("file://").removeprefix("file:")
-    os.makedirs(local)
     some = alignments(spark, d).withColumn("qname", F.col("ordinal").cast("string"))
-    sinks.bam_files(some.withColumn("mapq", F.lit(0)).withColumn("qual", F.lit(None).cast("string")), derive.contigs(spark), local).collect()
-    return bam.read_bam(spark, local).select(F.col("qname").cast("long").alias("ordinal"), "flag", "chrom", "pos", "l_qseq", F.size("cigar").alias("ops"))
+    sinks.bam_files(some.withColumn("mapq", F.lit(0)).withColumn("qual", F.lit(None).cast("string")), derive.contigs(spark), folder).collect()
+    bam.index_bam(spark, folder).collect()
+    return bam.read_bam(spark, folder, chunk="4096").select(F.col("qname").cast("long").alias("ordinal"), "flag", "chrom", "pos", "l_qseq", F.size("cigar").alias("ops"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")

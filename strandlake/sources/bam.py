@@ -1,11 +1,16 @@
-"""BAM as a Python data source, ``spark.read.format("bam")``, and its encoding.
-
-Option ``path`` as for fastx; ``region`` (chr, chr:b or chr:b-e) keeps overlapping
-alignments only.  A file is a partition, decoded as a stream.
+"""BAM as a Python data source, ``spark.read.format("bam")``, its index, and its encoding.
+
+Options: ``path`` as for fastx; ``region`` (chr, chr:b or chr:b-e) keeps overlapping
+alignments only; ``chunk``, the compressed bytes of a partition.  A file with an index beside
+it (``.bai``) is cut at the index's places, which are beginnings of records, and of a region
+only what the index points to is read; any other file is a partition.  Blocks are inflated
+one at a time, and records are decoded by the batch.  Ordinals count a file's records; in a
+cut file they are places in it, which keep the order but leave gaps.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -13,24 +18,30 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from strandlake.schemas import ALIGNMENTS, CONTIGS
-from strandlake.sources.fastx import Range
-from strandlake.sources.files import expand, open_input
+from strandlake.sources.files import exists, expand, open_input, open_raw
 
-BATCH = 8192
+#: Inflated bytes decoded at a time; compressed bytes of a partition of an indexed file.
+BATCH_BYTES, CHUNK = 4 << 20, 64 << 20
 # Fixed values of the format: base codes, CIGAR letters, and the block that ends a file.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+# Fixed values of the index: bits of a window of its linear part, and of bins with each level's first.
+WINDOW_BITS = 14
+LEVELS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
 _BASES = np.frombuffer(BASES.encode(), np.uint8)
 _CODE = {c: i for i, c in enumerate(BASES)}
+_ON_REFERENCE = np.isin(np.arange(16), (0, 2, 3, 7, 8))
+_HEAD = np.dtype([("tid", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("mate", "<i4", 3)])
 _ARROW = pa.schema(
     [("file", pa.string()), ("ordinal", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()),
      ("cigar", pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())]))), ("l_qseq", pa.int32()), ("seq", pa.string()), ("qual", pa.string())]
 )
 Contigs = list[tuple[str, int]]
+Region = tuple[str, int, int | None]
 
 
 class BamSource(DataSource):
@@ -42,43 +53,191 @@ class BamSource(DataSource):
         return ALIGNMENTS
 
     def reader(self, schema):
-        return BamReader(self.options)
+        # Spark refuses a reader that takes filters while its setting is off
+        return (PushingReader if self.options.get("pushdown") == "true" else BamReader)(self.options)
+
+
+class Part(InputPartition):
+    """Records of a file from one virtual place to another; the whole file without places."""
+
+    def __init__(self, file: str, begin: int | None = None, end: int | None = None):
+        self.file, self.begin, self.end = file, begin, end
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.region = options["path"], options.get("region")
+        self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
+        self.region = options.get("region")
 
-    def partitions(self):
-        return [Range(f) for f in expand(self.path)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def _region(self) -> Region | None:
         from strandlake.operators.coverage import parse_region
 
-        region = parse_region(self.region) if self.region else None
+        return parse_region(self.region) if self.region else None
+
+    def partitions(self):
+        out: list[Part] = []
+        for file in expand(self.path):
+            out += indexed_parts(file, self._region(), self.chunk) if exists(f"{file}.bai") else [Part(file)]
+        return out
+
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing to read
+            return
+        region = self._region()
         with open_input(partition.file) as f:
             contigs = read_header(f)[1]
-            rows: list[tuple] = []
-            for row in read_records(f, contigs):
-                if region and not _overlaps(row, region):
-                    continue
-                rows.append((partition.file, *row))
-                if len(rows) == BATCH:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-
-def _overlaps(row: tuple, region: tuple[str, int, int | None]) -> bool:
-    chrom, begin, end = region
-    _, _, _, _, name, pos, _, cigar, *_ = row
-    reach = pos + sum(c["len"] for c in cigar if c["op"] in (0, 2, 3, 7, 8))
-    return name == chrom and reach > begin and (end is None or pos < end)
+            if partition.begin is None:
+                yield from _decoded(f, partition.file, contigs, region, 0)
+                return
+        with open_raw(partition.file) as raw:
+            yield from _decoded(Blocks(raw, partition.begin, partition.end), partition.file, contigs, region, partition.begin)
+
+
+class PushingReader(BamReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """A contig asked for by equality is a region; Spark still applies all filters."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("chrom",) and self.region is None:
+                self.region = f.value
+            yield f
+
+
+class Blocks:
+    """The inflated bytes of a file of blocks from a virtual place, block << 16 | byte, on."""
+
+    def __init__(self, raw, begin: int = 0, end: int | None = None):
+        self.raw, self.end, self.held, self.at = raw, end, b"", begin & 0xFFFF
+        self.block = self.next = begin >> 16
+
+    def tell(self) -> int:
+        return (self.next << 16) if self.at >= len(self.held) else self.block << 16 | self.at
+
+    def _more(self) -> bool:
+        self.raw.seek(self.next)
+        head = self.raw.read(12)
+        if len(head) < 12:
+            return False
+        if head[:4] != EOF_BLOCK[:4]:
+            raise ValueError(f"no block at byte {self.next}")
+        extra = self.raw.read(struct.unpack_from("<H", head, 10)[0])
+        at, size = 0, None
+        while at < len(extra):
+            kind, n = extra[at : at + 2], struct.unpack_from("<H", extra, at + 2)[0]
+            if kind == b"BC":
+                size = struct.unpack_from("<H", extra, at + 4)[0] + 1
+            at += 4 + n
+        if size is None:
+            raise ValueError(f"no block size at byte {self.next}")
+        body = self.raw.read(size - 12 - len(extra))
+        data = zlib.decompress(body[:-8], -15)
+        if zlib.crc32(data) != struct.unpack_from("<I", body, len(body) - 8)[0]:
+            raise ValueError(f"a damaged block at byte {self.next}")
+        skip = self.at if not self.held and self.block == self.next else 0
+        self.block, self.held, self.at = self.next, data, skip
+        self.next += size
+        return True
+
+    def read(self, n: int) -> bytes:
+        """At most n bytes, none beyond the end place."""
+        out = []
+        while n > 0:
+            if self.at >= len(self.held) and not (self._within(self.next << 16) and self._more()):
+                break
+            if not self._within(self.block << 16 | self.at):
+                break
+            last = len(self.held) if self.end is None or self.end >> 16 > self.block else min(len(self.held), self.end & 0xFFFF)
+            part = self.held[self.at : min(self.at + n, last)]
+            self.at += len(part)
+            if not part and last < len(self.held):
+                break
+            out.append(part)
+            n -= len(part)
+        return b"".join(out)
+
+    def _within(self, place: int) -> bool:
+        return self.end is None or place < self.end
+
+
+def _decoded(f, file: str, contigs: Contigs, region: Region | None, first: int) -> Iterator[pa.RecordBatch]:
+    held, ordinal = b"", first
+    while True:
+        more = f.read(BATCH_BYTES)
+        data = held + more if held else more
+        starts, at = [], 0
+        while at + 4 <= len(data) and at + 4 + (size := struct.unpack_from("<i", data, at)[0]) <= len(data):
+            starts.append(at + 4)
+            at += 4 + size
+        if starts:
+            batch, past = decode(data, np.array(starts), file, contigs, ordinal, region)
+            if batch.num_rows:
+                yield batch
+            if past:
+                return
+            ordinal += len(starts)
+        held = data[at:]
+        if not more:
+            if held:
+                raise ValueError("a BAM file that is cut off")
+            return
+
+
+def _taken(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the ranges end to end, offsets)."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    return buf[np.arange(at[-1]) + np.repeat(start - at[:-1], size)], at
+
+
+def _strings(flat: np.ndarray, at: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    made = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))).cast(pa.string())
+    return made if missing is None else pa.compute.if_else(pa.array(missing), pa.scalar(None, pa.string()), made)
+
+
+def decode(data: bytes, start: np.ndarray, file: str, contigs: Contigs, ordinal: int, region: Region | None = None) -> tuple[pa.RecordBatch, bool]:
+    """(rows, whether a sorted file has none of the region's later) of the records whose bodies begin at ``start``."""
+    buf = np.frombuffer(data, np.uint8)
+    head = buf[start[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
+    number = ordinal + np.arange(len(start))
+    name = head["name"].astype(np.int64)
+    ops, bases = head["ops"].astype(np.int64), head["bases"].astype(np.int64)
+    ops_at = start + _HEAD.itemsize + name
+    raw, at = _taken(buf, ops_at, 4 * ops)
+    cigar = raw.view("<u4")
+    past = False
+    if region is not None:
+        chrom, begin, end = region
+        steps = np.concatenate([[0], np.cumsum(np.where(_ON_REFERENCE[cigar & 15], cigar >> 4, 0), dtype=np.int64)])
+        reach = head["pos"] + steps[at[1:] // 4] - steps[at[:-1] // 4]
+        tid = next((i for i, (n, _) in enumerate(contigs) if n == chrom), -2)
+        keep = (head["tid"] == tid) & (reach > begin)
+        if end is not None:
+            keep &= head["pos"] < end
+            past = bool(((head["tid"] > tid) | ((head["tid"] == tid) & (head["pos"] >= end)) | (head["tid"] < 0))[-1]) and _ascends(head)
+        if not keep.all():
+            batch, _ = decode(data, start[keep], file, contigs, ordinal) if keep.any() else (pa.RecordBatch.from_pylist([], schema=_ARROW), False)
+            if batch.num_rows:
+                batch = batch.set_column(1, "ordinal", pa.array(number[keep]))
+            return batch, past
+    half = (bases + 1) // 2
+    seq_at = ops_at + 4 * ops
+    packed, packed_at = _taken(buf, seq_at, half)
+    letters = np.column_stack([packed >> 4, packed & 15]).ravel()
+    letters, seq = _taken(letters, 2 * packed_at[:-1], bases)
+    quals, qual = _taken(buf, seq_at + half, bases)
+    first = np.append(quals, np.uint8(255))[qual[:-1]]
+    tid = pa.array(head["tid"], mask=head["tid"] < 0)
+    columns = [
+        pa.array([file] * len(start)), pa.array(number), _strings(*_taken(buf, start + _HEAD.itemsize, name - 1)), pa.array(head["flag"].astype(np.int32)), pa.array(head["tid"]),
+        pa.array([n for n, _ in contigs], pa.string()).take(tid), pa.array(head["pos"].astype(np.int64)), pa.array(head["mapq"].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array((at // 4).astype(np.int32)), pa.StructArray.from_arrays([pa.array((cigar & 15).astype(np.int32)), pa.array((cigar >> 4).astype(np.int32))], ["op", "len"])),
+        pa.array(head["bases"]), _strings(_BASES[letters], seq), _strings(quals + np.uint8(33), qual, (bases == 0) | (first == 255)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW), past
+
+
+def _ascends(head: np.ndarray) -> bool:
+    """Whether a batch of records is sorted by contig and place, those without a contig last."""
+    place = (head["tid"].astype(np.uint32).astype(np.int64) << 32) + head["pos"]
+    return bool((np.diff(place) >= 0).all())
 
 
 def _exactly(f, n: int) -> bytes:
@@ -100,28 +259,10 @@ def read_header(f) -> tuple[str, Contigs]:
     return text, contigs
 
 
-def read_records(f, contigs: Contigs) -> Iterator[tuple]:
-    ordinal = 0
-    while head := f.read(4):
-        data = _exactly(f, *struct.unpack("<i", head))
-        tid, pos, name_len, mapq, _, n_cigar, flag, n_seq, _, _, _ = struct.unpack_from("<iiBBHHHiiii", data)
-        at = 32
-        name = data[at : at + name_len - 1].decode()
-        at += name_len
-        cigar = [{"op": int(c & 15), "len": int(c >> 4)} for c in struct.unpack_from(f"<{n_cigar}I", data, at)]
-        at += 4 * n_cigar
-        half = np.frombuffer(data, np.uint8, (n_seq + 1) // 2, at)
-        seq = _BASES[np.column_stack([half >> 4, half & 15]).ravel()[:n_seq]].tobytes().decode()
-        at += len(half)
-        raw = np.frombuffer(data, np.uint8, n_seq, at)
-        qual = None if n_seq == 0 or raw[0] == 255 else (raw + 33).astype(np.uint8).tobytes().decode("latin-1")
-        yield ordinal, name, flag, tid, contigs[tid][0] if tid >= 0 else None, pos, mapq, cigar, n_seq, seq, qual
-        ordinal += 1
-
-
 def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").options(path=path, **options).load()
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("bam").options(path=path, pushdown=pushdown, **options).load()
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +274,120 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, CONTIGS)
 
 
+# ---- the index ---------------------------------------------------------------------------
+
+
+def _bin(begin: int, end: int) -> int:
+    """The smallest bin that holds [begin, end)."""
+    return next((first + (begin >> bits) for bits, first in LEVELS if begin >> bits == (end - 1) >> bits), 0)
+
+
+def make_index(raw) -> bytes:
+    """The index of a sorted file, read as a stream."""
+    f = Blocks(raw)
+    contigs = read_header(f)[1]
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
+    linear: list[dict[int, int]] = [{} for _ in contigs]
+    without, last = 0, (0, -1)
+    while len(size := (place := f.tell(), f.read(4))[1]) == 4:
+        data = _exactly(f, *struct.unpack("<i", size))
+        head = np.frombuffer(data, _HEAD, 1)[0]
+        tid, pos = int(head["tid"]), int(head["pos"])
+        if tid < 0:
+            without += 1
+            continue
+        if (tid, pos) < last:
+            raise ValueError("an unsorted BAM file has no index")
+        last = tid, pos
+        cigar = np.frombuffer(data, "<u4", int(head["ops"]), _HEAD.itemsize + int(head["name"]))
+        end = pos + max(1, int((cigar >> 4)[_ON_REFERENCE[cigar & 15]].sum()))
+        chunks = bins[tid].setdefault(_bin(pos, end), [])
+        if chunks and chunks[-1][1] == place:
+            chunks[-1][1] = f.tell()
+        else:
+            chunks.append([place, f.tell()])
+        for w in range(pos >> WINDOW_BITS, (end - 1 >> WINDOW_BITS) + 1):
+            linear[tid].setdefault(w, place)
+    out = [b"BAI\1", struct.pack("<i", len(contigs))]
+    for of_bin, of_window in zip(bins, linear, strict=True):
+        out.append(struct.pack("<i", len(of_bin)))
+        for b, chunks in sorted(of_bin.items()):
+            out.append(struct.pack("<Ii", b, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+        places, known = [], 0
+        for w in range(max(of_window, default=-1) + 1):
+            known = of_window.get(w, known)
+            places.append(known)
+        out.append(struct.pack(f"<i{len(places)}Q", len(places), *places))
+    return b"".join([*out, struct.pack("<Q", without)])
+
+
+def read_index(data: bytes) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
+    """(linear part, chunks) of each contig."""
+    if data[:4] != b"BAI\1":
+        raise ValueError("not an index of BAM")
+    f = io.BytesIO(data[4:])
+    number = lambda kind, n=1: struct.unpack(f"<{n}{kind}", f.read(n * struct.calcsize(f"<{kind}")))
+    linear, chunks = [], []
+    for _ in range(*number("i")):
+        mine: list[tuple[int, int]] = []
+        for _ in range(*number("i")):
+            b, n = *number("I"), *number("i")
+            pairs = [number("Q", 2) for _ in range(n)]
+            if b <= 37448:  # others hold counts
+                mine += pairs
+        chunks.append(sorted(mine))
+        linear.append(list(number("Q", *number("i"))))
+    return linear, chunks
+
+
+def indexed_parts(file: str, region: Region | None, chunk: int) -> list[Part]:
+    """Partitions of an indexed file of about ``chunk`` compressed bytes; with a region, of what
+    the index points to."""
+    with open_raw(f"{file}.bai") as f:
+        linear, chunks = read_index(f.read())
+    with open_raw(file) as raw:
+        contigs = read_header(blocks := Blocks(raw))[1]
+        first = blocks.tell()
+    begin, end = first, None
+    if region is not None:
+        tid = next((i for i, (n, _) in enumerate(contigs) if n == region[0]), None)
+        if tid is None or not chunks[tid]:
+            return []
+        begin, end = chunks[tid][0][0], max(c[1] for c in chunks[tid])
+        window = region[1] >> WINDOW_BITS
+        begin = max(begin, linear[tid][window] if window < len(linear[tid]) else end)
+        if region[2] is not None:
+            after = (region[2] - 1 >> WINDOW_BITS) + 1
+            later = [x for x in linear[tid][after:] if x]
+            # records that begin before the region's end begin before those that begin in a later window
+            starts = sorted(a for a, _ in chunks[tid] if later and a >= later[-1])
+            end = min(end, starts[0]) if starts else end
+        if begin >= end:
+            return []
+    places = sorted({x for contig in linear for x in contig if x} | {x for contig in chunks for c in contig for x in c})
+    cuts = [begin]
+    for place in places:
+        if place > begin and (end is None or place < end) and (place >> 16) - (cuts[-1] >> 16) >= chunk:
+            cuts.append(place)
+    return [Part(file, a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+
+
+def index_bam(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes): writes an index beside each sorted file, a task each."""
+    from strandlake.sources.files import write_whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with open_raw(file) as raw:
+                    data = make_index(raw)
+                write_whole(f"{file}.bai", data)
+                yield pa.RecordBatch.from_pydict({"file": [file], "bytes": [len(data)]})
+
+    files = [(f,) for f in expand(path) if not f.endswith(".bai")]
+    return spark.createDataFrame(files, "file string").repartition(max(len(files), 1)).mapInArrow(run, "file string, bytes long")
+
+
 # ---- encoding ----------------------------------------------------------------------------
 
 

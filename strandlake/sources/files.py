@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
+import uuid
 from glob import glob
 from typing import BinaryIO
 
@@ -28,13 +30,50 @@ def expand(path: str) -> list[str]:
             continue
         local = part.removeprefix("file://").removeprefix("file:")
         names = sorted(glob(f"{local.rstrip('/')}/*")) or sorted(glob(local))
-        names = [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+        names = [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", ".")) and not n.endswith((".bai", ".fai"))]
         if not names:
             raise FileNotFoundError(part)
         found += names
     return found
 
 
+def _local(path: str) -> str | None:
+    return None if "://" in path and not path.startswith("file:") else path.removeprefix("file://").removeprefix("file:")
+
+
+def exists(path: str) -> bool:
+    if (name := _local(path)) is not None:
+        return os.path.exists(name)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.get_file_info(inner).type == fs.FileType.File
+
+
+def open_write(path: str) -> BinaryIO:
+    """A new file, its folder made where it is missing."""
+    if (name := _local(path)) is not None:
+        os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
+        return open(name, "wb")
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner)
+
+
+def moved(old: str, new: str) -> None:
+    if (name := _local(old)) is not None:
+        os.replace(name, _local(new))
+        return
+    system, inner = fs.FileSystem.from_uri(old)
+    system.move(inner, fs.FileSystem.from_uri(new)[1])
+
+
+def write_whole(path: str, data: bytes) -> None:
+    """A file that is there whole or not at all, also if the task is lost or runs twice."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open_write(part) as f:
+        f.write(data)
+    moved(part, path)
+
+
 def open_raw(path: str) -> BinaryIO:
     if "://" in path and not path.startswith("file:"):
         system, inner = fs.FileSystem.from_uri(path)

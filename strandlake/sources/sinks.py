@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.codecs import encode_quality_rle, fixed_decimals, pack_2bit, unpack
+from strandlake.sources.files import moved, open_raw, open_write
 
 
 def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
@@ -62,23 +67,27 @@ def chrom_sizes_lines(contigs: DataFrame) -> DataFrame:
     return _lines(contigs, _tabs("chrom", "length"), ["tid"])
 
 
-def window_table_lines(windows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """A line for each contig: its name, then count and GC % of its windows in order.
+def window_table_lines(windows: DataFrame, contigs: DataFrame, width: int) -> DataFrame:
+    """A header, then a line for each contig with alignments: name, length, reads, bases, mean
+    coverage and GC %, and place (from 1), count and GC % of every window.
 
-    A contig's windows are gathered, which the width bounds."""
-    cell = F.struct("window", F.concat_ws(":", F.col("n").cast("string"), fixed_decimals(F.col("gc_percent"), 3)).alias("t"))
-    rows = windows.groupBy("chrom").agg(F.sort_array(F.collect_list(cell)).alias("cells")).join(contigs.select("chrom", "tid"), "chrom")
-    return _lines(rows, _tabs("chrom", F.array_join(F.transform("cells", lambda c: c["t"]), "\t")), ["tid"])
-
-
-def hits_plot_data(windows: DataFrame) -> DataFrame:
-    """(n, windows): the distribution of window counts, as a plot needs it."""
-    return windows.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).orderBy("n")
+    windows are those of window_count_gc with contigs.  A contig's windows are gathered,
+    whose number the width bounds."""
+    cell = F.struct("window", _tabs((F.col("window") + 1).cast("string"), "n", fixed_decimals(F.col("gc_percent"), 6)).alias("t"))
+    sums = [F.sum(c).alias(c) for c in ("n", "bases", "gc")]
+    rows = windows.groupBy("chrom").agg(F.sort_array(F.collect_list(cell)).alias("cells"), *sums).join(contigs.select("chrom", "tid", "length"), "chrom")
+    gc = F.when(F.col("gc") == 0, 0.0).otherwise(F.col("gc") * 100.0 / F.col("bases"))
+    line = _tabs("chrom", "length", "n", "bases", fixed_decimals(F.col("bases") / F.col("length"), 6), fixed_decimals(gc, 6), F.array_join(F.transform("cells", lambda c: c["t"]), "\t"))
+    last = F.coalesce(F.max(F.floor(F.col("length") / width)), F.lit(0)) + 1
+    names = F.concat_ws("\t", F.lit("#chr\tchr_len\tchr_sum_read_count\tchr_sum_base\tchr_mean_cov\tchr_mean_GC%"), F.transform(F.sequence(F.lit(1).cast("long"), last), lambda i: F.concat(i.cast("string"), F.lit("\tcount\tGC%"))))
+    head = contigs.agg(names.alias("value")).select(F.lit(-1).alias("tid"), "value")
+    return head.union(rows.select("tid", line.alias("value"))).orderBy("tid").select("value")
 
 
 def qc_lines(summary: DataFrame) -> DataFrame:
+    """File, reads, bases, mean, least and largest length, Q20 and Q30 with three digits."""
     whole = fixed_decimals(F.col("mean_length"), 0)
-    return _lines(summary, _tabs("file", "reads", "bases", whole, "min_length", "max_length", fixed_decimals(F.col("q20"), 2), fixed_decimals(F.col("q30"), 2)), ["file"])
+    return _lines(summary, _tabs("file", "reads", "bases", whole, "min_length", "max_length", fixed_decimals(F.col("q20"), 3), fixed_decimals(F.col("q30"), 3)), ["file"])
 
 
 def length_histogram_lines(histogram: DataFrame) -> DataFrame:
@@ -95,20 +104,62 @@ def quality_table_lines(table: DataFrame) -> DataFrame:
 # ---- binary files ------------------------------------------------------------------------
 
 
-def two_bit_file(reads: DataFrame, path: str, compat_order: bool = True) -> None:
-    """A 2-byte header (bases, bytes of a record), then packed records of equal lengths.
-
-    Records are in reverse order of arrival with ``compat_order``.  The rows come through
-    one at a time; lengths that differ or exceed 255 are an error."""
+def _parts(rows: DataFrame, folder: str, suffix: str, head: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(part, n, path): writes the binary column of sorted rows as a file for each partition, in
+    the rows' order, into a folder that all executors share.  A file is there whole or not at
+    all.  ``head`` makes a file's beginning from its first row; equal rows are needed then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        path = f"{folder}/part-{part:05d}{suffix}"
+        held, n = f"{path}.{uuid.uuid4().hex}.part", 0
+        f = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(0).to_pylist()
+            if f is None:
+                f = open_write(held)
+                f.write(head(values[0]) if head else b"")
+            f.write(b"".join(values))
+            n += len(values)
+        if f is not None:
+            f.close()
+            moved(held, path)
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "path": [path]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("path", pa.string())]))
+
+    return rows.mapInArrow(run, "part int, n long, path string")
+
+
+def _joined(parts: DataFrame, path: str, skip: int) -> None:
+    """The parts as one file, copied in pieces; of all but the first ``skip`` bytes are left out."""
+    with open_write(f"{path}.part") as out:
+        for i, row in enumerate(sorted(parts.collect(), key=lambda r: r["part"])):  # one row a partition
+            with open_raw(row["path"]) as f:
+                f.seek(skip if i else 0)
+                while data := f.read(1 << 20):
+                    out.write(data)
+    moved(f"{path}.part", path)
+
+
+def two_bit_parts(reads: DataFrame, folder: str, compat_order: bool = True) -> DataFrame:
+    """Files of a 2-byte header (bases, bytes of a record) and packed records of equal lengths, a
+    file for each partition; (part, n, path) of each.
+
+    Records are in reverse order of arrival with ``compat_order``, through all parts.
+    Lengths that differ or exceed 255 are an error."""
     lengths = [r[0] for r in reads.select(F.length("seq").alias("n")).distinct().limit(2).collect()]
     if len(lengths) > 1 or lengths and lengths[0] > 255:
         raise ValueError("reads of one length, at most 255, are needed")
     n = lengths[0] if lengths else 0
     rows = reads.orderBy(F.desc("ordinal") if compat_order else "ordinal").select(pack_2bit(F.col("seq")).alias("p"))
-    with open(path, "wb") as f:
-        f.write(struct.pack("BB", n, -(-n // 4)))
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            f.write(bytes(row["p"]))
+    return _parts(rows, folder, ".2bit", lambda _: struct.pack("BB", n, -(-n // 4)))
+
+
+def two_bit_file(reads: DataFrame, path: str, compat_order: bool = True) -> None:
+    """two_bit_parts as one file."""
+    parts = two_bit_parts(reads, f"{path}.parts", compat_order).cache()
+    _joined(parts, path, 2)
 
 
 def read_two_bit(data: bytes) -> list[str]:
@@ -117,24 +168,25 @@ def read_two_bit(data: bytes) -> list[str]:
     return [unpack(data[a : a + size], 0, n) for a in range(2, len(data), size)] if size else []
 
 
+def quality_code_parts(reads: DataFrame, folder: str) -> DataFrame:
+    """Files of a length byte and the code of each quality, in order of arrival, a file for each
+    partition; (part, n, path) of each.  Codes over 255 bytes are an error, as their length
+    has no place."""
+    code = encode_quality_rle(F.col("qual"))
+    rows = reads.select("ordinal", code.alias("c")).orderBy("ordinal")
+    size = F.octet_length("c")
+    length = F.when(size <= 255, F.unhex(F.lpad(F.hex(size), 2, "0"))).otherwise(F.raise_error(F.lit("a code of more than 255 bytes")).cast("binary"))
+    return _parts(rows.select(F.concat(length, F.col("c")).alias("c")), folder, ".rle")
+
+
 def quality_code_file(reads: DataFrame, path: str) -> None:
-    """A length byte and the code of each quality, in order of arrival; codes over 255 bytes
-    are an error, as their length has no place."""
-    rows = reads.orderBy("ordinal").select(encode_quality_rle(F.col("qual")).alias("c"))
-    with open(path, "wb") as f:
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            if len(row["c"]) > 255:
-                raise ValueError("a code of more than 255 bytes")
-            f.write(bytes([len(row["c"])]) + bytes(row["c"]))
+    """quality_code_parts as one file."""
+    _joined(quality_code_parts(reads, f"{path}.parts").cache(), path, 0)
 
 
 def bam_files(alignments: DataFrame, contigs: DataFrame, folder: str) -> DataFrame:
     """(chrom, n, path): writes <chrom>.bam for each contig into a folder that all executors
     share.  Contigs are written by separate tasks, each as a stream of sorted rows."""
-    import os
-
-    import pyarrow as pa
-
     from strandlake.sources.bam import encode_bam
 
     sizes = [(r["chrom"], r["length"]) for r in contigs.orderBy("tid").select("chrom", "length").collect()]
@@ -162,10 +214,11 @@ def bam_files(alignments: DataFrame, contigs: DataFrame, folder: str) -> DataFra
                 held = row
 
             path = f"{folder}/{chrom}.bam"
-            with open(f"{path}.part", "wb") as f:
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with open_write(part) as f:
                 for block in encode_bam(sizes, same()):
                     f.write(block)
-            os.replace(f"{path}.part", path)
+            moved(part, path)
             yield pa.RecordBatch.from_pylist([{"chrom": chrom, "n": n, "path": path}])
 
     return rows.mapInArrow(run, "chrom string, n long, path string")

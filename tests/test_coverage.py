@@ -73,8 +73,9 @@ def test_flags(spark):
 
 
 def test_quantile(spark):
-    rows = spark.createDataFrame([(i,) for i in range(20)], "x long")
-    assert C.depth_quantile(rows, "x", 0.95).first()[0] == 19
+    rows = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 7)] * 40 + [("b", 9)] * 2 + [("c", 3)], "chrom string, x long")
+    assert sorted(tuple(r) for r in C.depth_quantiles(rows, "x", 0.95).collect()) == [("a", 19), ("b", 7), ("c", 3)]
+    assert sorted(tuple(r) for r in C.depth_quantiles(rows, "x", 1.0).collect()) == [("a", 19), ("b", 9), ("c", 3)]
 
 
 def test_regions():

@@ -1,7 +1,7 @@
 import pytest
 from compare import assert_same
 
-from strandlake.plans import queries
+from strandlake.plans import output_queries, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -14,6 +14,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 
 def test_entry_has_all_queries(spark):
+    assert output_queries.lines_wig is queries.QUERIES["lines_wig"]
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,10 @@ def test_empty_reads(spark):
 
 
 def test_gc_density(spark):
-    out = qc.gc_density(qc.gc_histogram(frame(spark, *(("a", s, "F" * 4) for s in ("ACGT", "GGCC", "AATT")))))
-    assert abs(out["mean"] - 0.5) < 0.02 and out["density"].max() > 0
+    shares = [(b, int(10_000 * np.exp(-0.5 * (((b + 0.5) / 50 - 0.46) / 0.07) ** 2))) for b in range(50)]
+    out = qc.gc_density(spark.createDataFrame([(b, n) for b, n in shares if n], "bin long, n long"))
+    assert abs(out["mean"] - 0.46) < 1e-3 and abs(out["sd"] - 0.07) < 0.005 and abs(out["height"] * out["sd"] * np.sqrt(2 * np.pi) - 1) < 0.01
+    two = qc.gc_density(spark.createDataFrame([(15, 900), (16, 1000), (17, 900), (45, 60)], "bin long, n long"))
+    assert abs(two["mean"] - 0.33) < 0.02  # the fit follows the peak, the mean of all would not
+    assert qc.gc_density(spark.createDataFrame([], "bin long, n long"))["mean"] is None
     assert set(qc.qc_report(frame(spark, ("a", "AC", "FF")))) == {"gc_1", "quality_1", "bases_1", "lengths_1", "duplicates"}

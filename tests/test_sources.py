@@ -1,4 +1,5 @@
 import gzip
+import random
 from pathlib import Path
 
 import pytest
@@ -6,7 +7,7 @@ import pytest
 from strandlake.operators import coverage, qc
 from strandlake.operators import reads as R
 from strandlake.plans import commands
-from strandlake.sources import bam, fastx, sinks
+from strandlake.sources import bam, fastx, packed, sinks
 
 FASTQ = "@a 1\nACGT\n+\nFFFF\n@b 1\nAC\n+\n@F\n@c 1\n\n+\n\n"
 
@@ -83,7 +84,12 @@ def test_depth_outputs(spark, bam_file, tmp_path):
     assert text_of(tmp_path / "w.wig") == "variableStep chrom=c1 span=10\n0 1.50\n10 0.50\nvariableStep chrom=c2 span=10\n0 0.30\n"
     roll = {r.chrom: r.n for r in commands.bam_sliding_count(spark, bam_file, str(tmp_path / "s"), 10).collect()}
     assert roll == {"c1": 2, "c2": 1}
-    assert text_of(tmp_path / "s").startswith("c1\t2:")
+    cells = lambda *rows: "\t".join(f"{i}\t{n}\t{gc:.6f}" for i, (n, gc) in enumerate(rows, 1))
+    assert text_of(tmp_path / "s") == (
+        "#chr\tchr_len\tchr_sum_read_count\tchr_sum_base\tchr_mean_cov\tchr_mean_GC%" + "".join(f"\t{i}\tcount\tGC%" for i in range(1, 6)) + "\n"
+        + f"c1\t40\t2\t20\t0.500000\t40.000000\t{cells((2, 40), (0, 0), (0, 0), (0, 0), (0, 0))}\n"
+        + f"c2\t30\t1\t3\t0.100000\t100.000000\t{cells((1, 100), (0, 0), (0, 0), (0, 0))}\n"
+    )
 
 
 def test_split_by_contig(spark, bam_file, tmp_path):
@@ -102,7 +108,8 @@ def test_fastq_commands(spark, tmp_path):
     out = lambda n: str(tmp_path / n)
     commands.fastq_sort(spark, str(one), out("sorted"))
     assert text_of(out("sorted")).split("\n")[1::4] == ["ACGT", "ACGT", "TTTT"]
-    commands.fastq_collapse(spark, str(one), out("best"))
+    done = commands.fastq_collapse(spark, str(one), out("best"))
+    assert (done["reads"], done["distinct"], done["unique_percent"]) == (3, 2, 66.67) and done["seconds"] > 0
     assert text_of(out("best")) == "@2 1\t2\nACGT\n+\nFFFF\n@1 1\t1\nTTTT\n+\nFFFF\n"
     commands.fastq_collapse(spark, str(one), out("all"), keep="all")
     assert text_of(out("all")).startswith("@4 1\t2\nACGT\n+\nFFFF\nFFFF\n")
@@ -119,6 +126,8 @@ def test_fastq_commands(spark, tmp_path):
     commands.two_bit(spark, str(one), out("packed"))
     assert Path(out("packed")).read_bytes()[:2] == bytes([4, 1])
     assert sinks.read_two_bit(Path(out("packed")).read_bytes()) == ["ACGT", "ACGT", "TTTT"]
+    commands.two_bit_sequences(spark, out("packed"), out("seqs"))
+    assert text_of(out("seqs.decompress")) == "ACGT\nACGT\nTTTT\n"
     commands.quality_codes(spark, str(one), out("codes"))
     assert Path(out("codes")).read_bytes() == b"\x03\x20F\x03" * 3
     assert commands.qc_report(spark, str(one), str(two))["duplicates"].count() == 2
@@ -130,6 +139,78 @@ def test_line_tables(spark):
     m = spark.createDataFrame([(0, 50, 3)], "cycle int, quality int, n long")
     lines = [r.value for r in sinks.quality_table_lines(qc.quality_table(m, 2)).collect()]
     assert len(lines) == 128 and lines[50] == "3\t0"
-    w = spark.createDataFrame([("c", 0, 2), ("c", 1, 2)], "chrom string, window long, n long")
-    assert tuple(sinks.hits_plot_data(w).first()) == (2, 2)
+    w = spark.createDataFrame([("c", 0, 2), ("c", 1, 4), ("c", 2, 1), ("d", 0, 0)], "chrom string, window long, n long")
+    assert sorted(tuple(r) for r in coverage.hits_plot_data(w).collect()) == [("c", 0, 2, 4, 20), ("c", 1, 4, 4, 40), ("c", 2, 1, 4, 10), ("d", 0, 0, 0, 0)]
+    q = spark.createDataFrame([("f", 3, 12, 4.0, 2, 6, 200 / 3, 0.0005)], "file string, reads long, bases long, mean_length double, min_length long, max_length long, q20 double, q30 double")
+    assert sinks.qc_lines(q).first().value == "f\t3\t12\t4\t2\t6\t66.667\t0.001"
     assert R.parse_fraction(3.25, None) == (0.25, 3)
+
+
+def test_packed_parts_and_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(11)), "".join(rng.choice("#/7<BF") for _ in range(11))) for i in range(101)]
+    reads = spark.createDataFrame(rows, "ordinal long, seq string, qual string").repartition(3)
+    parts = sinks.two_bit_parts(reads, str(tmp_path / "p")).collect()
+    assert sum(r.n for r in parts) == 101
+    got = packed.read_two_bit(spark, str(tmp_path / "p"), chunk="7").orderBy("file", "ordinal").collect()
+    assert [r.seq for r in got] == [s for _, s, _ in reversed(rows)]
+    assert packed.read_two_bit(spark, str(tmp_path / "p"), chunk="7").rdd.getNumPartitions() > 14
+    sinks.quality_code_parts(reads, str(tmp_path / "q")).collect()
+    got = packed.read_quality_codes(spark, str(tmp_path / "q"), 11).orderBy("file", "ordinal").collect()
+    assert [r.qual for r in got] == [q for _, _, q in rows]
+    with pytest.raises(ValueError, match="one length"):
+        sinks.two_bit_parts(spark.createDataFrame([(0, "A"), (1, "AC")], "ordinal long, seq string"), str(tmp_path / "x"))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fasta_ranges(spark, tmp_path, end):
+    seqs = {"one": "ACGTACGTAACCGGTTA", "two": "", "three": "GATTACA" * 9}
+    path = tmp_path / "g.fa"
+    path.write_bytes("".join(f">{n} of test{end}" + "".join(s[i : i + 5] + end for i in range(0, len(s), 5)) for n, s in seqs.items()).encode())
+    asked = [(n, a, b) for n in (*seqs, "none") for a in (0, 3, 5, 16, 70) for b in (4, 5, 17, 100) if a < b]
+    for _ in range(2):  # without and with the written index
+        got = packed.fasta_ranges(spark, str(path), spark.createDataFrame(asked, "name string, begin int, end int")).collect()
+        assert {(r.name, r.begin, r.end): r.seq for r in got} == {(n, a, b): seqs[n][a:b] if n in seqs else None for n, a, b in asked}
+    assert (tmp_path / "g.fa.fai").read_text().splitlines()[0].split("\t")[:2] == ["one", "17"]
+    assert commands.fasta_part(spark, str(path), "three", 2, 9).first().seq == "TTACAGA"
+    (tmp_path / "bad.fa").write_text(">x\nAC\nACG\n")
+    with pytest.raises(ValueError, match="equally long"):
+        packed.index_fasta(str(tmp_path / "bad.fa"))
+
+
+def test_indexed_bam(spark, tmp_path):
+    rng = random.Random(8)
+    contigs = [("c1", 200_000), ("c2", 90_000), ("c3", 50)]
+    rows = []
+    for tid, (name, length) in enumerate(contigs[:2]):
+        for i, pos in enumerate(sorted(rng.randrange(length - 5000) for _ in range(1500))):
+            cigar = [{"op": 4, "len": 2}, {"op": 0, "len": 20}, {"op": 3, "len": rng.choice([5, 4000])}, {"op": 0, "len": 9}]
+            seq = "".join(rng.choice("ACGTN") for _ in range(31))
+            rows.append({"qname": f"{name}-{i}", "flag": 16 * (i % 2), "tid": tid, "chrom": name, "pos": pos, "mapq": i % 60, "cigar": cigar, "seq": seq, "qual": None if i % 7 == 0 else "F" * 31})
+    rows += [{"qname": f"u{i}", "flag": 4, "tid": None, "chrom": None, "pos": -1, "mapq": 0, "cigar": [], "seq": "ACG"[:i], "qual": None} for i in range(4)]
+    path = tmp_path / "big.bam"
+    path.write_bytes(b"".join(bam.encode_bam(contigs, rows)))
+    whole = bam.read_bam(spark, str(path)).orderBy("ordinal").collect()
+    assert [(r.qname, r.pos, r.seq, r.qual, r.mapq) for r in whole] == [(r["qname"], r["pos"], r["seq"], r["qual"], r["mapq"]) for r in rows]
+    assert bam.index_bam(spark, str(path)).first().bytes > 100
+    assert [p.file for p in bam.BamReader({"path": str(tmp_path)}).partitions()] == [str(path)]
+    parts = bam.BamReader({"path": str(path), "chunk": "1"}).partitions()
+    assert len(parts) > 3
+    cut = bam.read_bam(spark, str(path), chunk="1").collect()
+    strip = lambda rs: sorted(tuple(r)[2:] for r in rs)
+    assert list(map(str, strip(cut))) == list(map(str, strip(whole))) and len({r.ordinal for r in cut}) == len(rows)
+    assert [r.qname for r in sorted(cut, key=lambda r: r.ordinal)] == [r["qname"] for r in rows]
+    for region in ("c1", "c2:1-20", "c1:50,001-60,000", "c2:88,000", "c3", "none", "c1:199,000-200,000"):
+        name, a, b = coverage.parse_region(region)
+        want = [r["qname"] for r in rows if r["chrom"] == name and r["pos"] + sum(c["len"] for c in r["cigar"] if c["op"] in (0, 3)) > a and (b is None or r["pos"] < b)]
+        assert sorted(r.qname for r in bam.read_bam(spark, str(path), region=region, chunk="1").collect()) == sorted(want), region
+        reads = bam.indexed_parts(str(path), (name, a, b), 1 << 30)
+        assert len(reads) == (1 if want else len(reads)) and all(p.end is not None for p in reads)
+    one = bam.PushingReader({"path": str(path)})
+    assert list(one.pushFilters([bam.EqualTo(("chrom",), "c2")])) and one.region == "c2"
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert bam.read_bam(spark, str(path), chunk="1").where("chrom = 'c2' and pos < 100").count() == sum(r["chrom"] == "c2" and r["pos"] < 100 for r in rows)
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    path.write_bytes(path.read_bytes()[:-500])
+    with pytest.raises(Exception, match=r"cut off|no block|damaged|incomplete|ended"):
+        bam.read_bam(spark, str(path), chunk="1").collect()
