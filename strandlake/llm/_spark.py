@@ -12,25 +12,45 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary one in local mode,
+    as in tests; on a cluster it is an error, since executors could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
-        set_to = context.getCheckpointDir()
-        if set_to is None:
+        folder = context.getCheckpointDir()
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
-            set_to = context.getCheckpointDir()
-        folder = set_to
+            folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def _on_files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage is cut, and a lost
-    executor costs no more than the tasks it ran."""
+    executor costs no more than the tasks it ran.  The files go when the application ends,
+    or by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    files, place = _on_files(spark, path)
+    files.deleteOnExit(place)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Deletes the files of stashed frames that nothing reads any more."""
+    for df in stashed:
+        files, place = _on_files(df.sparkSession, df.stash_path)
+        files.delete(place, True)
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -74,7 +94,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     all_nodes = edges.select(F.col(u).alias("node")).union(edges.select(F.col(v).alias("node"))).distinct()
     current = stash(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
     if forest and (n := current.count()):
-        current = stash(current.coalesce(-(-n // FOREST)).mapInArrow(spanning, "a long, b long"))
+        last, current = current, stash(current.coalesce(-(-n // FOREST)).mapInArrow(spanning, "a long, b long"))
+        discard(last)
     mark = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -82,7 +103,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        current = stash(small.where("a != b").distinct())
+        last, current = current, stash(small.where("a != b").distinct())
+        discard(last)
         now = current.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
         if tuple(now) == mark:
             break

@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm._spark import connected_components, spanning, stash
 from strandlake.llm._text import mix, scan, segment_sums, shingle_sets, slices
@@ -435,11 +436,19 @@ class Joined:
     """classes: (doc_id, n_shingles, class_id, key), a row per document; class_id is the smallest
     doc_id of equal sets, or null for a document without words or with a null id.
     linked: (a, root, degree, links) of the classes with links, as _verified gives them, by key.
-    keys: (key, class_id) of the classes, or None where all keys are class_ids."""
+    kinds: (n_shingles, f1, f2, class_id, key) of the classes, with their sets' fingerprints.
+    again: (doc_id, twin) of ids of several rows, twin where their sets differ.
+    several: whether a class's key may differ from its class_id."""
 
     classes: DataFrame
     linked: DataFrame
-    keys: DataFrame | None = None
+    kinds: DataFrame
+    again: DataFrame
+    several: bool = False
+
+    @property
+    def keys(self) -> DataFrame | None:
+        return self.kinds.select("key", "class_id") if self.several else None
 
     @property
     def links(self) -> DataFrame:
@@ -466,6 +475,45 @@ class Joined:
         )
 
 
+    def representatives(self) -> DataFrame:
+        """(doc_id, n_shingles, f1, f2): of each group of linked classes the one with the
+        smallest doc_id, and of several of that id the one with the smallest fingerprint."""
+        parts = connected_components(self.linked.select("a", "root"), "a", "root", forest=True).select(F.col("node").alias("key"), "component")
+        grouped = self.kinds.join(parts, "key", "left").groupBy(F.coalesce("component", "key").alias("group"))
+        return grouped.agg(F.min(F.struct(F.col("class_id").alias("doc_id"), "n_shingles", "f1", "f2")).alias("r")).select("r.*")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group of linked texts, that with the smallest
+    doc_id.  Rows repeated under one doc_id are told apart by their sets of n-grams: of equal
+    sets one row stays, different ones are judged each.  Of rows without words one for each
+    doc_id stays; rows with a null doc_id all stay."""
+    joined = jaccard_join(docs, k, similarity)
+    best = stash(joined.representatives())
+    named = docs.where("doc_id is not null")
+    none = joined.classes.where("n_shingles = 0 and doc_id is not null").select("doc_id")
+    kept = named.join(best.select("doc_id").union(none), "doc_id", "left_semi")
+    if not joined.again.isEmpty():
+        same = [F.col(f"r.{a}") == F.col(f"b.{b}") for a, b in (("doc_id", "doc_id"), ("_n", "n_shingles"), ("_f1", "f1"), ("_f2", "f2"))]
+        rows = _with_prints(named.join(joined.again, "doc_id", "left_semi").select(docs.columns), k)
+        of_group = rows.alias("r").join(best.alias("b"), same, "left_semi").union(rows.where("_n = 0"))
+        kept = kept.join(joined.again, "doc_id", "left_anti").select(docs.columns).union(of_group.dropDuplicates(["doc_id", "_n", "_f1", "_f2"]).select(docs.columns))
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def _with_prints(docs: DataFrame, k: int) -> DataFrame:
+    """docs with _n, _f1 and _f2, the sizes and fingerprints of their sets."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_n", "_f1", "_f2"))])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, sizes, _, _, prints = _sets(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"]), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], [*batch.schema.names, "_n", "_f1", "_f2"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8, 10)) -> Joined:
     """Links documents (doc_id, text) whose sets of k-word n-grams are similar enough.
 
@@ -478,8 +526,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8,
     seen = stash(fingerprints(docs, k))
     known = seen.where("doc_id is not null and n_shingles > 0")
     kinds = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    sets = known.groupBy("doc_id").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("n_shingles", "f1", "f2") for f in (F.min, F.max)))
-    twins = stash(sets.where("n_shingles_min <> n_shingles_max or f1_min <> f1_max or f2_min <> f2_max").select("doc_id", F.lit(True).alias("twin")))
+    prints = ("n_shingles", "f1", "f2")
+    sets = seen.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{c}_{f.__name__}") for c in prints for f in (F.min, F.max)))
+    differ = " or ".join(f"{c}_min <> {c}_max" for c in prints)
+    again = stash(sets.where("rows > 1").select("doc_id", F.expr(differ).alias("twin")))
+    twins = again.where("twin")
     several = not twins.isEmpty()
     key = F.col("class_id")
     if several:
@@ -498,4 +549,4 @@ def jaccard_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (8,
     profiles = _by_bucket(shared, min(parts, buckets), lambda b: _profiles(b, limit), "doc_id long, n int, head int, lone int, cold int, grams binary")
     profiles = stash(profiles.join(kinds.select(F.col("key").alias("doc_id")), "doc_id", "left_semi"))
     pairs = stash(_candidates(stash(_entries(profiles)), limit, parts))
-    return Joined(classes, stash(_verified(pairs, profiles, limit, parts)), kinds.select("key", "class_id") if several else None)
+    return Joined(classes, stash(_verified(pairs, profiles, limit, parts)), kinds, again, several)

@@ -102,3 +102,19 @@ def test_different_texts_of_one_id(docs):
     assert sorted((r.a, r.b, r.shared, r.size_a, r.size_b) for r in joined.links.collect()) == [(3, 5, 28, 29, 28), (3, 9, 28, 29, 29), (5, 7, 28, 28, 29), (5, 9, 28, 28, 29)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in joined.components().collect())
     assert got == [(3, 29, 3, 2), (5, 28, 3, 2), (5, 28, 5, 1), (5, 28, 5, 1), (7, 29, 5, 1), (9, 29, 3, 2), (11, 1, 11, 0)]
+
+
+def test_one_row_of_each_group_stays(docs):
+    one, two, far = ("".join(f"{c}{i} " for i in range(30)) for c in "xyz")
+    rows = [(5, one), (5, two), (7, one + "more"), (3, two + "more"), (9, "z " + two), (5, one), (11, "alone"), (6, one + "b"), (6, one + "c"), (8, ""), (8, far), (8, None), (2, None), (2, ""), (None, one), (None, far), (12, far)]
+    for parts in (1, 4):
+        got = jaccard.deduplicated(docs(*rows).repartition(parts), 3, (8, 10))
+        kept = sorted((str(r.doc_id), (r.text or "").strip()) for r in got.collect())
+        assert got.columns == docs("a").columns
+        assert kept == sorted([("5", one.strip()), ("3", two + "more"), ("11", "alone"), ("8", ""), ("8", far.strip()), ("2", ""), ("None", one.strip()), ("None", far.strip())])
+
+
+def test_twins_that_link_with_each_other(docs):
+    one = "".join(f"x{i} " for i in range(40))
+    rows = [(4, one + "a"), (4, one + "b"), (9, one)]
+    assert len(jaccard.deduplicated(docs(*rows), 3, (8, 10)).collect()) == 1

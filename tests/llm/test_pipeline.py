@@ -40,5 +40,12 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir, docs, stage):
     assert run(spark, frame.limit(0), sf_dir).count() == 0
 
 
+def test_null_ids_and_different_texts_of_one_id_stay(spark, sf_dir, docs):
+    text = " ".join(f"word{i}" for i in range(30))
+    frame = docs((None, text), (5, text), (5, "quite another text of the same id"), (6, text + " near"))
+    rows = sorted((str(r.doc_id), r.text) for r in P.near_duplicate_stage(spark, frame, sf_dir).collect())
+    assert rows == [("5", "quite another text of the same id"), ("5", text), ("None", text)]
+
+
 def test_packing_has_no_labels(spark):
     assert tokenizer_path().endswith(".json") and P.ORACLE_SQL is None
