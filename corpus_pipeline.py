@@ -27,12 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word n-grams at 0.8 or more.
-
-    Of rows repeated under one doc_id one stays; rows with a null doc_id all stay."""
-    kept = jaccard.jaccard_join(docs, k=5, similarity=(8, 10)).components().where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """Keeps the row of the smallest doc_id of each group linked by five-word n-grams at 0.8 or
+    more.  Different texts of one doc_id are judged each; rows with a null doc_id all stay."""
+    return jaccard.deduplicated(docs, k=5, similarity=(8, 10))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

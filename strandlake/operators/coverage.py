@@ -46,9 +46,20 @@ def _with_next(rows: DataFrame) -> DataFrame:
 
 
 def segments(blocks: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """(chrom, start, end, depth): maximal half-open runs of equal depth above zero."""
-    run = _with_next(_with_depth(depth_events(blocks), bin_size))
-    return run.where("depth > 0").select("chrom", F.col("pos").alias("start"), F.col("next").alias("end"), "depth")
+    """(chrom, start, end, depth): maximal half-open runs of equal depth above zero.
+
+    Events are dealt to bins of a contig once; there the running sum and the next position are
+    taken, and what a bin needs of the others, the depth carried into it and the first
+    position after it, comes from one row a bin."""
+    events = depth_events(blocks).withColumn("bin", F.floor(F.col("pos") / bin_size))
+    bins = Window.partitionBy("chrom").orderBy("bin")
+    per = events.groupBy("chrom", "bin").agg(F.sum("delta").alias("total"), F.min("pos").alias("first"))
+    carried = F.coalesce(F.sum("total").over(bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("chrom", "bin", carried.alias("carried"), F.lead("first").over(bins).alias("beyond"))
+    inside = Window.partitionBy("chrom", "bin").orderBy("pos")
+    depth, after = F.col("carried") + F.sum("delta").over(inside), F.coalesce(F.lead("pos").over(inside), F.col("beyond"))
+    run = events.join(per, ["chrom", "bin"]).select("chrom", F.col("pos").alias("start"), after.alias("end"), depth.alias("depth"))
+    return run.where("depth > 0")
 
 
 def window_count(contigs: DataFrame, width: int) -> DataFrame:

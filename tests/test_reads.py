@@ -109,3 +109,11 @@ def test_gc_density(spark):
     assert abs(two["mean"] - 0.33) < 0.02  # the fit follows the peak, the mean of all would not
     assert qc.gc_density(spark.createDataFrame([], "bin long, n long"))["mean"] is None
     assert set(qc.qc_report(frame(spark, ("a", "AC", "FF")))) == {"gc_1", "quality_1", "bases_1", "lengths_1", "duplicates"}
+
+
+def test_ranks_leave_other_columns(spark):
+    from strandlake.plans.tables import with_global_rank
+
+    rows = spark.createDataFrame([(3, "a", 1, 2, 3), (1, "b", 4, 5, 6)], "x int, rank string, _part int, _k0 int, _0k0 int")
+    got = with_global_rank(rows, ["x"]).orderBy("rank").collect()
+    assert [(r["x"], r["rank"], r["_part"], r["_k0"], r["_0k0"]) for r in got] == [(1, 1, 4, 5, 6), (3, 2, 1, 2, 3)]
