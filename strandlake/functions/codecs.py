@@ -101,20 +101,75 @@ def _each(f, kind: str):
     return run
 
 
+def _flat(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts end to end, offsets); a null one is empty."""
+    raw = [t.encode("latin-1", "replace") if t is not None else b"" for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+
+
+def _filled(texts: pd.Series, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all texts, each filled up to whole groups of ``per``, offsets of groups)."""
+    flat, at = _flat(texts)
+    groups = np.concatenate([[0], np.cumsum(-(-np.diff(at) // per))])
+    codes = np.zeros(groups[-1] * per, np.uint8)
+    codes[np.arange(len(flat)) + np.repeat(groups[:-1] * per - at[:-1], np.diff(at))] = _CODE[flat]
+    return codes.reshape(-1, per), groups
+
+
+def _cut(data: bytes, at: np.ndarray, texts: pd.Series) -> list[bytes | None]:
+    return [data[i:j] if t is not None else None for i, j, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)]
+
+
 def pack_2bit(seq: Column) -> Column:
-    return _each(pack, "binary")(seq)
+    @F.pandas_udf("binary")
+    def run(seq: pd.Series) -> pd.Series:
+        c, at = _filled(seq, 4)
+        return pd.Series(_cut((c[:, 0] << 6 | c[:, 1] << 4 | c[:, 2] << 2 | c[:, 3]).astype(np.uint8).tobytes(), at, seq), dtype=object)
+
+    return run(seq)
+
+
+def _opened(data: np.ndarray, at: np.ndarray, shifts: tuple[int, ...], start: pd.Series, end: pd.Series) -> list[str]:
+    """Bases [start, end) of each row of packed bytes, all rows in one pass."""
+    per = len(shifts)
+    letters = _LETTERS[np.column_stack([data >> s & 3 for s in shifts]).ravel()]
+    have = np.diff(at) * per
+    begin = np.clip(start.to_numpy(np.int64), 0, have)
+    size = np.clip(end.to_numpy(np.int64), begin, have) - begin
+    to = np.concatenate([[0], np.cumsum(size)])
+    text = letters[np.arange(to[-1]) + np.repeat(at[:-1] * per + begin - to[:-1], size)].tobytes().decode()
+    return [text[i:j] for i, j in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+
+
+def _unpacked(packed: Column, start: Column, end: Column, shifts: tuple[int, ...], less: int) -> Column:
+    @F.pandas_udf("string")
+    def run(packed: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        there = packed.notna() & start.notna() & end.notna()
+        mine = [x.encode() if isinstance(x, str) else bytes(x) for x in packed[there]]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, mine), np.int64, len(mine)))])
+        out = pd.Series([None] * len(packed), dtype=object)
+        out[there.to_numpy()] = _opened(np.frombuffer(b"".join(mine), np.uint8) - np.uint8(less), at, shifts, start[there], end[there])
+        return out
+
+    return run(packed, start, end)
 
 
 def unpack_2bit(packed: Column, start: Column, end: Column) -> Column:
-    return _each(lambda p, a, b: unpack(p, int(a), int(b)), "string")(packed, start, end)
+    return _unpacked(packed, start, end, (6, 4, 2, 0), 0)
 
 
 def pack_3(seq: Column) -> Column:
-    return _each(pack3, "string")(seq)
+    @F.pandas_udf("string")
+    def run(seq: pd.Series) -> pd.Series:
+        c, at = _filled(seq, 3)
+        made = _cut((33 + (c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2])).astype(np.uint8).tobytes(), at, seq)
+        return pd.Series([None if x is None else x.decode() for x in made], dtype=object)
+
+    return run(seq)
 
 
 def unpack_3(packed: Column, start: Column, end: Column) -> Column:
-    return _each(lambda p, a, b: unpack3(p, int(a), int(b)), "string")(packed, start, end)
+    return _unpacked(packed, start, end, (4, 2, 0), 33)
 
 
 def encode_quality_rle(qual: Column) -> Column:

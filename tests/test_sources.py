@@ -37,6 +37,24 @@ def test_split_files_lose_and_repeat_nothing(spark, tmp_path):
         assert [r.name for r in got] == [f"@r{i}" for i in range(200)]
 
 
+@pytest.mark.parametrize("read", [1, 7, 64, 1 << 20])
+def test_fastq_in_small_reads(tmp_path, monkeypatch, read):
+    monkeypatch.setattr(fastx, "READ", read)
+    rows = lambda name: [tuple(r.values())[1:] for b in fastx.fastq_batches(fastx.Range(str(tmp_path / name))) for r in b.to_pylist()]
+    expected = [(0, "@a 1", None, "ACGT", "FFFF"), (1, "@b 1", None, "AC", "@F"), (2, "@c 1", None, "", "")]
+    for name, text in (("a", FASTQ), ("b", FASTQ.replace("\n", "\r\n")), ("c", FASTQ + "\n\n"), ("d", FASTQ[:-1]), ("f", FASTQ + "\r\n\n\n\n\n")):
+        (tmp_path / name).write_bytes(text.encode())
+        assert rows(name) == expected, name
+    (tmp_path / "u").write_bytes("@é\nAC\n+\nFF\n@\xff\nA\n+\nF\n".encode("utf-8"))
+    assert [r[1] for r in rows("u")] == ["@é", "@\xff"]
+    (tmp_path / "empty").write_bytes(b"")
+    assert rows("empty") == []
+    for name, text, said in (("x", "@a\nAC\n+\n", "cut off"), ("y", "@a\nAC\n+\nFF\nb\nA\n+\nF\n", "record 1 of .* not FASTQ"), ("z", "@a\nACG\n+\nFF\n", "different lengths"), ("w", "@a\nA\n+\nF\n\n@b\nA\n+\nF\n", "not FASTQ|cut off")):
+        (tmp_path / name).write_bytes(text.encode())
+        with pytest.raises(ValueError, match=said):
+            rows(name)
+
+
 def test_mixed_records(spark, tmp_path):
     (tmp_path / "m").write_text(">1\nacgtacgtacgtagc\n>2 test\nacgatcgatc\n@3 test2\ncgctagcatagc\ncgatatgactta\n+\n78wo82usd980\n\nd88fau238ud8\n")
     got = fastx.read_fastx(spark, str(tmp_path / "m"), layout="fastx").orderBy("ordinal").collect()
