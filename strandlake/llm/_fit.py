@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm._spark import crc_mod
+from strandlake.llm._spark import crc_mod, dealt
 from strandlake.llm._text import slices
 
 #: Rows held out have this remainder of crc32(doc_id as text) by FOLDS.
@@ -33,7 +33,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     chosen = chosen.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return dealt(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
 
 
 def vectors_of(rows: DataFrame, vectors: Callable[[pa.Array], list[bytes]]) -> DataFrame:
@@ -69,4 +69,4 @@ def add_scores(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: s
             out = pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in keep), pa.array(scores)], [*keep, name])
             yield out if passing is None else out.filter(pa.array(scores >= passing))
 
-    return source.mapInArrow(run, schema)
+    return dealt(source).mapInArrow(run, schema)

@@ -53,6 +53,16 @@ def discard(*stashed: DataFrame) -> None:
         files.delete(place, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan that comes in fewer partitions than there are cores, a few small files, dealt to all
+    cores; a large table comes in more and stays as it is, as does what was shuffled."""
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id's decimal text modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm._spark import connected_components, spanning, stash
+from strandlake.llm._spark import connected_components, dealt, spanning, stash
 from strandlake.llm._text import mix, scan, segment_sums, shingle_sets, slices
 
 #: n-grams that a bucket of the counting step holds on average.
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
             _, sizes, _, _, prints = _sets(batch, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             rows = [(b, _pack(doc, sizes, row[i:j], tok[i:j], weight[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
             yield from _binary(rows, BLOCKS)
 
-    return docs.where("doc_id is not null").select("doc_id", "text", *twins).mapInArrow(run, "bucket int, block binary")
+    return dealt(docs.where("doc_id is not null").select("doc_id", "text", *twins)).mapInArrow(run, "bucket int, block binary")
 
 
 def _by_bucket(blocks: DataFrame, parts: int, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import _attention
-from strandlake.llm._spark import crc_mod, stash
+from strandlake.llm._spark import crc_mod, dealt, stash
 from strandlake.llm._subword import subwords
 from strandlake.llm._text import Words, column_bytes, mix, scan, segment_sums, slices
 from strandlake.llm.jaccard import BLOCKS, _binary, _bucket, _by_bucket
@@ -111,7 +111,7 @@ def _word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if len(words) or ends:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, "bucket int, block binary")
 
 
 COUNTS = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("whole", pa.int64())])
@@ -179,7 +179,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, hot: np.ndarray, hot_n: np.nd
             windows = np.where(trains, -(-np.diff(bounds) // _attention.WINDOW), 0)
             yield pa.RecordBatch.from_arrays([_binaries(parts.view(np.uint8), np.arange(n + 1) * PART.itemsize), pa.array(windows), _binaries(seq.view(np.uint8), 2 * bounds), pa.array((parts["k1"] >> U64(1)).astype(np.int64))], ["part", "windows", "ids", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part binary, windows long, ids binary, key long")
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, "part binary, windows long, ids binary, key long")
 
 
 def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -205,7 +205,7 @@ def _cold(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     rows.append((b, b"".join([np.array([len(used), j - i], np.int64).tobytes(), own.tobytes(), _planes(h[i:j]), at_used.astype(wide).tobytes()])))
             yield from _binary(rows, BLOCKS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block binary")
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, "bucket int, block binary")
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

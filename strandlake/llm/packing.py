@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from strandlake.llm._spark import dealt
 from strandlake.llm._subword import subwords
 from strandlake.llm._text import scan, slices
 
@@ -124,4 +125,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, tail: int =
         if bins.out:
             yield rows(bins.out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA)

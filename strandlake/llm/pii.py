@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm._spark import stash
+from strandlake.llm._spark import dealt, stash
 from strandlake.llm._text import column_bytes, slices
 
 # Given names by gender and script.
@@ -408,7 +408,7 @@ def replace_private(docs: DataFrame, key: bytes, keep: list[str] | None = None,
                 out[spans] = pa.array([[dict(zip(("kind", "start", "length", "original", "surrogate"), x, strict=True)) for x in changed[i][1]] if i in changed else empty for i in range(len(column))], _SPAN)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return source.mapInArrow(run, schema)
+    return dealt(source).mapInArrow(run, schema)
 
 
 def _may_name(text: str) -> bool:
