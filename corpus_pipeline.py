@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, jaccard, packing, pii, quality
-from strandlake.llm._spark import shared_folder
+from strandlake.llm._spark import shared_folder, stash
 from strandlake.llm.queries import EXAMPLE_KEY, QUALITY_PASSING, table, tokenizer_path
 
 #: Share of benchmark words from which a document goes; any shared window of this many words counts.
@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a window of SPAN words with a benchmark item."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), span=SPAN)
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
+    hit = stash(found.where("n_hit > 0").select("doc_id").distinct())  # written, so that its size decides about the join
     return docs.where("doc_id is not null").join(hit, "doc_id", "left_anti").select(docs.columns).union(docs.where("doc_id is null"))
 
 
