@@ -169,3 +169,14 @@ def code_count(packed: Column, code: int) -> Column:
     high, low = F.shiftrightunsigned(packed, 1), packed
     same = (high if code & 2 else F.bitwise_not(high)).bitwiseAND(low if code & 1 else F.bitwise_not(low))
     return F.bit_count(same.bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def place_code(place: Column) -> Column:
+    """A place below 2**28 as four bytes from 1 to 128, seven bits each, the lowest first."""
+    byte = lambda i: F.lpad(F.hex(F.shiftright(place, 7 * i).bitwiseAND(F.lit(127)) + 1), 2, "0")
+    return F.unhex(F.concat(*(byte(i) for i in range(4))))
+
+
+def place_of_code(code: Column) -> Column:
+    part = lambda i: F.shiftleft(F.conv(F.hex(F.substring(code, i + 1, 1)), 16, 10).cast("long") - 1, 7 * i)
+    return part(0) + part(1) + part(2) + part(3)

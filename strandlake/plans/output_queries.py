@@ -20,6 +20,7 @@ from strandlake.plans import queries as Q
 from strandlake.plans.queries import alignments, query, reads
 from strandlake.plans.tables import shared_folder
 from strandlake.sources import bam, derive, fastx, packed, sinks
+from strandlake.streaming import reads as streams
 
 T = "chr(9)"
 N = "chr(10)"
@@ -295,6 +296,15 @@ def expr_base_counts(spark, d):
     return reads(spark, d).select("ordinal", *(E.code_count(word, i).cast("long").alias(x) for i, x in enumerate("tcag")))
 
 
+@query("""
+select ordinal, upper(printf('%02x%02x%02x%02x', (p & 127) + 1, ((p >> 7) & 127) + 1, ((p >> 14) & 127) + 1, ((p >> 21) & 127) + 1)) as code, p as place
+from (select ordinal, cast(ordinal * 7919 % 268435456 as bigint) as p from r)
+""")
+def expr_place_codes(spark, d):
+    place = (F.col("ordinal") * 7919 % (1 << 28)).cast("long")
+    return reads(spark, d).select("ordinal", E.place_code(place).alias("c")).select("ordinal", F.hex("c").alias("code"), E.place_of_code(F.col("c")).alias("place"))
+
+
 @query("""
 select ordinal, trim(name, '@R') as trimmed, lower(name) as low, upper(name) as up, substr(name, 2, 4) as part, name < 'Z' as below, translate(name, '0123', 'abcd') as mapped, array_to_string(string_split(name, ':'), '/') as joined,
        name || '-' || seq as both, printf('%05d|%8.3f|%-6s|%x', cast(ordinal as bigint), ordinal / 7.0, substr(seq, 1, 4), cast(ordinal as bigint)) as formatted, string_split(name, ' ')[1] as token
@@ -432,3 +442,38 @@ def graph_lines(spark, d):
 def graph_without_arcs(spark, d):
     arcs = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
     return DOC.without_arcs(arcs, arcs.where("dst % 2 = 0"))
+
+
+# ---- streams -----------------------------------------------------------------------------
+
+
+def _streamed(spark, d, frame, mode: str):
+    name = f"stream_{uuid.uuid4().hex}"
+    streams.run_once(frame, name, mode, _folder(spark, "stream"))
+    return spark.table(name)
+
+
+def _read_stream(spark, d):
+    path = _folder(spark, "reads")
+    batch = reads(spark, d)
+    batch.repartition(3).write.parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"select file, {Q._SUMMARY} from r group by file")
+def stream_summary(spark, d):
+    return _streamed(spark, d, streams.running_summary(_read_stream(spark, d)), "complete")
+
+
+@query(f"select ordinal, substr(seq, 3, 7) as seq, substr(qual, 3, 7) as qual from r where regexp_full_match(seq, '[ATCGN]+') and (({Q._X31.format('name')}) & 16777215) / 16777216.0 < 0.5")
+def stream_trimmed_sample(spark, d):
+    return _streamed(spark, d, streams.trimmed_sample(_read_stream(spark, d), 2, 9, 0.5), "append").select("ordinal", "seq", "qual")
+
+
+@query("select distinct user_id from events")
+def stream_first_seen(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "user_id")
+    path = _folder(spark, "events")
+    events.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _streamed(spark, d, streams.first_seen(stream, delay="3650 days", key="user_id"), "append").select("user_id")

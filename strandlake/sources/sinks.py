@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,12 @@ from strandlake.sources.files import moved, open_raw, open_write
 
 
 def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
-    """Writes the column ``value`` as text; ``compression`` may be gzip."""
+    """Writes the column ``value`` as text; ``compression`` may be gzip.  A path of - is the
+    standard output, to which rows come a partition at a time."""
+    if path == "-":
+        for row in lines.select("value").toLocalIterator():
+            sys.stdout.write(f"{row['value']}\n")
+        return
     lines.select("value").write.options(**({"compression": compression} if compression else {})).text(path)
 
 

@@ -1,5 +1,8 @@
 import gzip
 import random
+import re
+import threading
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
 import pytest
@@ -55,6 +58,47 @@ def test_fastq_in_small_reads(tmp_path, monkeypatch, read):
             rows(name)
 
 
+def test_files_behind_http(spark, tmp_path, bam_file):
+    """Read whole and, from a server that gives them, by ranges."""
+    (tmp_path / "r.fq.gz").write_bytes(gzip.compress(FASTQ.encode()))
+
+    class Ranges(SimpleHTTPRequestHandler):
+        def __init__(self, *args):
+            super().__init__(*args, directory=str(tmp_path))
+
+        def log_message(self, *args):
+            pass
+
+        def do_GET(self):
+            asked = re.match(r"bytes=(\d+)-(\d+)", self.headers.get("Range", ""))
+            if not asked or self.path.endswith(".gz"):
+                return super().do_GET()
+            data = Path(str(tmp_path) + self.path).read_bytes()
+            a, b = (int(x) for x in asked.groups())
+            part = data[a : b + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{a + len(part) - 1}/{len(data)}")
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert [r.name for r in fastx.read_fastx(spark, f"{at}/r.fq.gz").orderBy("ordinal").collect()] == ["@a 1", "@b 1", "@c 1"]
+        bam.index_bam(spark, bam_file).collect()
+        assert [r.qname for r in bam.read_bam(spark, f"{at}/a.bam", region="c1:12-20").collect()] == ["y"]
+        assert bam.read_bam(spark, f"{at}/a.bam").count() == 4
+    finally:
+        server.shutdown()
+
+
+def test_standard_output(spark, capsys):
+    sinks.write_lines(spark.createDataFrame([("a",), ("b",)], "value string").orderBy("value"), "-")
+    assert capsys.readouterr().out == "a\nb\n"
+
+
 def test_mixed_records(spark, tmp_path):
     (tmp_path / "m").write_text(">1\nacgtacgtacgtagc\n>2 test\nacgatcgatc\n@3 test2\ncgctagcatagc\ncgatatgactta\n+\n78wo82usd980\n\nd88fau238ud8\n")
     got = fastx.read_fastx(spark, str(tmp_path / "m"), layout="fastx").orderBy("ordinal").collect()
