@@ -8,8 +8,8 @@ each.  The join runs in these steps:
    class goes on, as the class's key.  Where that doc_id has several different sets, the key
    is the first half of the fingerprint instead.
 2. Frequencies are counted up to CAP over packed blocks: each task sends, per bucket of
-   hashes, one block of its documents' n-grams.  Of an n-gram that reaches CAP within a
-   task's block one place goes to its bucket, with that weight; the others, whose
+   hashes, one block of its documents' n-grams.  Of an n-gram that has reached CAP within a
+   task one place a block goes to its bucket, with that weight; the others, whose
    frequency is then known, are dealt over all buckets.  n-grams of a single document
    cannot match; they only count in the lengths.
 3. Documents whose prefix holds a shared n-gram are joined on it.  Pairs that fail the
@@ -41,6 +41,8 @@ BUCKET = 1_500_000
 BLOCK = 1024
 #: 64-bit words of a signature; frequencies count up to CAP; beginnings of prefixes compared.
 SIGNATURE, CAP, HEAD = 8, 32, 8
+#: Bits of the cells in which a task counts n-grams roughly.
+SKETCH = 22
 U64 = np.uint64
 
 
@@ -120,47 +122,53 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 BLOCKS = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's n-grams.  A sketch of the task's counts says which n-grams are frequent
+    by now; one that it takes for so by mistake has the same frequency everywhere all the
+    same, since its bucket is told in each block."""
+    met = np.zeros(1 << SKETCH, np.uint8)
+    for batch in slices(batches):
+        doc, sizes, offsets, values, prints = _sets(batch, k)
+        if not len(values):
+            continue
+        order = np.lexsort((doc, prints[:, 1], prints[:, 0], sizes))
+        new = np.ones(len(order), bool)
+        new[1:] = (sizes[order[1:]] != sizes[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]]).any(1)
+        keep = np.zeros(len(order), bool)
+        keep[order[new]] = True
+        if batch.num_columns > 2:
+            doc = np.where(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), prints[:, 0], doc)
+        row = np.repeat(np.arange(len(doc)), sizes)
+        mine = keep[row]
+        if not mine.any():
+            continue
+        tok, row = values[mine], row[mine]
+        order = np.argsort(tok, kind="stable")
+        tok, row = tok[order], row[order]
+        bucket = _bucket(tok, buckets)
+        weight = np.ones(len(tok), np.uint8)
+        starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        counts = np.diff(starts, append=len(tok))
+        cell = (mix(tok[starts], 3) >> U64(64 - SKETCH)).astype(np.int64)
+        so_far = np.minimum(met[cell] + counts, CAP)
+        met[cell] = so_far
+        many = so_far == CAP
+        if many.any():
+            weight[np.repeat(many, counts)] = 0
+            weight[starts[many]] = CAP
+            bucket[weight == 0] = _bucket(mix(doc.view(U64), 2)[row[weight == 0]], buckets)
+            order = np.lexsort((tok, bucket))
+            tok, row, bucket, weight = tok[order], row[order], bucket[order], weight[order]
+        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = [(b, _pack(doc, sizes, row[i:j], tok[i:j], weight[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
+        yield from _binary(rows, BLOCKS)
+
+
 def _hash_blocks(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """Blocks of n-grams by bucket of hashes, of all documents but a task's local copies.  Rows
     for which a column ``twin`` is true go by their fingerprints instead of their doc_ids."""
-
     twins = ["twin"] if "twin" in docs.columns else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            doc, sizes, offsets, values, prints = _sets(batch, k)
-            if not len(values):
-                continue
-            order = np.lexsort((doc, prints[:, 1], prints[:, 0], sizes))
-            new = np.ones(len(order), bool)
-            new[1:] = (sizes[order[1:]] != sizes[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]]).any(1)
-            keep = np.zeros(len(order), bool)
-            keep[order[new]] = True
-            if twins:
-                doc = np.where(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), prints[:, 0], doc)
-            row = np.repeat(np.arange(len(doc)), sizes)
-            mine = keep[row]
-            if not mine.any():
-                continue
-            tok, row = values[mine], row[mine]
-            order = np.argsort(tok, kind="stable")
-            tok, row = tok[order], row[order]
-            bucket = _bucket(tok, buckets)
-            weight = np.ones(len(tok), np.uint8)
-            starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            counts = np.diff(starts, append=len(tok))
-            if (counts >= CAP).any():
-                hot = np.repeat(counts >= CAP, counts)
-                weight[hot] = 0
-                weight[starts[counts >= CAP]] = CAP
-                bucket[weight == 0] = _bucket(mix(doc.view(U64), 2)[row[weight == 0]], buckets)
-                order = np.lexsort((tok, bucket))
-                tok, row, bucket, weight = tok[order], row[order], bucket[order], weight[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, _pack(doc, sizes, row[i:j], tok[i:j], weight[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
-            yield from _binary(rows, BLOCKS)
-
-    return dealt(docs.where("doc_id is not null").select("doc_id", "text", *twins)).mapInArrow(run, "bucket int, block binary")
+    return dealt(docs.where("doc_id is not null").select("doc_id", "text", *twins)).mapInArrow(lambda x: _blocks_of(x, k, buckets), "bucket int, block binary")
 
 
 def _by_bucket(blocks: DataFrame, parts: int, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

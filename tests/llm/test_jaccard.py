@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import jaccard
@@ -118,3 +120,18 @@ def test_twins_that_link_with_each_other(docs):
     one = "".join(f"x{i} " for i in range(40))
     rows = [(4, one + "a"), (4, one + "b"), (9, one)]
     assert len(jaccard.deduplicated(docs(*rows), 3, (8, 10)).collect()) == 1
+
+
+def test_frequent_grams_go_to_their_bucket_once_a_block():
+    batches = [pa.record_batch({"doc_id": [10 * i + j for j in range(4)], "text": [f"the same words u{i}-{j} v{i} w" for j in range(4)]}) for i in range(60)]
+    common = int(jaccard.shingle_sets(jaccard.scan(pa.array(["the same words"])), 3)[0][0])
+    home, sent, last = jaccard._bucket(np.array([common], np.uint64), 16)[0], 0, []
+    for out in jaccard._blocks_of(iter(batches), 3, 16):
+        for bucket, raw in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            _, _, _, tok, weight = jaccard._unpack(raw)
+            at = weight[tok == np.uint64(common)]
+            sent += len(at)
+            if bucket == home and len(at):
+                last.append((int((at > 0).sum()), int(at.max())))
+    assert sent == 240  # none is lost
+    assert [n for n, _ in last[:7]] == [4] * 7 and last[0][1] == 1 and all(x == (1, jaccard.CAP) for x in last[7:]) and len(last) == 60
