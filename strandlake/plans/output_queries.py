@@ -361,6 +361,12 @@ def sequence_global_self(spark, d):
     return both.select("ordinal", F.col("g.score").cast("long").alias("score"), "g.cigar", F.col("e.score").cast("long").alias("extended"), F.col("e.query_bases").cast("long").alias("query_bases"))
 
 
+@query("select ordinal, 2 * length(seq) as score, length(seq) - 1 as te, length(seq) - 1 as qe, 0 as tb, 0 as qb from r")
+def sequence_local_self(spark, d):
+    both = reads(spark, d).select("ordinal", SEQ.local_alignment(F.col("seq"), F.col("seq")).alias("a"))
+    return both.select("ordinal", *(F.col(f"a.{c}").cast("long").alias(c) for c in ("score", "te", "qe", "tb", "qb")))
+
+
 @query("""
 select ordinal, cast(2 * (length(seq) - 5) - 5 - 2 * 5 as bigint) as score, (length(seq) - 5) || 'M5I' as cigar from r
 """)

@@ -514,13 +514,21 @@ def stat_jackknife(spark, d):
     return ST.jackknife(_orders(spark, d).withColumn("g", F.col("l_suppkey") % 20), "g", "l_quantity")
 
 
-@query()
+@query("""
+, k as (select unnest(range(0, 20)) as id)
+select id, round(lgamma((id + 1) / 4.0), 9) as lgamma,
+       round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (1 - 2 * (n % 2)) * pow((id + 1) / 10.0, 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1)))), 9) as erfc,
+       round(1 - exp(-2) * list_sum(list_transform(range(0, id + 1), lambda n: pow(2.0, n) / exp(lgamma(n + 1)))), 9) as gamma_p,
+       round(pow(0.3, (id + 1) / 4.0) * (1 + (id + 1) / 4.0 * 0.7), 9) as beta_i
+from k
+""")
 def stat_special_functions(spark, d):
     import math
 
-    x = (F.col("id") + 1) / 4
+    x, nine = (F.col("id") + 1) / 4, lambda c, name: F.round(c, 9).alias(name)
     gamma, erfc, beta = ST.special(math.lgamma), ST.special(math.erfc), ST.special(ST.beta_i)
-    return spark.range(20).select("id", gamma(x).alias("lgamma"), erfc(x).alias("erfc"), ST.special(ST.gamma_p)(x, F.lit(2.0)).alias("gamma_p"), beta(x, F.lit(2.0), F.lit(0.3)).alias("beta_i"))
+    whole = (F.col("id") + 1).cast("double")
+    return spark.range(20).select("id", nine(gamma(x), "lgamma"), nine(erfc(whole / 10), "erfc"), nine(ST.special(ST.gamma_p)(whole, F.lit(2.0)), "gamma_p"), nine(beta(x, F.lit(2.0), F.lit(0.3)), "beta_i"))
 
 
 # ---- documents, alignments of sequences, files and streams -------------------------------
