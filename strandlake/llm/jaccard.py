@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -406,36 +407,66 @@ def _verified(pairs: DataFrame, profiles: DataFrame, limit: Threshold, parts: in
         for group in _groups(batches, 3):
             kind, a, n_of = (group.column(c).to_numpy() for c in ("kind", "a", "n"))
             docs = int((kind == 0).sum())
-            if docs == len(kind):
+            if docs in (0, len(kind)):
                 continue
-            sets = {int(d): (int(n), np.sort(np.frombuffer(raw, U64))) for d, n, raw in zip(a[:docs], n_of[:docs], group.column("grams").to_pylist()[:docs], strict=True)}
-            met = {(min(x, y), max(x, y)) for x, ys in zip(a[docs:].tolist(), group.column("others").to_pylist()[docs:], strict=True) for y in ys if x != y}
-            out: dict[int, list] = {}
-            degree: dict[int, int] = {}
-            root: dict[int, int] = {}
-
-            def top(x: int, root: dict[int, int] = root) -> int:
-                while (p := root.setdefault(x, x)) != x:
-                    root[x] = x = root[p]
-                return x
-
-            for x, y in sorted(met):
-                (n, s), (m, t) = sets[x], sets[y]
-                if len(s) > len(t):
-                    s, t = t, s
-                spot = np.searchsorted(t, s)
-                shared = int((t[np.minimum(spot, len(t) - 1)] == s).sum())
-                if shared * limit.den >= limit.num * (n + m - shared):
-                    out.setdefault(x, []).append({"b": y, "shared": shared, "size_a": n, "size_b": m})
-                    for z in (x, y):
-                        degree[z] = degree.get(z, 0) + 1
-                    p, q = top(x), top(y)
-                    root[max(p, q)] = min(p, q)
-            yield from _binary([(d, top(d), k, out.get(d, [])) for d, k in degree.items()], LINK)
+            ids, first = np.unique(a[:docs], return_index=True)
+            raw = group.column("grams").to_pylist()
+            sets = [np.sort(np.frombuffer(raw[i], U64)) for i in first]
+            n = n_of[first].astype(np.int64)
+            others = group.column("others").combine_chunks()
+            each = others.slice(docs)
+            x = np.repeat(a[docs:], pa.compute.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64))
+            x, y = np.searchsorted(ids, x), np.searchsorted(ids, each.flatten().to_numpy())
+            met = np.unique(np.minimum(x, y)[x != y] * len(ids) + np.maximum(x, y)[x != y])
+            left, right = met // len(ids), met % len(ids)
+            shared = _intersections(sets, left, right)
+            linked = shared * limit.den >= limit.num * (n[left] + n[right] - shared)
+            if linked.any():
+                yield _links(ids, n, left[linked], right[linked], shared[linked])
 
     return rows.mapInArrow(_merged(run), "a long, root long, degree long, links array<struct<b:bigint,shared:bigint,size_a:bigint,size_b:bigint>>")
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of intersections of pairs of sorted sets; left ascends.  The sets that one set meets
+    are looked up in it together, VALUES at a time."""
+    out = np.zeros(len(left), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else []
+    for i, j in zip(starts, [*starts[1:], len(left)], strict=True):
+        own = sets[left[i]]
+        while i < j:
+            part, size, k = [], 0, i
+            while k < j and (size < VALUES or k == i):
+                part.append(sets[right[k]])
+                size += len(part[-1])
+                k += 1
+            flat = np.concatenate(part)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            ends = np.cumsum([len(p) for p in part])
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            out[i:k] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+            i = k
+    return out
+
+
+def _links(ids: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+    """(a, root, degree, links) of the documents of links between places of ``ids``; left ascends."""
+    degree = np.bincount(np.concatenate([left, right]), minlength=len(ids))
+    root, last = np.arange(len(ids)), None
+    while last is None or (root != last).any():
+        last = root.copy()
+        np.minimum.at(root, left, last[right])
+        np.minimum.at(root, right, last[left])
+        root = root[root]
+    keep = np.flatnonzero(degree)
+    at = np.concatenate([np.searchsorted(left, keep), [len(left)]])
+    parts = [pa.array(v) for v in (ids[right], shared, n[left], n[right])]
+    links = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays(parts, ["b", "shared", "size_a", "size_b"]))
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]]), pa.array(degree[keep]), links], schema=LINK)
+
+
+#: Hashes of sets looked up at a time.
+VALUES = 1 << 21
 LINK = pa.schema([*((c, pa.int64()) for c in ("a", "root", "degree")), ("links", pa.list_(pa.struct([(c, pa.int64()) for c in ("b", "shared", "size_a", "size_b")])))])
 
 

@@ -135,3 +135,19 @@ def test_frequent_grams_go_to_their_bucket_once_a_block():
                 last.append((int((at > 0).sum()), int(at.max())))
     assert sent == 240  # none is lost
     assert [n for n, _ in last[:7]] == [4] * 7 and last[0][1] == 1 and all(x == (1, jaccard.CAP) for x in last[7:]) and len(last) == 60
+
+
+def test_links_of_a_group():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(20)]
+    pairs = np.array(sorted({tuple(sorted(p)) for p in rng.integers(0, 20, (60, 2)).tolist() if p[0] != p[1]}))
+    for values in (1, 50, 1 << 21):
+        jaccard.VALUES, kept = values, jaccard.VALUES
+        shared = jaccard._intersections(sets, pairs[:, 0], pairs[:, 1])
+        jaccard.VALUES = kept
+        assert shared.tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in pairs.tolist()]
+    ids, chain = np.arange(20) * 3 - 7, np.array([(i, i + 1) for i in range(3, 12)] + [(14, 19)])
+    rows = jaccard._links(ids, np.full(20, 5), chain[:, 0], chain[:, 1], np.full(len(chain), 4)).to_pylist()
+    assert [(r["a"], r["root"], r["degree"], [x["b"] for x in r["links"]]) for r in rows] == [
+        (int(ids[i]), int(ids[3 if i < 14 else 14]), 1 if i in (3, 12, 14, 19) else 2, [int(ids[j]) for a, j in chain.tolist() if a == i]) for i in [*range(3, 13), 14, 19]
+    ]
