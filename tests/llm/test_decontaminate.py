@@ -42,6 +42,15 @@ def test_hits_everywhere(spark, docs):
     assert got == {i: brute(t, items, 10) for i, t in enumerate(texts)}
 
 
+def test_letters_whose_lower_case_hangs_on_others(spark, docs):
+    words = ["\u039f\u0394\u039f\u03a3", "\u03a3", "a\u03a3", "\u03a3b", "\u212a", "\u0130x", "\u00c9", "w8", "w9", "w10", "w11"]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, ".".join(words[:3]))], "item_id long, text string")
+    texts = [".".join(words), "x'" + "'".join(words) + "'\u03a3", " ".join(words[:4]), ":".join(words[1:])]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs(*texts), bench).collect()}
+    items = {1: " ".join(words), 2: ".".join(words[:3])}
+    assert got == {i: brute(t, items, 10) for i, t in enumerate(texts)} and got[0][1] == 11
+
+
 def test_repeated_ids_and_an_empty_benchmark(spark, docs):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     rows = docs((1, "one two three"), (1, "other"), (1, "one two three"), (None, "x one two three"))
