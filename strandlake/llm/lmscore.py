@@ -211,7 +211,7 @@ def _cold(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Ids from BEGIN to END of texts (ids), a list a slice."""
     begin = np.array([_attention.BEGIN], "<u2")
-    for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+    for batch in slices(batches, "ids", SCORE_BYTES):
         ids, at = column_bytes(batch.column(0))
         ids, at = np.frombuffer(ids, "<u2"), at // 2
         yield [np.concatenate([begin, ids[i:j]]) for i, j in zip(at[:-1], at[1:], strict=True)]
@@ -227,7 +227,7 @@ def _sample(encoded: DataFrame) -> np.ndarray:
         return np.zeros((0, size), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+        for batch in slices(batches, "ids", SCORE_BYTES):
             out = []
             for seq in next(_training(iter([batch.select(["ids"])]))):
                 starts = np.unique(np.linspace(0, max(0, len(seq) - size), min(SAMPLE_WINDOWS, 1 + len(seq) // size)).astype(np.int64))
@@ -373,7 +373,7 @@ def _attended(encoded: DataFrame, model: _attention.Model, buckets: int) -> Data
     """The texts' shares with their scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 2 * SCORE_BYTES):
+        for batch in slices(batches, "ids", SCORE_BYTES):
             parts = np.frombuffer(column_bytes(batch.column(0))[0], PART).copy()
             ids, at = column_bytes(batch.column(1))
             ids, bounds = np.frombuffer(ids, "<u2"), at // 2
