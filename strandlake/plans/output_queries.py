@@ -18,7 +18,7 @@ from strandlake.operators import coverage, qc
 from strandlake.operators import reads as R
 from strandlake.plans import queries as Q
 from strandlake.plans.queries import alignments, query, reads
-from strandlake.plans.tables import shared_folder
+from strandlake.plans.tables import gone_at_end, shared_folder
 from strandlake.sources import bam, derive, fastx, packed, sinks
 from strandlake.streaming import reads as streams
 
@@ -454,8 +454,9 @@ def graph_without_arcs(spark, d):
 
 
 def _streamed(spark, d, frame, mode: str):
-    name = f"stream_{uuid.uuid4().hex}"
-    streams.run_once(frame, name, mode, _folder(spark, "stream"))
+    name, checkpoint = f"stream_{uuid.uuid4().hex}", _folder(spark, "stream")
+    gone_at_end(spark, f"{checkpoint}-rows")
+    streams.run_once(frame, name, mode, checkpoint)
     return spark.table(name)
 
 

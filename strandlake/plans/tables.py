@@ -24,13 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """The path is deleted when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again, so that it is computed once.  The files
     go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    gone_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -42,7 +42,20 @@ def first_seen(stream: DataFrame, time: str = "ts", delay: str = "1 hour", key:
 
 
 def run_once(frame: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Runs a query over all that is there now, into a table in memory."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a query over all that is there now, into a table of that name for the session.
+
+    Appended rows go to files in ``<checkpoint>-rows``, a folder that all executors share, and
+    never to the driver; a later run on the same checkpoint adds to them.  Complete results,
+    a row for each group, are a table in memory."""
+    writer = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        query = writer.format("memory").queryName(name).start()
+        query.awaitTermination()
+        return query
+    spark, rows = frame.sparkSession, f"{checkpoint}-rows"
+    place = spark._jvm.org.apache.hadoop.fs.Path(rows)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # without rows there is no file
+    query = writer.format("parquet").queryName(name).start(rows)
     query.awaitTermination()
+    spark.read.schema(frame.schema).parquet(rows).createOrReplaceTempView(name)
     return query

@@ -22,3 +22,17 @@ def test_event_windows(spark, sf_dir, tmp_path):
     assert spark.table("windows").groupBy().sum("n").first()[0] == events.count()
     S.run_once(S.first_seen(stream, delay="3650 days", key="user_id"), "firsts", "append", str(tmp_path / "c2"))
     assert spark.table("firsts").count() == events.select("user_id").distinct().count()
+
+
+def test_appended_rows_stay_out_of_the_driver(spark, sf_dir, tmp_path):
+    batch = derive.reads(spark, sf_dir)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    for n in (1, 2):  # a second run on the checkpoint takes only what is new
+        S.run_once(R.only_acgtn(stream), "kept", "append", str(tmp_path / "c"))
+        plan = spark.table("kept")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MemoryPlan" not in plan and "Relation" in plan
+        assert spark.table("kept").count() == n * R.only_acgtn(batch).count()
+        batch.write.mode("append").parquet(str(tmp_path / "in"))
+    S.run_once(stream.where("false"), "none", "append", str(tmp_path / "d"))
+    assert spark.table("none").count() == 0 and spark.table("none").columns == batch.columns
