@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
@@ -25,6 +26,8 @@ from strandlake.sources.files import exists, expand, open_input, open_raw
 
 #: Inflated bytes decoded at a time; compressed bytes of a partition of an indexed file.
 BATCH_BYTES, CHUNK = 4 << 20, 64 << 20
+#: Bytes of a written block before it is compressed.
+BLOCK = 65280
 # Fixed values of the format: base codes, CIGAR letters, and the block that ends a file.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
@@ -34,6 +37,7 @@ WINDOW_BITS = 14
 LEVELS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
 _BASES = np.frombuffer(BASES.encode(), np.uint8)
 _CODE = {c: i for i, c in enumerate(BASES)}
+_CODES = np.array([_CODE.get(chr(i), 15) for i in range(256)], np.uint8)
 _ON_REFERENCE = np.isin(np.arange(16), (0, 2, 3, 7, 8))
 _HEAD = np.dtype([("tid", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("mate", "<i4", 3)])
 _ARROW = pa.schema(
@@ -163,10 +167,7 @@ def _decoded(f, file: str, contigs: Contigs, region: Region | None, first: int)
     while True:
         more = f.read(BATCH_BYTES)
         data = held + more if held else more
-        starts, at = [], 0
-        while at + 4 <= len(data) and at + 4 + (size := struct.unpack_from("<i", data, at)[0]) <= len(data):
-            starts.append(at + 4)
-            at += 4 + size
+        starts, at = _record_starts(data)
         if starts:
             batch, past = decode(data, np.array(starts), file, contigs, ordinal, region)
             if batch.num_rows:
@@ -277,6 +278,18 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
 # ---- the index ---------------------------------------------------------------------------
 
 
+def _record_starts(data: bytes) -> tuple[list[int], int]:
+    """(where the bodies of the whole records begin, where the first that is not whole does)."""
+    starts, at, last, size_at = [], 0, len(data) - 4, struct.Struct("<i").unpack_from
+    while at <= last:
+        after = at + 4 + size_at(data, at)[0]
+        if after > last + 4:
+            break
+        starts.append(at + 4)
+        at = after
+    return starts, at
+
+
 def _bin(begin: int, end: int) -> int:
     """The smallest bin that holds [begin, end)."""
     return next((first + (begin >> bits) for bits, first in LEVELS if begin >> bits == (end - 1) >> bits), 0)
@@ -424,9 +437,79 @@ def encode_bam(contigs: Contigs, rows: Iterable[dict]) -> Iterator[bytes]:
     held = bytearray(encode_header(contigs))
     for row in rows:
         held += encode_record(row)
-        while len(held) >= 65280:
-            yield bgzf_block(bytes(held[:65280]))
-            del held[:65280]
-    if held:
-        yield bgzf_block(bytes(held))
+        yield from bgzf_blocks(held, whole=False)
+    yield from bgzf_blocks(held)
     yield EOF_BLOCK
+
+
+def bgzf_blocks(held: bytearray, whole: bool = True) -> Iterator[bytes]:
+    """Takes full blocks off the held bytes, and with ``whole`` the rest too."""
+    at = 0
+    while len(held) - at >= BLOCK or whole and at < len(held):
+        yield bgzf_block(bytes(held[at : at + BLOCK]))
+        at += BLOCK
+    del held[:at]
+
+
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, sizes) of a column of strings; a missing one has none."""
+    column = column.cast(pa.large_string())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return flat, at[:-1], np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+
+
+def encode_records(batch: pa.RecordBatch) -> bytes:
+    """The records of a batch of alignments, as encode_record gives them, in numpy."""
+    n = len(batch)
+    if not n:
+        return b""
+    column = lambda name: batch.column(name)
+    numbers = lambda name, missing: pa.compute.fill_null(column(name).cast(pa.int64()), missing).to_numpy()
+    (names, name_at, name_size), (bases, base_at, size), (quals, qual_at, qual_size) = (_text(column(c)) for c in ("qname", "seq", "qual"))
+    lists, valid = column("cigar"), column("cigar").is_valid().to_numpy(zero_copy_only=False)
+    ops_at = lists.offsets.to_numpy()
+    ops = np.where(valid, np.diff(ops_at), 0)
+    op, length = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) if len(lists.values) else np.zeros(0, np.int64) for c in ("op", "len"))
+    pos, flag, tid, mapq = numbers("pos", 1 << 40), numbers("flag", -1), numbers("tid", -1), numbers("mapq", 0)
+    chosen, chosen_at = _taken(quals, qual_at, qual_size)
+    letters, letters_at = _taken(bases, base_at, size)
+    plain = (
+        column("qname").null_count == 0 and (name_size < 255).all() and (ops < 65536).all() and ((pos >= -(1 << 31)) & (pos < 1 << 31)).all() and ((flag >= 0) & (flag < 65536)).all()
+        and ((mapq >= 0) & (mapq < 256)).all() and (tid < 1 << 31).all() and ((qual_size == 0) | (qual_size == size)).all() and (letters < 128).all() and ((chosen >= 33) & (chosen < 128)).all()
+        and lists.values.null_count == 0 and ((op >= 0) & (op < 16) & (length >= 0) & (length < 1 << 28)).all()
+    )
+    if not plain:  # not in ASCII, or an error, row by row
+        return b"".join(map(encode_record, batch.to_pylist()))
+    half = (size + 1) // 2
+    body = _HEAD.itemsize + name_size + 1 + 4 * ops + half + size
+    at = np.concatenate([[0], np.cumsum(body + 4)])
+    out = np.zeros(at[-1], np.uint8)
+    head = np.zeros(n, np.dtype([("size", "<i4"), *((k, _HEAD[k]) for k in _HEAD.names)]))
+    head["mate"][:, :2] = -1
+    for k, x in (("size", body), ("tid", tid), ("pos", pos), ("name", name_size + 1), ("mapq", mapq), ("ops", ops), ("flag", flag), ("bases", size)):
+        head[k] = x
+    here = at[:-1]
+    out[here[:, None] + np.arange(head.itemsize)] = head.view(np.uint8).reshape(n, -1)
+
+    def put(flat: np.ndarray, flat_at: np.ndarray, sizes: np.ndarray) -> None:
+        out[np.arange(len(flat)) + np.repeat(here - flat_at[:-1], sizes)] = flat
+
+    here = here + head.itemsize
+    put(*_taken(names, name_at, name_size), name_size)
+    here = here + name_size + 1
+    put(*_taken(np.ascontiguousarray((length << 4 | op).astype("<u4")).view(np.uint8), 4 * ops_at[:-1].astype(np.int64), 4 * ops), 4 * ops)
+    here = here + 4 * ops
+    # every sequence takes an even number of codes, a 0 after an odd one
+    codes, codes_at = np.zeros(2 * int(half.sum()), np.uint8), np.concatenate([[0], np.cumsum(2 * half)])
+    codes[np.arange(len(letters)) + np.repeat(codes_at[:-1] - letters_at[:-1], size)] = _CODES[letters]
+    put(codes[::2] << 4 | codes[1::2], codes_at // 2, half)
+    here = here + half
+    unknown = qual_size == 0
+    if unknown.all():
+        put(np.full(int(size.sum()), 255, np.uint8), letters_at, size)
+    else:
+        values = np.full(len(letters), 255, np.uint8)
+        values[~np.repeat(unknown, size)] = chosen - np.uint8(33)
+        put(values, letters_at, size)
+    return out.tobytes()

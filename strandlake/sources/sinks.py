@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,39 +193,59 @@ def quality_code_file(reads: DataFrame, path: str) -> None:
 
 def bam_files(alignments: DataFrame, contigs: DataFrame, folder: str) -> DataFrame:
     """(chrom, n, path): writes <chrom>.bam for each contig into a folder that all executors
-    share.  Contigs are written by separate tasks, each as a stream of sorted rows."""
-    from strandlake.sources.bam import encode_bam
+    share.  Rows are dealt by ranges of their order, so that a contig is not one task: each range
+    is encoded and compressed on its own into the shared folder, and a contig's ranges are then
+    copied behind one another as they are."""
+    from strandlake.plans.tables import gone_at_end, shared_folder
+    from strandlake.sources.bam import EOF_BLOCK, bgzf_blocks, encode_header, encode_records
 
     sizes = [(r["chrom"], r["length"]) for r in contigs.orderBy("tid").select("chrom", "length").collect()]
     columns = ["chrom", "pos", "ordinal", "qname", "flag", "tid", "mapq", "cigar", "seq", "qual"]
     rows = alignments.where("chrom is not null").select(*columns)
-    rows = rows.repartition(max(len(sizes), 1), "chrom").sortWithinPartitions("chrom", "pos", "ordinal")
-
-    def run(batches):
-        def each():
-            for batch in batches:
-                yield from batch.to_pylist()
-
-        stream, held = each(), None
-        held = next(stream, None)
-        while held is not None:
-            chrom, n = held["chrom"], 0
-
-            def same(first=held):
-                nonlocal held, n
-                row = first
-                while row is not None and row["chrom"] == first["chrom"]:
-                    n += 1
-                    yield row
-                    row = next(stream, None)
-                held = row
+    rows = rows.repartitionByRange("chrom", "pos", "ordinal").sortWithinPartitions("chrom", "pos", "ordinal")
+    spark = alignments.sparkSession
+    held_folder = f"{shared_folder(spark)}/bam-ranges-{uuid.uuid4().hex}"
+    gone_at_end(spark, held_folder)
 
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chrom, path, f, n, held = TaskContext.get().partitionId(), None, "", None, 0, bytearray()
+
+        def ended() -> pa.RecordBatch:
+            f.write(b"".join(bgzf_blocks(held)))
+            f.close()
+            return pa.RecordBatch.from_pylist([{"chrom": chrom, "part": part, "n": n, "path": path}], schema=pa.schema([("chrom", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("path", pa.string())]))
+
+        for batch in batches:
+            runs = pa.compute.run_end_encode(batch.column("chrom"))
+            begin = 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if f is None or name != chrom:
+                    if f is not None:
+                        yield ended()
+                    chrom, path, n = name, f"{held_folder}/{part:05d}-{uuid.uuid4().hex}", 0
+                    f = open_write(path)
+                held += encode_records(batch.slice(begin, end - begin))
+                f.write(b"".join(bgzf_blocks(held, whole=False)))
+                n += end - begin
+                begin = end
+        if f is not None:
+            yield ended()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in batch.to_pylist()]  # a row for each range
+        for chrom in dict.fromkeys(row["chrom"] for row in found):
+            mine = [row for row in found if row["chrom"] == chrom]
             path = f"{folder}/{chrom}.bam"
             part = f"{path}.{uuid.uuid4().hex}.part"
-            with open_write(part) as f:
-                for block in encode_bam(sizes, same()):
-                    f.write(block)
+            with open_write(part) as out:
+                out.write(b"".join(bgzf_blocks(bytearray(encode_header(sizes)))))
+                for row in mine:
+                    with open_raw(row["path"]) as f:
+                        while data := f.read(1 << 20):
+                            out.write(data)
+                out.write(EOF_BLOCK)
             moved(part, path)
-            yield pa.RecordBatch.from_pylist([{"chrom": chrom, "n": n, "path": path}])
+            yield pa.RecordBatch.from_pylist([{"chrom": chrom, "n": sum(row["n"] for row in mine), "path": path}])
 
-    return rows.mapInArrow(run, "chrom string, n long, path string")
+    parts = rows.mapInArrow(ranges, "chrom string, part int, n long, path string")
+    return parts.repartition(max(len(sizes), 1), "chrom").sortWithinPartitions("chrom", "part").mapInArrow(joined, "chrom string, n long, path string")

@@ -1,15 +1,20 @@
 import gzip
 import random
 import re
+import struct
 import threading
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import coverage, qc
 from strandlake.operators import reads as R
 from strandlake.plans import commands
+from strandlake.plans.tables import shared_folder
 from strandlake.sources import bam, fastx, packed, sinks
 
 FASTQ = "@a 1\nACGT\n+\nFFFF\n@b 1\nAC\n+\n@F\n@c 1\n\n+\n\n"
@@ -276,3 +281,47 @@ def test_indexed_bam(spark, tmp_path):
     path.write_bytes(path.read_bytes()[:-500])
     with pytest.raises(Exception, match=r"cut off|no block|damaged|incomplete|ended"):
         bam.read_bam(spark, str(path), chunk="1").collect()
+
+
+def test_records_by_the_batch():
+    odd = [
+        {"qname": "", "flag": 65535, "tid": 2, "pos": 7, "mapq": None, "cigar": None, "seq": None, "qual": None},
+        {"qname": "é", "flag": 0, "tid": None, "pos": -1, "mapq": 255, "cigar": [], "seq": "acgtnAX=", "qual": ""},
+        {"qname": "n" * 254, "flag": 1, "tid": 0, "pos": (1 << 31) - 1, "mapq": 0, "cigar": [{"op": 8, "len": (1 << 28) - 1}, {"op": 0, "len": 0}], "seq": "A", "qual": "!"},
+        {"qname": "p", "flag": 1, "tid": 0, "pos": 0, "mapq": 0, "cigar": [{"op": 0, "len": 3}], "seq": "GGC", "qual": "~#I"},
+    ]
+    schema = pa.schema([("qname", pa.string()), ("flag", pa.int32()), ("tid", pa.int32()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())]))), ("seq", pa.string()), ("qual", pa.string())])
+    made = pa.RecordBatch.from_pylist([*odd, *odd], schema=schema)
+    for a in range(len(made) + 1):
+        for n in range(len(made) - a + 1):
+            assert bam.encode_records(made.slice(a, n)) == b"".join(map(bam.encode_record, [*odd, *odd][a : a + n]))
+    other = [{**odd[3], "seq": "Gé"}, odd[0]]
+    assert bam.encode_records(pa.RecordBatch.from_pylist([{**r, "qual": None} for r in other], schema=schema)) == b"".join(bam.encode_record({**r, "qual": None}) for r in other)
+    for bad in ({"pos": 1 << 31}, {"flag": -1}, {"mapq": 256}, {"qname": "n" * 255}):
+        with pytest.raises(struct.error):
+            bam.encode_records(pa.RecordBatch.from_pylist([odd[3], {**odd[3], **bad}], schema=schema))
+
+
+def test_a_contig_is_written_by_many_tasks(spark, tmp_path):
+    """A contig is not one task: its rows are dealt by ranges, and copied together in order."""
+    n, kept = 3000, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    rows = [{**records()[0], "tid": int(i % 10 == 0), "chrom": f"c{1 + (i % 10 == 0)}", "pos": i * 7 % 50_000, "ordinal": i, "qname": f"r{i}"} for i in range(n)]
+    given = spark.createDataFrame([{k: v for k, v in r.items() if k != "cigar"} for r in rows]).withColumn("cigar", F.expr("array(named_struct('op', 0, 'len', 10))"))
+    contigs = spark.createDataFrame([(0, "c1", 50_100), (1, "c2", 50_100)], "tid int, chrom string, length long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        made = sinks.bam_files(given, contigs, str(tmp_path / "out"))
+        for _ in range(2):  # also when it is computed again
+            assert {r.chrom: r.n for r in made.collect()} == {"c1": 2700, "c2": 300}
+        assert "rangepartitioning(chrom" in made._jdf.queryExecution().executedPlan().toString()
+        seen = list(Path(shared_folder(spark)).glob("bam-ranges-*/*"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(seen) >= 8
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["c1.bam", "c2.bam"]
+    for chrom in ("c1", "c2"):
+        got = bam.read_bam(spark, str(tmp_path / "out" / f"{chrom}.bam")).orderBy("ordinal").collect()
+        want = sorted((r for r in rows if r["chrom"] == chrom), key=lambda r: (r["pos"], r["ordinal"]))
+        assert [(r.qname, r.pos, r.seq, r.qual) for r in got] == [(r["qname"], r["pos"], r["seq"], r["qual"]) for r in want]
