@@ -278,6 +278,49 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
 # ---- the index ---------------------------------------------------------------------------
 
 
+def _bins(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest bins that hold [begin, end)."""
+    out = np.zeros(len(begin), np.int64)
+    for bits, first in reversed(LEVELS):
+        out = np.where(begin >> bits == (end - 1) >> bits, first + (begin >> bits), out)
+    return out
+
+
+def _placed(f: Blocks) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(data, offsets of records' bodies, virtual places where the records begin and, last, where
+    the next one would) of batches of whole records."""
+    held, marks = b"", [(0, f.tell())]  # offsets in the data, ascending, from which places count on
+    while True:
+        pieces, size = [held], len(held)
+        while size < BATCH_BYTES + len(held):
+            if not (piece := f.read(max(len(f.held) - f.at, 1))):  # no more than the rest of a block
+                break
+            if f.at == len(piece) or not marks:
+                marks.append((size, f.block << 16 | f.at - len(piece)))
+            pieces.append(piece)
+            size += len(piece)
+        data, ended = b"".join(pieces), size == len(held)
+        starts, at = _record_starts(data)
+        if starts:
+            begins = np.append(np.array(starts, np.int64) - 4, at)
+            offsets, places = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+            i = np.searchsorted(offsets, begins, "right") - 1
+            where = places[i] + begins - offsets[i]
+            if at == len(data):
+                where[-1] = f.tell()
+            yield data, np.array(starts), where
+        held = data[at:]
+        if ended:
+            if held:
+                raise ValueError("a BAM file that is cut off")
+            return
+        kept = [(o - at, p) for o, p in marks if o > at]
+        if held:
+            o, p = [m for m in marks if m[0] <= at][-1]
+            kept.insert(0, (0, p + at - o))
+        marks = kept
+
+
 def _record_starts(data: bytes) -> tuple[list[int], int]:
     """(where the bodies of the whole records begin, where the first that is not whole does)."""
     starts, at, last, size_at = [], 0, len(data) - 4, struct.Struct("<i").unpack_from
@@ -290,37 +333,43 @@ def _record_starts(data: bytes) -> tuple[list[int], int]:
     return starts, at
 
 
-def _bin(begin: int, end: int) -> int:
-    """The smallest bin that holds [begin, end)."""
-    return next((first + (begin >> bits) for bits, first in LEVELS if begin >> bits == (end - 1) >> bits), 0)
-
-
 def make_index(raw) -> bytes:
-    """The index of a sorted file, read as a stream."""
+    """The index of a sorted file, read as a stream and indexed by the batch."""
     f = Blocks(raw)
     contigs = read_header(f)[1]
     bins: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
     linear: list[dict[int, int]] = [{} for _ in contigs]
     without, last = 0, (0, -1)
-    while len(size := (place := f.tell(), f.read(4))[1]) == 4:
-        data = _exactly(f, *struct.unpack("<i", size))
-        head = np.frombuffer(data, _HEAD, 1)[0]
-        tid, pos = int(head["tid"]), int(head["pos"])
-        if tid < 0:
-            without += 1
+    for data, start, where in _placed(f):
+        head = np.frombuffer(data, np.uint8)[start[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
+        has = head["tid"] >= 0
+        without += int((~has).sum())
+        if not has.any():
             continue
-        if (tid, pos) < last:
+        head, start, begins, ends = head[has], start[has], where[:-1][has], where[1:][has]
+        tid, pos = head["tid"].astype(np.int64), head["pos"].astype(np.int64)
+        if (int(tid[0]), int(pos[0])) < last or (np.diff((tid << 32) + pos) < 0).any():
             raise ValueError("an unsorted BAM file has no index")
-        last = tid, pos
-        cigar = np.frombuffer(data, "<u4", int(head["ops"]), _HEAD.itemsize + int(head["name"]))
-        end = pos + max(1, int((cigar >> 4)[_ON_REFERENCE[cigar & 15]].sum()))
-        chunks = bins[tid].setdefault(_bin(pos, end), [])
-        if chunks and chunks[-1][1] == place:
-            chunks[-1][1] = f.tell()
-        else:
-            chunks.append([place, f.tell()])
-        for w in range(pos >> WINDOW_BITS, (end - 1 >> WINDOW_BITS) + 1):
-            linear[tid].setdefault(w, place)
+        last = int(tid[-1]), int(pos[-1])
+        raw_ops, at = _taken(np.frombuffer(data, np.uint8), start + _HEAD.itemsize + head["name"], 4 * head["ops"].astype(np.int64))
+        cigar = raw_ops.view("<u4")
+        steps = np.concatenate([[0], np.cumsum(np.where(_ON_REFERENCE[cigar & 15], cigar >> 4, 0), dtype=np.int64)])
+        end = pos + np.maximum(1, steps[at[1:] // 4] - steps[at[:-1] // 4])
+        of = _bins(pos, end)
+        # records in a row of one bin and contig are one chunk
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(tid) != 0) | (begins[1:] != ends[:-1])]))
+        for t, b, x, y in zip(tid[new].tolist(), of[new].tolist(), begins[new].tolist(), ends[np.append(new[1:], len(of)) - 1].tolist(), strict=True):
+            chunks = bins[t].setdefault(b, [])
+            if chunks and chunks[-1][1] == x:
+                chunks[-1][1] = y
+            else:
+                chunks.append([x, y])
+        # a window's place is that of the first record that reaches it
+        first, final = pos >> WINDOW_BITS, (end - 1) >> WINDOW_BITS
+        once = np.flatnonzero(np.concatenate([[True], (np.diff(tid) != 0) | (np.diff(first) != 0) | (np.diff(final) != 0)]))
+        for i in once.tolist():
+            for w in range(int(first[i]), int(final[i]) + 1):
+                linear[int(tid[i])].setdefault(w, int(begins[i]))
     out = [b"BAI\1", struct.pack("<i", len(contigs))]
     for of_bin, of_window in zip(bins, linear, strict=True):
         out.append(struct.pack("<i", len(of_bin)))
@@ -391,14 +440,14 @@ def index_bam(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file in map(files.__getitem__, batch.column(0).to_pylist()):
                 with open_raw(file) as raw:
                     data = make_index(raw)
                 write_whole(f"{file}.bai", data)
                 yield pa.RecordBatch.from_pydict({"file": [file], "bytes": [len(data)]})
 
-    files = [(f,) for f in expand(path) if not f.endswith(".bai")]
-    return spark.createDataFrame(files, "file string").repartition(max(len(files), 1)).mapInArrow(run, "file string, bytes long")
+    files = [f for f in expand(path) if not f.endswith(".bai")]
+    return spark.range(0, len(files), 1, max(len(files), 1)).mapInArrow(run, "file string, bytes long")
 
 
 # ---- encoding ----------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import gzip
+import io
 import random
 import re
 import struct
@@ -283,6 +284,53 @@ def test_indexed_bam(spark, tmp_path):
         bam.read_bam(spark, str(path), chunk="1").collect()
 
 
+def _index_by_record(raw):
+    """bam.make_index a record at a time: (bins, linear) of each contig and the records without one."""
+    f = bam.Blocks(raw)
+    contigs = bam.read_header(f)[1]
+    bins, linear, without = [{} for _ in contigs], [{} for _ in contigs], 0
+    while len(size := (place := f.tell(), f.read(4))[1]) == 4:
+        head = np.frombuffer(data := f.read(*struct.unpack("<i", size)), bam._HEAD, 1)[0]
+        if head["tid"] < 0:
+            without += 1
+            continue
+        cigar = np.frombuffer(data, "<u4", int(head["ops"]), bam._HEAD.itemsize + int(head["name"]))
+        pos = int(head["pos"])
+        end = pos + max(1, sum(int(c >> 4) for c in cigar if c & 15 in (0, 2, 3, 7, 8)))
+        b = next((first + (pos >> bits) for bits, first in bam.LEVELS if pos >> bits == (end - 1) >> bits), 0)
+        chunks = bins[head["tid"]].setdefault(b, [])
+        if chunks and chunks[-1][1] == place:
+            chunks[-1][1] = f.tell()
+        else:
+            chunks.append([place, f.tell()])
+        for w in range(pos >> 14, (end - 1 >> 14) + 1):
+            linear[head["tid"]].setdefault(w, place)
+    return bins, linear, without
+
+
+def test_index_by_the_batch(tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for tid in (0, 2):
+        for i, pos in enumerate(sorted(rng.randrange(300_000) for _ in range(4000))):
+            cigar = [{"op": 0, "len": 20}, {"op": 3, "len": rng.choice([5, 40_000])}, {"op": 0, "len": 11}]
+            rows.append({"qname": f"r{i}", "flag": 0, "tid": tid, "chrom": f"c{tid}", "pos": pos, "mapq": 0, "cigar": cigar, "seq": "".join(rng.choice("ACGT") for _ in range(rng.randrange(300))), "qual": None})
+    rows += [{"qname": "u", "flag": 4, "tid": None, "chrom": None, "pos": -1, "mapq": 0, "cigar": [], "seq": "", "qual": None}] * 3
+    data = b"".join(bam.encode_bam([(f"c{i}", 400_000) for i in range(4)], rows))
+    for size in (1, 5000, 70_000, 4 << 20):
+        monkeypatch.setattr(bam, "BATCH_BYTES", size)
+        made = bam.make_index(io.BytesIO(data))
+        bins, linear, without = _index_by_record(io.BytesIO(data))
+        got_linear, got_chunks = bam.read_index(made)
+        assert got_chunks == [sorted(tuple(c) for chunks in of.values() for c in chunks) for of in bins]
+        for got, want in zip(got_linear, linear, strict=True):
+            assert len(got) == max(want, default=-1) + 1 and all(got[w] == place for w, place in want.items())
+        assert struct.unpack("<Q", made[-8:]) == (without,) == (3,)
+    rows[1], rows[0] = rows[0], rows[3000]
+    with pytest.raises(ValueError, match="unsorted"):
+        bam.make_index(io.BytesIO(b"".join(bam.encode_bam([(f"c{i}", 400_000) for i in range(4)], rows))))
+
+
 def test_records_by_the_batch():
     odd = [
         {"qname": "", "flag": 65535, "tid": 2, "pos": 7, "mapq": None, "cigar": None, "seq": None, "qual": None},
@@ -325,3 +373,11 @@ def test_a_contig_is_written_by_many_tasks(spark, tmp_path):
         got = bam.read_bam(spark, str(tmp_path / "out" / f"{chrom}.bam")).orderBy("ordinal").collect()
         want = sorted((r for r in rows if r["chrom"] == chrom), key=lambda r: (r["pos"], r["ordinal"]))
         assert [(r.qname, r.pos, r.seq, r.qual) for r in got] == [(r["qname"], r["pos"], r["seq"], r["qual"]) for r in want]
+
+
+def test_files_are_indexed_by_a_task_each(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.bam").write_bytes(b"".join(bam.encode_bam(CONTIGS, records())))
+    made = bam.index_bam(spark, str(tmp_path)).select("file", F.spark_partition_id().alias("task")).collect()
+    assert sorted(Path(r.file).name for r in made) == [f"{i}.bam" for i in range(6)]
+    assert len({r.task for r in made}) == 6
