@@ -508,6 +508,16 @@ def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, at[:-1], np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
 
 
+def encoded(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """encode_records of a batch in runs of about BATCH_BYTES, so that long reads take no more memory."""
+    letters, ops = _text(batch.column("seq"))[2], np.diff(batch.column("cigar").offsets.to_numpy())
+    at, i = np.concatenate([[0], np.cumsum(letters + 8 * ops)]), 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_BYTES, "right")) - 1)
+        yield encode_records(batch.slice(i, j - i))
+        i = j
+
+
 def encode_records(batch: pa.RecordBatch) -> bytes:
     """The records of a batch of alignments, as encode_record gives them, in numpy."""
     n = len(batch)

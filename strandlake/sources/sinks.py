@@ -197,7 +197,7 @@ def bam_files(alignments: DataFrame, contigs: DataFrame, folder: str) -> DataFra
     is encoded and compressed on its own into the shared folder, and a contig's ranges are then
     copied behind one another as they are."""
     from strandlake.plans.tables import gone_at_end, shared_folder
-    from strandlake.sources.bam import EOF_BLOCK, bgzf_blocks, encode_header, encode_records
+    from strandlake.sources.bam import EOF_BLOCK, bgzf_blocks, encode_header, encoded
 
     sizes = [(r["chrom"], r["length"]) for r in contigs.orderBy("tid").select("chrom", "length").collect()]
     columns = ["chrom", "pos", "ordinal", "qname", "flag", "tid", "mapq", "cigar", "seq", "qual"]
@@ -224,8 +224,9 @@ def bam_files(alignments: DataFrame, contigs: DataFrame, folder: str) -> DataFra
                         yield ended()
                     chrom, path, n = name, f"{held_folder}/{part:05d}-{uuid.uuid4().hex}", 0
                     f = open_write(path)
-                held += encode_records(batch.slice(begin, end - begin))
-                f.write(b"".join(bgzf_blocks(held, whole=False)))
+                for some in encoded(batch.slice(begin, end - begin)):
+                    held += some
+                    f.write(b"".join(bgzf_blocks(held, whole=False)))
                 n += end - begin
                 begin = end
         if f is not None:

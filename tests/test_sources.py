@@ -331,7 +331,7 @@ def test_index_by_the_batch(tmp_path, monkeypatch):
         bam.make_index(io.BytesIO(b"".join(bam.encode_bam([(f"c{i}", 400_000) for i in range(4)], rows))))
 
 
-def test_records_by_the_batch():
+def test_records_by_the_batch(monkeypatch):
     odd = [
         {"qname": "", "flag": 65535, "tid": 2, "pos": 7, "mapq": None, "cigar": None, "seq": None, "qual": None},
         {"qname": "é", "flag": 0, "tid": None, "pos": -1, "mapq": 255, "cigar": [], "seq": "acgtnAX=", "qual": ""},
@@ -343,6 +343,10 @@ def test_records_by_the_batch():
     for a in range(len(made) + 1):
         for n in range(len(made) - a + 1):
             assert bam.encode_records(made.slice(a, n)) == b"".join(map(bam.encode_record, [*odd, *odd][a : a + n]))
+    for size in (0, 12, 20, 1000):  # long reads come in runs
+        monkeypatch.setattr(bam, "BATCH_BYTES", size)
+        runs = list(bam.encoded(made.slice(1)))
+        assert b"".join(runs) == bam.encode_records(made.slice(1)) and (size > 20) == (len(runs) == 1)
     other = [{**odd[3], "seq": "Gé"}, odd[0]]
     assert bam.encode_records(pa.RecordBatch.from_pylist([{**r, "qual": None} for r in other], schema=schema)) == b"".join(bam.encode_record({**r, "qual": None}) for r in other)
     for bad in ({"pos": 1 << 31}, {"flag": -1}, {"mapq": 256}, {"qname": "n" * 255}):
