@@ -63,15 +63,17 @@ class Model:
             target = np.minimum(bounds[t][:, None] + place, len(ids) - 1)
             source = np.where(place > 0, rows[np.maximum(target - 1, 0)], begin)
             wanted = inside & ((steps >= WINDOW - STRIDE) | (s == 0)[:, None])
-            at = target[wanted]
-            f = self.top(self.mixed(source)[wanted])
+            wanted = np.flatnonzero(wanted)
+            order, grouped, cut = _by_class(classes[target.ravel()[wanted]])
+            wanted = wanted[order]
+            at = target.ravel()[wanted]
+            f = self.top(_flat(self.mixed(source))[wanted])
             logits = self.logits(f)
             found = logits[np.arange(len(at)), classes[at]]
             found -= np.log(np.exp(logits, out=logits) @ _ONES[:CLASSES])
-            order, cut = _by_group(classes[at])
-            z = self.member_logits(f[order], cut)
-            mine = z[np.arange(len(order)), members[at[order]]]
-            found[order] += mine - np.log(np.exp(z, out=z) @ _ONES[:MEMBERS])
+            z = self.member_logits(f[grouped], cut)
+            mine = z[np.arange(len(z)), members[at[grouped]]]
+            found[grouped] += mine - np.log(np.exp(z, out=z) @ _ONES[:MEMBERS])
             out[at] = found
         return out * np.float32(np.log10(np.e)) + self.of.share[ids]
 
@@ -80,25 +82,25 @@ class Model:
         p = self.params
         h = np.take(p["embed"], source, axis=0)
         h += p["place"]
-        q, k, v = np.split(h @ p["qkv"], 3, axis=2)
+        q, k, v = np.split(_times(h, p["qkv"]), 3, axis=2)
         w = q @ k.transpose(0, 2, 1)
         np.exp(np.clip(w, -20, 20, out=w), out=w)
         w *= _CAUSAL.astype(w.dtype)
-        w /= _sums(w)
+        w *= 1 / _sums(w)
         return h, q, k, v, w
 
     def mixed(self, source: np.ndarray) -> np.ndarray:
         h, _, _, v, w = self.attend(source)
-        h += (w @ v) @ self.params["out"]
+        h += _times(w @ v, self.params["out"])
         return h
 
     def top(self, r: np.ndarray) -> np.ndarray:
         """The hidden layer, and a last column of ones for the biases."""
-        f = np.ones((len(r), HIDDEN + 1), r.dtype)
-        z = r @ self.params["w1"]
-        z += self.params["b1"]
-        np.maximum(z, 0, out=f[:, :HIDDEN])
-        return f
+        w = np.zeros((WIDTH, HIDDEN + 1), r.dtype)
+        w[:, :HIDDEN] = self.params["w1"]
+        f = r @ w
+        f += np.append(self.params["b1"], r.dtype.type(1))
+        return np.maximum(f, 0, out=f)
 
     def logits(self, f: np.ndarray) -> np.ndarray:
         z = f @ self.params["w2"]
@@ -118,6 +120,15 @@ def _sums(w: np.ndarray) -> np.ndarray:
     return (w.reshape(-1, w.shape[-1]) @ np.ones(w.shape[-1], w.dtype)).reshape(*w.shape[:-1], 1)
 
 
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x @ m as one product; numpy would make one of each window."""
+    return (_flat(x) @ m).reshape(*x.shape[:-1], m.shape[1])
+
+
 def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the targets whose class is a group, by group, and where each group begins."""
     order = np.argsort(classes, kind="stable")
@@ -125,6 +136,12 @@ def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[cut[0] :], cut - cut[0]
 
 
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, slice, np.ndarray]:
+    """Places of the targets, the grouped ones last; where these are, and in them each group."""
+    grouped, cut = _by_group(classes)
+    return np.concatenate([np.flatnonzero(classes < ALONE), grouped]), slice(len(classes) - len(grouped), len(classes)), cut
+
+
 def alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids by falling count, class of each id): the most frequent ids have classes of their own."""
     order = np.argsort(-counts, kind="stable")
@@ -247,12 +264,9 @@ def cut(seq: np.ndarray) -> np.ndarray:
 
 
 def _row_sums(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, values.shape[1]), values.dtype)
-    order = np.argsort(rows.astype(np.uint16) if size <= 65536 else rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    out[sorted_rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+    width = values.shape[1]
+    at = (rows.astype(np.int64) * width)[:, None] + np.arange(width)
+    return np.bincount(at.ravel(), values.ravel(), size * width).astype(values.dtype).reshape(size, width)
 
 
 def _less_chosen(e: np.ndarray, chosen: np.ndarray, scale: float) -> np.ndarray:
@@ -267,34 +281,35 @@ def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss of a batch of windows."""
     p, of = model.params, model.of
     source = of.row_of[np.where(w[:, :-1] >= 0, w[:, :-1], BEGIN)]
-    real = w[:, 1:] >= 0
-    ids = w[:, 1:][real]
+    wanted = w[:, 1:].ravel()
+    real = np.flatnonzero(wanted >= 0)
+    order, grouped, cut = _by_class(of.class_of[wanted[real]])
+    real = real[order]  # targets only, those in groups last
+    ids = wanted[real]
     h, q, k, v, a = model.attend(source)
     mixed = a @ v
-    r = (h + mixed @ p["out"])[real]  # targets only
+    r = (_flat(h) + _flat(mixed) @ p["out"])[real]
     f = model.top(r)
-    c = of.class_of[ids]
     scale = f.dtype.type(1 / max(1, len(ids)))
-    d = _less_chosen(model.logits(f), c, scale)
+    d = _less_chosen(model.logits(f), of.class_of[ids], scale)
     g = {"w2": f.T @ d, "w3": np.zeros_like(p["w3"])}
-    df = d @ p["w2"][:HIDDEN].T
-    order, cut = _by_group(c)
-    part = f[order]
-    e = _less_chosen(model.member_logits(part, cut), of.member_of[ids[order]], scale)
-    more = np.empty((len(order), HIDDEN), f.dtype)
+    df = d @ p["w2"].T
+    part = f[grouped]
+    e = _less_chosen(model.member_logits(part, cut), of.member_of[ids[grouped]], scale)
+    more = np.empty_like(part)
     for i in range(GROUPED):
         if cut[i + 1] > cut[i]:
             at = slice(cut[i], cut[i + 1])
             np.matmul(part[at].T, e[at], out=g["w3"][i])
-            np.matmul(e[at], p["w3"][i, :HIDDEN].T, out=more[at])
-    df[order] += more
-    df *= f[:, :HIDDEN] > 0
+            np.matmul(e[at], p["w3"][i].T, out=more[at])
+    df[grouped] += more
+    df *= f > 0
+    df = df[:, :HIDDEN]  # the last is of the column of ones
     g |= {"w1": r.T @ df, "b1": np.ones(len(df), df.dtype) @ df}
     dr = np.zeros_like(h)
-    dr[real] = df @ p["w1"].T
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    g["out"] = flat(mixed).T @ flat(dr)
-    dmixed = dr @ p["out"].T
+    _flat(dr)[real] = df @ p["w1"].T
+    g["out"] = _flat(mixed).T @ _flat(dr)
+    dmixed = _times(dr, p["out"].T)
     ds = dmixed @ v.transpose(0, 2, 1)
     ds -= _sums(dmixed * mixed)
     ds *= a
@@ -302,8 +317,8 @@ def _gradients(model: Model, w: np.ndarray) -> dict[str, np.ndarray]:
     dqkv[..., :WIDTH] = ds @ k
     dqkv[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
     dqkv[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dmixed
-    g["qkv"] = flat(h).T @ flat(dqkv)
-    dr += dqkv @ p["qkv"].T
+    g["qkv"] = _flat(h).T @ _flat(dqkv)
+    dr += _times(dqkv, p["qkv"].T)
     g["place"] = dr.sum(0)
-    g["embed"] = _row_sums(flat(dr), source.ravel(), len(p["embed"]))
+    g["embed"] = _row_sums(_flat(dr), source.ravel(), len(p["embed"]))
     return g

@@ -45,6 +45,8 @@ SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 32
 #: Bytes of text scored at a time, which bounds a task's arrays; bytes of text per bucket.
 SCORE_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
+#: Words that a task's slices hold before they are merged; merged ones that it hands on.
+HELD_WORDS, FLUSHED_WORDS = 2_500_000, 1_500_000
 #: Smoothing of the base score.
 SMOOTHING = 0.1
 #: Rounds of training; windows of a shard, unless a round has MAX_SHARDS; of a piece of a text; of a step.
@@ -85,32 +87,39 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(values, starts, axis=0) if len(keys) else values
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(distinct words, their occurrences in training texts and in all, training texts) of runs of
+    rows (doc_id, text); what the slices of a run give is held, and merged when it is much."""
+    words, counts, held, ends = [], [], 0, 0
+    for batch in slices(batches):
+        trains = _trains(batch.column(0).to_pylist())
+        w = scan(batch.column(1))
+        order = np.argsort(w.h)
+        h, mine = w.h[order], trains[w.row[order]]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        words.append(h[starts])
+        counts.append(np.column_stack([np.add.reduceat(mine, starts, dtype=np.int64) if len(h) else starts, np.diff(starts, append=len(h))]))
+        held += len(starts)
+        ends += int(trains.sum())
+        if held > HELD_WORDS:
+            u, n = _sum_by(np.concatenate(words), np.concatenate(counts))
+            words, counts, held = [u], [n], len(u)
+            if held > FLUSHED_WORDS:
+                yield u, n, ends
+                words, counts, held, ends = [], [], 0, 0
+    if held or ends:
+        yield *_sum_by(np.concatenate(words), np.concatenate(counts)), ends
+
+
 def _word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks by bucket: distinct words, their occurrences in training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, ends = np.zeros(0, U64), np.zeros((0, 2), np.int64), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
+        for words, counts, ends in _counted(batches):
             bounds = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
             rows = [(b, np.array([j - i, ends if b == 0 else 0], np.int64).tobytes() + _planes(words[i:j]) + counts[i:j].astype("<i4").tobytes()) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i or b == 0]
             yield from _binary(rows, BLOCKS)
 
-        for batch in slices(batches):
-            trains = _trains(batch.column(0).to_pylist())
-            w = scan(batch.column(1))
-            order = np.argsort(w.h, kind="stable")
-            h, mine = w.h[order], trains[w.row[order]]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            n = np.column_stack([np.add.reduceat(mine, starts, dtype=np.int64) if len(h) else starts, np.diff(starts, append=len(h))])
-            words, counts = _sum_by(np.concatenate([words, h[starts]]), np.concatenate([counts, n]))
-            ends += int(trains.sum())
-            if len(words) > 1_500_000:
-                yield from flush()
-                words, counts, ends = np.zeros(0, U64), np.zeros((0, 2), np.int64), 0
-        if len(words) or ends:
-            yield from flush()
-
     return dealt(docs.select("doc_id", "text")).mapInArrow(run, "bucket int, block binary")
 
 
@@ -193,7 +202,7 @@ def _cold(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         for batch in slices(batches, limit=SCORE_BYTES):
             _, trains, w, keys = _texts(batch)
             left = np.flatnonzero(~_hot_places(w.h, hot)[0])
-            order = left[np.argsort(w.h[left], kind="stable")]
+            order = left[np.argsort(w.h[left])]
             h, place = w.h[order], w.row[order]
             limits = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             rows = []

@@ -232,6 +232,28 @@ def test_hot_words_are_all_of_a_share_whatever_the_buckets():
     assert [(r["word"], r["n"], r["whole"]) for r in rows if r["kind"] == 0] == [((counts[:, 0] > 0).sum(), counts[:, 0].sum(), whole)]
 
 
+def test_a_tasks_words_are_merged_once(monkeypatch):
+    merged, sum_by = [], lmscore._sum_by
+    monkeypatch.setattr(lmscore, "_sum_by", lambda keys, values: merged.append(len(keys)) or sum_by(keys, values))
+    texts = [(i, " ".join(f"w{i * j % 50}" for j in range(20))) for i in range(1, 400)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in texts[a : a + 20]], "text": [t for _, t in texts[a : a + 20]]}) for a in range(0, len(texts), 20)]
+    trains = lambda d: zlib.crc32(str(d).encode()) % 10 > 0
+    want, whole = (collections.Counter(w for d, t in texts if every or trains(d) for w in t.split()) for every in (False, True))
+    for held, flushed, most in ((10**6, 10**6, 1), (100, 60, 20), (100, 40, 20)):  # at once, on the way, in runs
+        monkeypatch.setattr(lmscore, "HELD_WORDS", held)
+        monkeypatch.setattr(lmscore, "FLUSHED_WORDS", flushed)
+        merged.clear()
+        runs = list(lmscore._counted(iter(batches)))
+        assert len(merged) <= most and (len(runs) > 1) == (flushed < 50) and sum(ends for *_, ends in runs) == sum(trains(d) for d, _ in texts)
+        got = collections.Counter(), collections.Counter()
+        for words, counts, _ in runs:
+            assert (words[1:] > words[:-1]).all()
+            for g, n in zip(got, counts.T, strict=True):
+                g.update(dict(zip(words.tolist(), n.tolist(), strict=True)))
+        of = lambda counter: {int(_text.scan(pa.array([w])).h[0]): n for w, n in counter.items()}
+        assert {w: n for w, n in got[0].items() if n} == of(want) and dict(got[1]) == of(whole)
+
+
 def test_lm_edges(spark, docs, monkeypatch):
     monkeypatch.setattr(lmscore, "HOT_WORDS", 3)
     monkeypatch.setattr(lmscore, "BUCKET_BYTES", 40)
@@ -308,6 +330,22 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4 + 0.02 * abs(g[k][at])
 
 
+def test_row_sums_of_any_rows():
+    rng = np.random.default_rng(4)
+    for size, n in ((7, 0), (7, 50), (1344, 4608)):
+        rows, values = rng.integers(0, size, n), rng.normal(size=(n, 16)).astype(np.float32)
+        want = np.zeros((size, 16))
+        np.add.at(want, rows, values.astype(np.float64))
+        got = _attention._row_sums(values, rows, size)
+        assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-6)
+
+
+def test_a_product_of_windows_is_one_of_rows():
+    rng = np.random.default_rng(5)
+    x, m = rng.normal(size=(6, 24, 16)), rng.normal(size=(16, 48))
+    assert np.allclose(_attention._times(x, m), x @ m) and _attention._times(x[:0], m).shape == (0, 24, 48)
+
+
 def test_subwords_equal_whole_texts():
     from tokenizers import Tokenizer
 
